@@ -28,15 +28,18 @@ FAINT = 0.4
 
 
 def _word_features(text: Column) -> Column:
-    """Hashed words and word beginnings."""
+    """Hashed words, word beginnings and runs of marks."""
     word = word_array(text)
-    return F.flatten(F.transform(word, lambda w: F.array(F.xxhash64(w), F.xxhash64(F.substring(w, 1, STEM), F.lit(1)))))
+    marks = F.regexp_extract_all(text, F.lit(r"[^\p{L}\p{N}\s]{2,}"), F.lit(0))
+    words = F.flatten(F.transform(word, lambda w: F.array(F.xxhash64(w), F.xxhash64(F.substring(w, 1, STEM), F.lit(1)))))
+    return F.concat(words, F.transform(marks, lambda m: F.xxhash64(m, F.lit(2))))
 
 
 _CLASS = np.zeros(256, np.int64)
 for _c in range(256):
     _s = chr(_c)
-    _CLASS[_c] = 1 if "A" <= _s <= "Z" else 2 if "a" <= _s <= "z" else 3 if "0" <= _s <= "9" else 4 if _s in " \t" else 5 if _s == "\n" else 6 if _s in ".,;:'\"?-()" else 7 if _s == "!" else 8 if _s == "|" else 9 if _c < 128 else 10
+    _CLASS[_c] = 1 if "A" <= _s <= "Z" else 2 if "a" <= _s <= "z" else 3 if "0" <= _s <= "9" else 4 if _s in " \t" else 5 if _s == "\n" else 6 if _s in ".,;:'\"?-()" else 7 if _s == "!" else 8 if _s == "|" else 9 if _c >= 128 else 11 + "%$&*#<>/\\_@=+".find(_s) if _s in "%$&*#<>/\\_@=+" else 10
+KINDS = int(_CLASS.max()) + 1
 _EDGES = np.array([0.0005, 0.002, 0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.25, 0.4, 0.6, 0.8])
 
 
@@ -49,14 +52,14 @@ def _meta_features(lang: pa.Array, source: pa.Array, text: pa.Array) -> np.ndarr
     at = offsets - offsets[0]
     size = np.diff(at)
     kinds = _CLASS[data]
-    counts = np.zeros((n, 11))
-    for k in range(1, 11):
+    counts = np.zeros((n, KINDS))
+    for k in range(1, KINDS):
         total = np.concatenate(([0], np.cumsum(kinds == k)))
         counts[:, k] = total[at[1:]] - total[at[:-1]]
     share = np.digitize(counts / np.maximum(size, 1)[:, None], _EDGES)
     own = [np.log2(size + 1).astype(int), np.log2(counts[:, 5] + 1).astype(int), np.log2(size / (counts[:, 5] + 1) + 1).astype(int)]
     names = [np.array([hash_name(x) for x in column.to_pylist()]) for column in (lang, source)]
-    columns = [*names, *own, *(share[:, k] for k in range(1, 11))]
+    columns = [*names, *own, *(share[:, k] for k in range(1, KINDS))]
     slots = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) + np.asarray(c).astype(np.int64).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9) for k, c in enumerate(columns)]
     return (np.stack(slots, axis=1) >> np.uint64(64 - META_BITS)).astype(np.int64)
 
@@ -150,6 +153,11 @@ def _calibrate(view: View, raw: np.ndarray, y: np.ndarray) -> None:
     view.slope, view.shift = max(a, 0.0), b
 
 
+def _scale(n: np.ndarray) -> np.ndarray:
+    """Features of a text weigh less the more words it has; a few words alone say little."""
+    return 1 / np.sqrt(n + 30.0)
+
+
 @dataclass
 class Model:
     text: View
@@ -164,7 +172,7 @@ class Model:
 class _Rows:
     def __init__(self, pdf):
         self.words, self.meta = [np.asarray(x) for x in pdf["words"]], [np.asarray(x) for x in pdf["meta"]]
-        self.scale = 1 / np.sqrt(np.maximum(pdf["n"].to_numpy(), 1))
+        self.scale = _scale(pdf["n"].to_numpy())
         self.y = pdf["good"].to_numpy(dtype=float)
 
     def view(self, k: int) -> tuple[list[np.ndarray], np.ndarray, int, int]:
@@ -234,7 +242,7 @@ def _scores(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray
     rows = np.repeat(np.arange(len(n)), n)
     used = model.text.weights[slots] != 0
     key = np.unique(rows[used] * (1 << WORD_BITS) + slots[used])
-    t = model.text.logit(model.text.raw(key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), 1 / np.sqrt(np.maximum(n // 2, 1))))
+    t = model.text.logit(model.text.raw(key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), _scale(n // 2)))
     meta = _meta_features(get("__lang"), get("__source"), get("__body"))
     m = model.meta.logit(model.meta.weights[meta].sum(axis=1) + model.meta.bias)
     return _sigmoid(t), _sigmoid(m), model.score(t, m)
