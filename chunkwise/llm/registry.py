@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm_score, mixing, ngram_join, quality
+from . import decontam, line_dedup, lm_score, mixing, ngram_join, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
     "op2_lm_score": lm_score.query,
     "op3_decontamination": decontam.query,
+    "op4_pii": pii.query,
     "op5_quality": quality.query,
     "op8_mixing": mixing.query,
     "op10_ngram_join": ngram_join.query,
