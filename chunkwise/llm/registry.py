@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm_score, mixing, ngram_join, pii, quality
+from . import decontam, line_dedup, lm_score, mixing, ngram_join, pii, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": decontam.query,
     "op4_pii": pii.query,
     "op5_quality": quality.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op8_mixing": mixing.query,
     "op10_ngram_join": ngram_join.query,
 }
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op6_suffix_dedup": suffix_dedup.SQL,
     "op10_ngram_join": ngram_join.SQL,
 }
