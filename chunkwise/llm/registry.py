@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, lm_score, mixing, ngram_join, pii, quality, suffix_dedup
+from . import decontam, flac, line_dedup, lm_score, mixing, ngram_join, pii, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": pii.query,
     "op5_quality": quality.query,
     "op6_suffix_dedup": suffix_dedup.query,
+    "op7_flac": flac.query,
     "op8_mixing": mixing.query,
     "op10_ngram_join": ngram_join.query,
 }
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
     "op6_suffix_dedup": suffix_dedup.SQL,
+    "op7_flac": flac.SQL,
     "op10_ngram_join": ngram_join.SQL,
 }
