@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, flac, line_dedup, lm_score, mixing, ngram_join, pii, quality, suffix_dedup
+from . import decontam, flac, licenses, line_dedup, lm_score, mixing, ngram_join, pii, quality, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": suffix_dedup.query,
     "op7_flac": flac.query,
     "op8_mixing": mixing.query,
+    "op9_licenses": licenses.query,
     "op10_ngram_join": ngram_join.query,
 }
 
