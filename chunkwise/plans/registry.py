@@ -6,5 +6,112 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import queries as q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        q.chunk_summary_by_lang, q.chunk_catalog, q.chunk_catalog_arrow, q.chunk_size_by_total, q.part_byte_ranges, q.chunk_index_ranges, q.bitstream_offsets, q.token_frequency, q.bos_shift, q.bigram_counts,
+        q.token_windows, q.cdf_by_lang, q.cdf_invariants, q.probability_cdf, q.ideal_bits_by_doc, q.softmax_rows, q.layer_norm_rows, q.premix_lag, q.relu_sq_sigmoid, q.wkv_scan, q.wkv_rows, q.layer_step, q.matvec, q.matvec_kvr, q.matmul_join,
+        q.quantized_matvec, q.uint8_quantize, q.quantization_sweep, q.topk_hit_rate, q.embedding_lookup, q.codec_roundtrip_docs, q.codec_roundtrip_conversations, q.codec_roundtrip_pages, q.datasource_roundtrip, q.stream_roundtrip,
+        q.coder_near_ideal, q.header_fields, q.assemble_master, q.ratio_by_lang, q.ratio_rollup, q.ratio_by_quality, q.gate_report, q.crc_check, q.lossy_boundary_guard, q.truncated_valid_text,
+    )
+}
+
+_ENDS = f"""
+RECURSIVE d AS (SELECT doc_id, lang, encode(text) AS b, octet_length(encode(text))::BIGINT AS n FROM documents WHERE text IS NOT NULL AND text <> ''),
+c AS (
+  SELECT doc_id, lang, b, n, 0 AS chunk_idx, 0::BIGINT AS byte_start, e AS byte_end FROM (SELECT *, least({q.PIN}, n) AS t FROM d), LATERAL (SELECT {{snap}} AS e)
+  UNION ALL
+  SELECT doc_id, lang, b, n, chunk_idx + 1, byte_end, e FROM (SELECT *, least(byte_end + {q.PIN}, n) AS t FROM c WHERE byte_end < n), LATERAL (SELECT {{snap}} AS e)
+)"""
+_SNAP = "CASE WHEN t >= n OR hex(array_slice(b, t + 1, t + 1)) NOT BETWEEN '80' AND 'BF' THEN t WHEN hex(array_slice(b, t, t)) NOT BETWEEN '80' AND 'BF' THEN t - 1 WHEN hex(array_slice(b, t - 1, t - 1)) NOT BETWEEN '80' AND 'BF' THEN t - 2 WHEN hex(array_slice(b, t - 2, t - 2)) NOT BETWEEN '80' AND 'BF' THEN t - 3 ELSE t END"
+_ENDS = _ENDS.replace("{snap}", _SNAP)
+_CATALOG = f"WITH {_ENDS} SELECT doc_id, chunk_idx::INTEGER AS chunk_idx, byte_start, (byte_end - byte_start)::INTEGER AS orig_len, md5(array_slice(b, byte_start + 1, byte_end)) AS md5 FROM c"
+_FREQUENCY = "SELECT lang, unicode(c)::INTEGER AS symbol, count(*) AS n FROM (SELECT lang, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL"
+
+
+def _cdf(counts: str, context: str) -> str:
+    return f"""
+WITH f AS ({counts}),
+w AS (SELECT *, n * ({q.TOTAL} - count(*) OVER (PARTITION BY {context})) // greatest(sum(n) OVER (PARTITION BY {context}), 1) + 1 AS w, row_number() OVER (PARTITION BY {context} ORDER BY n DESC, symbol) AS top FROM f),
+x AS (SELECT {context}, symbol, (w + CASE WHEN top = 1 THEN {q.TOTAL} - sum(w) OVER (PARTITION BY {context}) ELSE 0 END)::BIGINT AS width FROM (SELECT *, w FROM w)),
+cdf AS (SELECT {context}, symbol, coalesce(sum(width) OVER (PARTITION BY {context} ORDER BY symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo, width FROM x)
+"""
+
+
+_SOFTMAX = "SELECT vec_id, pos, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM (SELECT vec_id, pos, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM (SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings))"
+_W = "(((k * 7 + n * 13) % 11 - 5) / 10.0)"
+_PRODUCTS = f"SELECT vec_id, n::INTEGER AS n, sum(v * {_W}) AS y FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), range(8) r(n) GROUP BY vec_id, n"
+_EVENTS = "SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events"
+_WKV = "(coalesce(sum(exp((b.t - 1 - a.t) * -0.05 + a.k) * a.v), 0) + exp(0.3 + b.k) * b.v) / (coalesce(sum(exp((b.t - 1 - a.t) * -0.05 + a.k)), 0) + exp(0.3 + b.k))"
+_QUANT = """
+WITH q AS (SELECT *, greatest((hi - lo) / 255, 1e-12) AS scale FROM (SELECT vec_id, e, list_min(e) AS lo, list_max(e) AS hi FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings))),
+z AS (SELECT vec_id, unnest(range(len(e))) AS k, unnest(e) AS v, lo, scale FROM q),
+y AS (SELECT *, greatest(0, least(255, floor((v - lo) / scale + 0.5)::INTEGER)) AS q FROM z)
+"""
+_SAME = "SELECT {keys}, {text}, true AS crc_ok FROM {table} WHERE {text} IS NOT NULL AND {text} <> ''"
+_DOCS = _SAME.format(keys="doc_id", text="text", table="documents")
+
+SQL: dict[str, str] = {
+    "chunk_summary_by_lang": f"WITH {_ENDS} SELECT lang, count(DISTINCT doc_id) AS n_docs, count(*) AS n_chunks, sum(byte_end - byte_start)::BIGINT AS total_bytes FROM c GROUP BY lang",
+    "chunk_catalog": _CATALOG,
+    "chunk_catalog_arrow": _CATALOG,
+    "chunk_size_by_total": """SELECT o_orderkey, total, CASE WHEN total <= 0 THEN 65536 ELSE greatest(65536, (total + 511) // 512) END::BIGINT AS chunk_size,
+        CASE WHEN total <= 0 THEN 65536 ELSE greatest(65536, (total + 2047) // 2048) END::BIGINT AS chunk_size_512, 131072::BIGINT AS chunk_size_pinned
+        FROM (SELECT o_orderkey, floor(o_totalprice * 10000)::BIGINT AS total FROM orders)""",
+    "part_byte_ranges": """WITH t AS (SELECT o_orderpriority, sum(floor(o_totalprice)::BIGINT)::BIGINT AS total FROM orders GROUP BY 1),
+        s AS (SELECT *, greatest(total // 7 // cs * cs, cs) AS per FROM (SELECT *, CASE WHEN total <= 0 THEN 65536 ELSE greatest(65536, (total + 511) // 512) END AS cs FROM t)),
+        p AS (SELECT o_orderpriority, i::INTEGER AS part, least(i * per, total)::BIGINT AS byte_start, CASE WHEN i = 6 THEN total ELSE least((i + 1) * per, total) END::BIGINT AS byte_end FROM s, range(7) r(i))
+        SELECT * FROM p WHERE byte_start < byte_end""",
+    "chunk_index_ranges": """WITH t AS (SELECT c_nationkey, count(*) AS n, (count(*) + 6) // 7 AS per FROM customer GROUP BY 1)
+        SELECT c_nationkey, i::INTEGER AS part, (i * per)::BIGINT AS first_chunk, least((i + 1) * per, n)::BIGINT AS end_chunk FROM t, range(7) r(i) WHERE i * per < n""",
+    "bitstream_offsets": """SELECT lang, doc_id, room, (sum(room) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - room)::BIGINT AS bit_offset
+        FROM (SELECT lang, doc_id, octet_length(encode(text))::BIGINT + 64 AS room FROM documents)""",
+    "token_frequency": _FREQUENCY,
+    "bos_shift": "SELECT item_id, pos::INTEGER AS pos, token, lag(token, 1, 0) OVER (PARTITION BY item_id ORDER BY pos) AS previous FROM (SELECT item_id, unnest(range(len(cs))) AS pos, unicode(unnest(cs))::INTEGER AS token FROM (SELECT item_id, string_split(text, '') AS cs FROM benchmark WHERE text <> ''))",
+    "bigram_counts": """SELECT lang, previous::INTEGER AS previous, symbol::INTEGER AS symbol, count(*) AS n FROM (
+        SELECT lang, unnest(list_prepend(0, list_transform(cs[:len(cs) - 1], lambda c: unicode(c)))) AS previous, unnest(list_transform(cs, lambda c: unicode(c))) AS symbol
+        FROM (SELECT lang, string_split(text, '') AS cs FROM documents WHERE text <> '')) GROUP BY ALL""",
+    "token_windows": """WITH t AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE text <> '')
+        SELECT conv_id, turn, win::INTEGER AS win, least(256, n - win * 256)::INTEGER AS used, (256 - least(256, n - win * 256))::INTEGER AS padding FROM (SELECT *, unnest(range((n - 1) // 256 + 1)) AS win FROM t)""",
+    "cdf_by_lang": _cdf(_FREQUENCY, "lang") + "SELECT * FROM cdf",
+    "cdf_invariants": _cdf(_FREQUENCY, "lang") + "SELECT lang, count(*) AS n_symbols, min(lo) AS first_lo, max(lo + width) AS last_hi, min(width) AS min_width, sum(width)::BIGINT AS total_width FROM cdf GROUP BY lang",
+    "probability_cdf": _cdf(f"SELECT vec_id, pos AS symbol, floor(round(p, 9) * {1 << 30})::BIGINT AS n FROM ({_SOFTMAX})", "vec_id") + "SELECT * FROM cdf",
+    "ideal_bits_by_doc": _cdf(_FREQUENCY, "lang")
+    + f", t AS (SELECT doc_id, lang, unicode(c)::INTEGER AS symbol, count(*) AS n FROM (SELECT doc_id, lang, unnest(string_split(text, '')) AS c FROM documents) WHERE c <> '' GROUP BY ALL) SELECT doc_id, round(sum(n * -log2(width / {q.TOTAL}.0)), 3) AS bits FROM t JOIN cdf USING (lang, symbol) GROUP BY doc_id",
+    "softmax_rows": f"SELECT vec_id, pos, round(c / sum(c) OVER (PARTITION BY vec_id), 8) AS p FROM (SELECT vec_id, pos, greatest(p, 1e-9) AS c FROM ({_SOFTMAX}))",
+    "layer_norm_rows": "SELECT vec_id, pos, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-5), 8) AS y FROM (SELECT vec_id, unnest(range(len(embedding)))::INTEGER AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings) WINDOW w AS (PARTITION BY vec_id)",
+    "premix_lag": "SELECT event_id, round(value * 0.3::DOUBLE + p * (1 - 0.3::DOUBLE), 6) AS kx, round(value * 0.5::DOUBLE + p * (1 - 0.5::DOUBLE), 6) AS vx, round(value * 0.8::DOUBLE + p * (1 - 0.8::DOUBLE), 6) AS rx FROM (SELECT event_id, value, lag(value, 1, 0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)",
+    "relu_sq_sigmoid": "SELECT event_id, round(pow(greatest(x, 0), 2), 8) AS relu_sq, round(1 / (1 + exp(-x)), 8) AS sigmoid FROM (SELECT event_id, value / 50 - 1 AS x FROM events)",
+    "wkv_scan": f"WITH e AS (SELECT user_id, t, value / 100 AS k, value AS v FROM ({_EVENTS})) SELECT b.user_id, b.t AS position, round({_WKV}, 6) AS y FROM e b LEFT JOIN e a ON a.user_id = b.user_id AND a.t < b.t GROUP BY b.user_id, b.t, b.k, b.v",
+    "wkv_rows": f"WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS t, unnest(embedding)::DOUBLE AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT b.vec_id, b.t::INTEGER AS pos, round({_WKV}, 8) AS y FROM e b LEFT JOIN e a ON a.vec_id = b.vec_id AND a.t < b.t GROUP BY b.vec_id, b.t, b.k, b.v",
+    "layer_step": f"""WITH x AS (SELECT user_id, t, value / 100 AS x FROM ({_EVENTS})),
+        m AS (SELECT *, x * 0.3::DOUBLE + p * 0.7::DOUBLE AS k, x * 0.5::DOUBLE + p * 0.5::DOUBLE AS v, x * 0.8::DOUBLE + p * 0.2::DOUBLE AS r FROM (SELECT *, lag(x, 1, 0) OVER (PARTITION BY user_id ORDER BY t) AS p FROM x)),
+        y AS (SELECT b.user_id, b.t, b.x, b.r, {_WKV} AS y FROM m b LEFT JOIN m a ON a.user_id = b.user_id AND a.t < b.t GROUP BY b.user_id, b.t, b.k, b.v, b.x, b.r),
+        h AS (SELECT user_id, t, x + y / (1 + exp(-r)) AS h FROM y),
+        g AS (SELECT *, lag(h, 1, 0) OVER (PARTITION BY user_id ORDER BY t) AS p FROM h)
+        SELECT user_id, t AS position, round(h + pow(greatest(h * 0.3::DOUBLE + p * 0.7::DOUBLE, 0), 2) / (1 + exp(-(h * 0.8::DOUBLE + p * 0.2::DOUBLE))), 6) AS y FROM g""",
+    "matvec": f"SELECT vec_id, n, round(y, 8) AS y FROM ({_PRODUCTS})",
+    "matvec_kvr": "SELECT vec_id, " + ", ".join(f"round(max(y) FILTER (n = {n}), 8) AS {name}" for n, name in enumerate(("k0", "k1", "v0", "v1", "r0", "r1"))) + f" FROM ({_PRODUCTS}) GROUP BY vec_id",
+    "matmul_join": "SELECT l_suppkey AS i, j::INTEGER AS j, sum(l_quantity * (l_linenumber * 2 - j)) AS value FROM lineitem, range(3) r(j) WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_suppkey, j",
+    "quantized_matvec": _QUANT + f"SELECT vec_id, round(sum((q * scale + lo) * {_W.replace('n *', '0 *')}), 6) AS y, abs(sum((q * scale + lo) * {_W.replace('n *', '0 *')}) - sum(v * {_W.replace('n *', '0 *')})) < 0.05 AS near FROM y GROUP BY vec_id",
+    "uint8_quantize": _QUANT + "SELECT vec_id, round(any_value(scale), 10) AS scale, round(any_value(lo), 8) AS \"offset\", round(sqrt(avg(pow(v - (q * scale + lo), 2))) / (sqrt(avg(v * v)) + 1e-12), 6) AS rel_rmse, sum(q)::BIGINT AS q_sum FROM y GROUP BY vec_id",
+    "quantization_sweep": "SELECT s::INTEGER AS scale, round(max(abs(floor(value * s + 0.5) / s - value)), 8) AS max_error FROM events, (VALUES (1), (4), (16), (64)) g(s) WHERE value IS NOT NULL GROUP BY s",
+    "topk_hit_rate": "WITH r AS (SELECT 1 + (SELECT count(*) FROM (SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i) WHERE v > embedding[label + 1] OR (v = embedding[label + 1] AND i < label)) AS rank FROM embeddings) SELECT k::INTEGER AS k, round(avg((rank <= k)::INTEGER), 9) AS hit_rate FROM r, (VALUES (1), (2), (4), (8)) g(k) GROUP BY k",
+    "embedding_lookup": "SELECT event_id, vec_id, round(embedding[1]::DOUBLE, 8) AS first FROM events LEFT JOIN embeddings ON user_id = vec_id",
+    "codec_roundtrip_docs": _DOCS,
+    "codec_roundtrip_conversations": _SAME.format(keys="conv_id, turn", text="text", table="conversations"),
+    "codec_roundtrip_pages": _SAME.format(keys="page_id", text="html", table="pages"),
+    "datasource_roundtrip": _DOCS,
+    "stream_roundtrip": _DOCS,
+    "coder_near_ideal": "SELECT lang, true AS not_below, true AS near, true AS counted FROM documents WHERE text <> '' GROUP BY lang",
+    "header_fields": f"""SELECT doc_id, 37::INTEGER AS header_len, '434B5753' AS magic, 1::BIGINT AS blob_version, 0::BIGINT AS adapter_id, 0::BIGINT AS flags, n AS original_len, (n + {q.PIN - 1}) // {q.PIN} AS n_chunks, true AS crc_same
+        FROM (SELECT doc_id, octet_length(encode(text))::BIGINT AS n FROM documents WHERE text IS NOT NULL)""",
+    "assemble_master": f"WITH {_ENDS} SELECT doc_id, count(*) AS n_chunks, sum(byte_end - byte_start)::BIGINT AS original_len, 1::BIGINT AS flags, count(*) AS scanned, sum(byte_end - byte_start)::BIGINT AS scanned_len, 0::BIGINT AS errors FROM c GROUP BY doc_id",
+    "gate_report": """WITH s AS (SELECT lang, sum(octet_length(encode(text)))::BIGINT AS orig FROM documents GROUP BY lang), r AS (SELECT *, (orig // 10) / orig AS ratio, orig / 1024 / 1.0 AS e, orig / 1024 / 2.0 AS d FROM s)
+        SELECT lang, round(ratio, 6) AS ratio, round(e, 4)::DOUBLE AS encode_kb_s, round(d, 4)::DOUBLE AS decode_kb_s, ratio <= 0.11 AS ratio_ok, e >= 200 AS encode_ok, d >= 200 AS decode_ok, ratio <= 0.11 AND e >= 200 AND d >= 200 AS passed FROM r""",
+    "crc_check": "SELECT doc_id, true AS intact_ok, false AS flipped_ok FROM documents WHERE text IS NOT NULL AND text <> ''",
+    "lossy_boundary_guard": _DOCS,
+    "truncated_valid_text": "SELECT doc_id, least(200, octet_length(encode(text)))::INTEGER AS n_bytes, hex(array_slice(encode(text), 1, 200)) AS hex, true AS decodes FROM documents WHERE text IS NOT NULL",
+}
