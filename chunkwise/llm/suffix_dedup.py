@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut, mix, small_batches, table
 
 #: Words of a passage that counts as repeated; words of a pick.
-LEAST, GRAM = 50, 16
+LEAST, GRAM = 50, 24
 #: Names that one task orders in memory; deeper levels than this aren't distributed.
 BASE = 1 << 20
 REMEMBERED = 1 << 19
@@ -103,6 +103,15 @@ def _blobs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
+def viable(codes: np.ndarray, again: np.ndarray, least: int = LEAST, gram: int = GRAM) -> np.ndarray:
+    """Where a passage of `least` words may begin that occurs elsewhere: its least gram has to be among `again`, the sorted picks that occur elsewhere."""
+    n = len(codes) - least + 1
+    if n < 1 or not len(again):
+        return np.zeros(0, np.int64)
+    low = _slide(grams(codes, gram)[: len(codes) - gram + 1] >> np.uint64(1), least - gram + 1, np.minimum, 0xFFFFFFFFFFFFFFFF)[:n]
+    return np.flatnonzero(again[np.minimum(np.searchsorted(again, low), len(again) - 1)] == low)
+
+
 def _texts(least: int, gram: int):
     """doc_id, h1, h2, text -> a row for each text of at least `least` words, with its picks."""
 
@@ -117,8 +126,8 @@ def _texts(least: int, gram: int):
             edges = np.searchsorted(at, starts)
             took = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(took), batch.column(1).take(took), batch.column(2).take(took), pa.array(lengths), _blobs([h[a:b] for a, b in zip(edges[:-1], edges[1:])]), _blobs([(at[a:b] - s).astype(np.int32) for a, b, s in zip(edges[:-1], edges[1:], starts)])],
-                names=["doc_id", "h1", "h2", "n_words", "picked", "places"],
+                [batch.column(0).take(took), batch.column(1).take(took), batch.column(2).take(took), pa.array(lengths), _blobs([h[a:b] for a, b in zip(edges[:-1], edges[1:])])],
+                names=["doc_id", "h1", "h2", "n_words", "picked"],
             )
 
     return run
@@ -127,9 +136,8 @@ def _texts(least: int, gram: int):
 def _each_pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        p = [np.frombuffer(x, np.int32) for x in batch.column(2).to_pylist()]
         tid = np.repeat(batch.column(0).to_numpy(), [len(x) for x in h])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(tid), pa.array(np.concatenate(p))], names=["h", "tid", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(tid)], names=["h", "tid"])
 
 
 def _grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None]):
@@ -161,27 +169,43 @@ def _grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None])
     return run
 
 
+def _sorted(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None]):
+    """Hand `work` the whole partition, sorted here by numeric keys; a partition is what a task of the shuffle holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            order = np.lexsort([t.column(k).to_numpy() for k in keys[::-1]]) if len(keys) > 1 else np.argsort(t.column(keys[0]).to_numpy(), kind="stable")
+            out = work(t.take(pa.array(order)))
+            if out is not None:
+                yield out
+
+    return run
+
+
 def _again(t: pa.Table) -> pa.RecordBatch:
     """Of rows sorted by h, those whose h another row has."""
     h = t.column("h").to_numpy()
     same = h[1:] == h[:-1]
     keep = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(h) else np.zeros(0, bool)
-    return pa.RecordBatch.from_arrays([pa.array(t.column("tid").to_numpy()[keep]), pa.array(t.column("place").to_numpy()[keep])], names=["tid", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(t.column("tid").to_numpy()[keep]), pa.array(h[keep])], names=["tid", "h"])
 
 
 def _segments(least: int, gram: int):
-    """tid, places, text -> stretches that may hold repeats: (tid, start, codes)."""
+    """tid, again, text -> stretches that may hold repeats: (tid, start, codes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tids, starts, blobs = [], [], []
-            for tid, places, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                codes, p = word_codes(text), np.unique(np.array(places, np.int64))
-                a, b = np.maximum(p - (least - gram), 0), np.minimum(p + least, len(codes))
-                cuts = np.flatnonzero(a[1:] > b[:-1]) + 1
-                for x, y in zip(a[np.concatenate(([0], cuts))], b[np.concatenate((cuts - 1, [len(b) - 1]))]):
-                    if y - x >= least:
-                        tids.append(tid), starts.append(x), blobs.append(codes[x:y])
+            for tid, again, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                codes = word_codes(text)
+                a = viable(codes, np.sort(np.array(again, np.int64).view(np.uint64)), least, gram)
+                if not len(a):
+                    continue
+                cuts = np.flatnonzero(a[1:] > a[:-1] + least) + 1
+                for x, y in zip(a[np.concatenate(([0], cuts))], a[np.concatenate((cuts - 1, [len(a) - 1]))] + least):
+                    tids.append(tid), starts.append(x), blobs.append(codes[x:y])
             yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(starts, pa.int32()), _blobs(blobs)], names=["tid", "start", "codes"])
 
     return run
@@ -220,37 +244,32 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t[at], b[at], c[at], sid, 2 * path + i % 3 - 1, (i // 3).astype(np.int32))], names=["a", "b", "c", "sid", "path", "i"])
 
 
-NAMED = "sid long, path long, i int, pid int, local long"
+NUMBERED = "sid long, path long, i int, number long"
 
 
-def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the triples of a sorted range from 1 on, equal ones alike."""
-    pid, last, n = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, c = (batch.column(k).to_numpy() for k in range(3))
-        new = np.concatenate(([last != (a[0], b[0], c[0])], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
-        local = n + np.cumsum(new)
-        n, last = int(local[-1]), (a[-1], b[-1], c[-1])
-        yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), batch.column(5), pa.array(np.full(batch.num_rows, pid, np.int32)), pa.array(local)], names=["sid", "path", "i", "pid", "local"])
+def _numbers(local: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Numbers in the order of all ranges, equal where local ones are: the range, the number in it, and a bit for those that others share."""
+    return (np.int64(TaskContext.get().partitionId()) << 40 | local) << 1 | tied
 
 
-def _strings(offsets: dict[int, int]):
-    """Rows sorted by sid, path and i -> strings of their numbers."""
+def _names(t: pa.Table) -> pa.RecordBatch:
+    """Number the triples of a sorted range, equal ones alike."""
+    a, b, c = (t.column(k).to_numpy() for k in "abc")
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
+    tied = ~(new & np.concatenate((new[1:], [True])))
+    return pa.RecordBatch.from_arrays([*(pa.array(t.column(k).to_numpy()) for k in ("sid", "path", "i")), pa.array(_numbers(np.cumsum(new), tied))], names=["sid", "path", "i", "number"])
 
-    def work(t: pa.Table) -> pa.RecordBatch:
-        sid, path, pid = (t.column(k).to_numpy() for k in ("sid", "path", "pid"))
-        known, where = np.unique(pid, return_inverse=True)
-        value = t.column("local").to_numpy() + np.array([offsets[int(k)] for k in known], np.int64)[where]
-        edges = np.flatnonzero(np.concatenate(([True], (sid[1:] != sid[:-1]) | (path[1:] != path[:-1]), [True])))
-        return pa.RecordBatch.from_arrays([pa.array(sid[edges[:-1]]), pa.array(path[edges[:-1]]), _blobs([value[a:b] for a, b in zip(edges[:-1], edges[1:])])], names=["sid", "path", "syms"])
 
-    return _grouped(["sid", "path"], work)
+def _strings(t: pa.Table) -> pa.RecordBatch:
+    """Rows sorted by sid, path and i -> strings of their numbers."""
+    sid, path, value = (t.column(k).to_numpy() for k in ("sid", "path", "number"))
+    edges = np.flatnonzero(np.concatenate(([True], (sid[1:] != sid[:-1]) | (path[1:] != path[:-1]), [True])))
+    tied = np.add.reduceat(value & 1, edges[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(sid[edges[:-1]]), pa.array(path[edges[:-1]]), _blobs([value[a:b] for a, b in zip(edges[:-1], edges[1:])]), pa.array(tied), pa.array(np.diff(edges))], names=["sid", "path", "syms", "tied", "n"])
 
 
-def _gathered(named: DataFrame, offsets: dict[int, int]) -> DataFrame:
-    return named.repartition("sid", "path").sortWithinPartitions("sid", "path", "i").mapInArrow(_strings(offsets), STRINGS)
+def _gathered(numbered: DataFrame) -> DataFrame:
+    return numbered.repartition("sid", "path").mapInArrow(_sorted(["sid", "path", "i"], _strings), f"{STRINGS}, tied long, n long")
 
 
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,21 +345,25 @@ def _tuples(least: int):
 
 
 def merged_order(t: pa.Table) -> np.ndarray:
-    """The order of the suffixes of whole groups of equal first symbols (k0, k1).
+    """The order of the suffixes of a table that holds all with its first symbols (k0, k1).
 
-    Those at 0 and 1 modulo 3 are in order by x. Before each of them come as many of those at 2 as have a lesser y, against one at 0, or a lesser rank, against one at 1.
+    Within a group of equal (k0, k1), those at 0 and 1 modulo 3 are in order by x. Before each of them come as many of those at 2 as have a lesser y, against one at 0, or a lesser rank, against one at 1.
     """
     k0, k1, x, y, i = (t.column(k).to_numpy() for k in ("k0", "k1", "x", "y", "i"))
-    n = len(k0)
-    c = i % 3
-    new = np.concatenate(([True], (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])))
-    group = np.cumsum(new) - 1
+    n, c = len(k0), i % 3
+    by = np.lexsort((x, k1, k0))
+    new = np.concatenate(([True], (k0[by][1:] != k0[by][:-1]) | (k1[by][1:] != k1[by][:-1])))
+    group = np.empty(n, np.int64)
+    group[by] = np.cumsum(new) - 1
     starts = np.flatnonzero(new)
-    m = int(max(x.max(), y.max())) + 3
-    a, b = np.flatnonzero(c != 2), np.flatnonzero(c == 2)
-    a, b = a[np.lexsort((x[a], group[a]))], b[np.lexsort((x[b], group[b]))]
-    by_y, by_x = group[b] * m + y[b] + 1, group[b] * m + x[b] + 1
-    before = np.where(c[a] == 0, np.searchsorted(by_y, group[a] * m + y[a] + 1), np.searchsorted(by_x, group[a] * m + y[a] + 1)) - np.searchsorted(group[b], group[a])
+    a, b = by[c[by] != 2], by[c[by] == 2]
+    # ranks are made small, so that a group and a rank fit into one number
+    both = np.unique(np.concatenate((x[b], y[b])))
+    small = lambda v: np.searchsorted(both, v)
+    m = len(both) + 1
+    by_y, by_x = group[b] * m + small(y[b]), group[b] * m + small(x[b])
+    want = group[a] * m + small(y[a])
+    before = np.where(c[a] == 0, np.searchsorted(by_y, want), np.searchsorted(by_x, want)) - np.searchsorted(group[b], group[a])
     place = starts[group[a]] + np.arange(len(a)) - np.searchsorted(group[a], group[a]) + before
     out = np.full(n, -1, np.int64)
     out[place] = a
@@ -348,21 +371,13 @@ def merged_order(t: pa.Table) -> np.ndarray:
     return out
 
 
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pid, n = TaskContext.get().partitionId(), 0
-
-    def work(t: pa.Table) -> pa.RecordBatch:
-        nonlocal n
-        order = merged_order(t)
-        local = n + np.arange(len(order))
-        n += len(order)
-        return pa.RecordBatch.from_arrays([*(pa.array(t.column(k).to_numpy()[order]) for k in ("sid", "path", "i")), pa.array(np.full(len(order), pid, np.int32)), pa.array(local)], names=["sid", "path", "i", "pid", "local"])
-
-    yield from _grouped(["k0", "k1"], work)(batches)
+def _ranked(t: pa.Table) -> pa.RecordBatch:
+    order = merged_order(t)
+    return pa.RecordBatch.from_arrays([*(pa.array(t.column(k).to_numpy()[order]) for k in ("sid", "path", "i")), pa.array(_numbers(np.arange(len(order)), np.zeros(len(order), bool)))], names=["sid", "path", "i", "number"])
 
 
 def _neighbours(t: pa.Table) -> pa.RecordBatch:
-    """Suffixes that share their first words with the one before or after them in the array. Groups differ in their first two."""
+    """Suffixes that share their first words with the one before or after them in the array. Ranges differ in their first two."""
     order = merged_order(t)
     g = t.column("g").to_numpy()[order]
     same = (g[1:] == g[:-1]) & (g[1:] != 0)
@@ -370,57 +385,55 @@ def _neighbours(t: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(t.column("sid").to_numpy()[keep]), pa.array(t.column("i").to_numpy()[keep])], names=["sid", "i"])
 
 
+def _whole(work: Callable[[pa.Table], pa.RecordBatch]):
+    """Hand `work` the whole partition, as it comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
 def _release(spark: SparkSession) -> None:
     """Let go of finished levels' shuffle files; they would stay until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def _offsets(named: DataFrame, last: str) -> tuple[dict[int, int], int, int]:
-    """First number of each range, how many numbers there are, and how many rows. A row for each range comes to the driver."""
-    rows = sorted(tuple(r) for r in named.groupBy("pid").agg(F.max("local").alias(last), F.count("*").alias("n")).collect())
-    out, n = {}, 0
-    for pid, top, _ in rows:
-        out[pid] = n
-        n += top + (last == "index")
-    return out, n, sum(r[2] for r in rows)
-
-
 def _merge_input(strings: DataFrame, ranks: DataFrame, least: int) -> DataFrame:
-    """Tuples of all suffixes, range-partitioned and sorted by their first two symbols."""
+    """Tuples of all suffixes, range-partitioned by their first two symbols."""
     parents = ranks.select("sid", F.shiftright("path", 1).alias("path"), (F.col("path") % 2 + 1).cast("int").alias("kind"), "syms")
     both = strings.select("sid", "path", F.lit(0).alias("kind"), "syms").unionByName(parents)
     tuples = both.repartition("sid", "path").sortWithinPartitions("sid", "path", "kind").mapInArrow(_tuples(least), TUPLES)
-    return tuples.repartitionByRange("k0", "k1").sortWithinPartitions("k0", "k1")
+    return tuples.repartitionByRange("k0", "k1")
 
 
 def _sampled(strings: DataFrame) -> DataFrame:
     """Strings of the ranks of the suffixes at 1 and 2 modulo 3: (sid, 2 * path, ranks) and (sid, 2 * path + 1, ranks)."""
     spark = strings.sparkSession
-    named = cut(strings.mapInArrow(_triples, "a long, b long, c long, sid long, path long, i int").repartitionByRange("a", "b", "c").sortWithinPartitions("a", "b", "c").mapInArrow(_names, NAMED))
-    offsets, names, rows = _offsets(named, "name")
-    lower = cut(_gathered(named, offsets))
-    drop_cut(named)
+    triples = strings.mapInArrow(_triples, "a long, b long, c long, sid long, path long, i int").repartitionByRange("a", "b", "c")
+    lower = cut(_gathered(triples.mapInArrow(_sorted(["a", "b", "c"], _names), NUMBERED)))
+    tied, rows = lower.agg(F.sum("tied"), F.sum("n")).first()
     _release(spark)
-    if names == rows:
+    if not tied:
         return lower
-    ranks = suffix_ranks(lower, rows)
+    ranks = suffix_ranks(lower.select("sid", "path", "syms"), rows)
     drop_cut(lower)
     return ranks
 
 
 def suffix_ranks(strings: DataFrame, symbols: int) -> DataFrame:
-    """(sid, path, ranks) of strings (sid, path, syms): for each position, the rank of its suffix among those of all strings.
+    """(sid, path, ranks) of strings (sid, path, syms): for each position, a number that orders its suffix among those of all strings.
 
     strings is a table made by cut(), of `symbols` symbols; each string's last symbol occurs nowhere else.
     """
     if symbols <= BASE:
         return cut(strings.repartition(1).mapInArrow(_ordered, STRINGS))
     ranks = _sampled(strings)
-    ranged = cut(_merge_input(strings, ranks, 0).mapInArrow(_ranked, NAMED))
-    offsets, _, _ = _offsets(ranged, "index")
-    out = cut(_gathered(ranged, offsets))
-    drop_cut(ranks), drop_cut(ranged)
+    out = cut(_gathered(_merge_input(strings, ranks, 0).mapInArrow(_whole(_ranked), NUMBERED)))
+    drop_cut(ranks)
     _release(strings.sparkSession)
     return out
 
@@ -435,7 +448,7 @@ def _spans(least: int):
         last = np.concatenate((first[1:] - 1, [len(i) - 1]))
         return pa.RecordBatch.from_arrays([pa.array(sid[first]), pa.array(i[first].astype(np.int32)), pa.array((i[last] + least).astype(np.int32))], names=["sid", "a", "b"])
 
-    return _grouped(["sid"], work)
+    return work
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -452,20 +465,20 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) ->
     small_batches(spark, 20_000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(3), "text")})
-    seen = rows.select("doc_id", "h1", "h2", "text").mapInArrow(_texts(least, gram), "doc_id long, h1 long, h2 long, n_words long, picked binary, places binary")
-    texts = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("ids"), F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"), F.first("picked").alias("picked"), F.first("places").alias("places"))
+    seen = rows.select("doc_id", "h1", "h2", "text").mapInArrow(_texts(least, gram), "doc_id long, h1 long, h2 long, n_words long, picked binary")
+    texts = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("ids"), F.count("*").alias("n_rows"), F.first("n_words").alias("n_words"), F.first("picked").alias("picked"))
     texts = cut(texts.withColumn("tid", F.monotonically_increasing_id()))
-    hits = texts.select("tid", "picked", "places").mapInArrow(_each_pick, "h long, tid long, place int").repartition("h").sortWithinPartitions("h").mapInArrow(_grouped(["h"], _again), "tid long, place int")
-    wanted = hits.groupBy("tid").agg(F.collect_set("place").alias("places")).join(texts.select("tid", "rep", F.col("h1").alias("__h1"), F.col("h2").alias("__h2")), "tid")
-    bodies = rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))).select("tid", "places", "text")
+    hits = texts.select("tid", "picked").mapInArrow(_each_pick, "h long, tid long").repartition("h").mapInArrow(_sorted(["h"], _again), "tid long, h long")
+    wanted = hits.groupBy("tid").agg(F.collect_set("h").alias("again")).join(texts.select("tid", "rep", F.col("h1").alias("__h1"), F.col("h2").alias("__h2")), "tid")
+    bodies = rows.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2"))).select("tid", "again", "text")
     segments = bodies.mapInArrow(_segments(least, gram), "tid long, start int, codes binary")
     if texts.where("n_rows > size(ids)").limit(1).count():
         segments = segments.dropDuplicates(["tid", "start"])
     segments = cut(segments.withColumn("sid", F.monotonically_increasing_id()))
     strings = cut(segments.select("sid", "codes").mapInArrow(_ended, STRINGS))
     _release(spark)
-    marks = _merge_input(strings, _sampled(strings), least).mapInArrow(_grouped(["k0", "k1"], _neighbours), "sid long, i int")
-    spans = marks.repartition("sid").sortWithinPartitions("sid", "i").mapInArrow(_spans(least), "sid long, a int, b int")
+    marks = _merge_input(strings, _sampled(strings), least).mapInArrow(_whole(_neighbours), "sid long, i int")
+    spans = marks.repartition("sid").mapInArrow(_sorted(["sid", "i"], _spans(least)), "sid long, a int, b int")
     owners = texts.select("tid", "ids", "n_words")
     found = spans.join(segments.select("sid", "tid", "start"), "sid").join(owners.where("size(ids) = 1"), "tid")
     found = found.select(F.col("ids")[0].alias("doc_id"), (F.col("start") + F.col("a")).alias("start_word"), (F.col("start") + F.col("b")).alias("end_word"))
