@@ -1,7 +1,7 @@
 """From counts to exact integer distributions; no floating-point number is involved, so encoder and decoder agree by construction.
 
 Every symbol of a context gets a width of n * (TOTAL - V) div sum + 1, and the most frequent one (the lowest on a tie) takes what is left, so
-that widths add up to TOTAL.
+that widths add up to TOTAL. Where nothing was counted, all symbols weigh the same.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def integer_cdf(counts: DataFrame, context: list[str], symbol: str = "symbol", n
     whole = Window.partitionBy(*context)
     rows = counts.select(*context, symbol, F.col(n).cast("long").alias("__n"))
     rows = rows.withColumns({"__sum": F.sum("__n").over(whole), "__v": F.count(F.lit(1)).over(whole)})
-    rows = rows.withColumn("__w", F.expr(f"__n * ({TOTAL} - __v) div greatest(__sum, 1) + 1"))
+    rows = rows.withColumn("__w", F.expr(f"if(__sum > 0, __n * ({TOTAL} - __v) div __sum, ({TOTAL} - __v) div __v) + 1"))
     rows = rows.withColumns({"__rest": F.lit(TOTAL) - F.sum("__w").over(whole), "__top": F.row_number().over(whole.orderBy(F.desc("__n"), F.asc(symbol)))})
     rows = rows.withColumn("width", (F.col("__w") + F.when(F.col("__top") == 1, F.col("__rest")).otherwise(0)).cast("long"))
     below = whole.orderBy(F.asc(symbol)).rowsBetween(Window.unboundedPreceding, -1)
@@ -36,7 +36,8 @@ def cumulative(counts: np.ndarray) -> np.ndarray:
     v = counts.shape[1]
     if v >= TOTAL:
         raise ValueError("more symbols than the precision holds")
-    width = counts * (TOTAL - v) // np.maximum(counts.sum(axis=1, keepdims=True), 1) + 1
+    counts = np.where(counts.sum(axis=1, keepdims=True) > 0, counts, 1)
+    width = counts * (TOTAL - v) // counts.sum(axis=1, keepdims=True) + 1
     width[np.arange(len(width)), counts.argmax(axis=1)] += TOTAL - width.sum(axis=1)
     return np.concatenate((np.zeros((len(width), 1), np.int64), np.cumsum(width, axis=1)), axis=1)
 

@@ -7,13 +7,14 @@ import re
 
 PLACE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 SUBMIT = "spark-submit --master {{ master }} --name {{ job_name }} --conf spark.executor.instances={{ executors }} --conf spark.executor.memory={{ memory }} --conf spark.checkpoint.dir={{ shared_dir }} {{ script }} {{ mode }} {{ input_url }} {{ output_url }}"
+ARGUMENTS = re.split(r" (?![^{]*\}\})", SUBMIT)
 
 TEMPLATES: dict[str, tuple[str, str]] = {
     "local": ("sh", f"#!/bin/sh\nset -eu\n{SUBMIT}\n"),
     "slurm": ("sbatch", f"#!/bin/bash\n#SBATCH --job-name={{{{ job_name }}}}\n#SBATCH --nodes={{{{ executors }}}}\nset -eu\n{SUBMIT}\n"),
     "k8s": ("yaml", 'apiVersion: batch/v1\nkind: Job\nmetadata:\n  name: {{ job_name }}\nspec:\n  backoffLimit: 2\n  template:\n    spec:\n      restartPolicy: Never\n      containers:\n        - name: driver\n          image: {{ image }}\n          command: ["/bin/sh", "-c", "' + SUBMIT + '"]\n'),
-    "aws-batch": ("json", json.dumps({"jobName": "{{ job_name }}", "jobQueue": "{{ queue }}", "jobDefinition": "{{ image }}", "retryStrategy": {"attempts": 2}, "containerOverrides": {"command": SUBMIT.split(" ")}}, indent=2)),
-    "gcp-batch": ("json", json.dumps({"taskGroups": [{"taskCount": 1, "taskSpec": {"maxRetryCount": 2, "runnables": [{"container": {"imageUri": "{{ image }}", "commands": SUBMIT.split(" ")}}]}}], "labels": {"job": "{{ job_name }}"}}, indent=2)),
+    "aws-batch": ("json", json.dumps({"jobName": "{{ job_name }}", "jobQueue": "{{ queue }}", "jobDefinition": "{{ image }}", "retryStrategy": {"attempts": 2}, "containerOverrides": {"command": ARGUMENTS}}, indent=2)),
+    "gcp-batch": ("json", json.dumps({"taskGroups": [{"taskCount": 1, "taskSpec": {"maxRetryCount": 2, "runnables": [{"container": {"imageUri": "{{ image }}", "commands": ARGUMENTS}}]}}], "labels": {"job": "{{ job_name }}"}}, indent=2)),
     "modal": ("py", 'import subprocess\n\nimport modal\n\napp = modal.App("{{ job_name }}")\n\n\n@app.function(image=modal.Image.from_registry("{{ image }}"))\ndef main():\n    subprocess.run("""' + SUBMIT + '""".split(), check=True)\n'),
     "ray": ("py", 'import subprocess\n\nimport ray\n\nray.init()\n\n\n@ray.remote\ndef main():\n    subprocess.run("""' + SUBMIT + '""".split(), check=True)\n\n\nray.get(main.remote())\n'),
 }
