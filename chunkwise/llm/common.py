@@ -57,6 +57,16 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have yet."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in df.columns}:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def word_array(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), SEPARATORS, " "), " "), lambda w: w != "")

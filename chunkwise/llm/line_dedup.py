@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, table, unused
 
 KEYED = "k1 long, k2 long, doc_id long, pos int, n_lines int, known int"
 FLAGS = "doc_id long, pos int, n_lines int, keep boolean"
@@ -129,18 +129,20 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     Documents with a null id, a null text or nothing to drop stay as they are. n_chars, if there, is set anew for
     texts that changed.
     """
-    maps = keep_bitmaps(docs).where("n_kept < n_lines").select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
-    joined = docs.join(maps, F.col("doc_id") == F.col("__id"), "left")
-    out = joined.withColumn("__text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(_rebuild("text", "__runs")))
-    out = out.where(F.col("__runs").isNull() | (F.trim(F.regexp_replace("__text", "\\s+", " ")) != "") | F.col("__text").isNull())
+    key, runs, body = unused(docs, "__id", "__runs", "__text")
+    maps = keep_bitmaps(docs).where("n_kept < n_lines").select(F.col("doc_id").alias(key), F.col("runs").alias(runs))
+    joined = docs.join(maps, F.col("doc_id") == F.col(key), "left")
+    same = F.col(runs).isNull()
+    out = joined.withColumn(body, F.when(same, F.col("text")).otherwise(_rebuild("text", runs)))
+    out = out.where(same | (F.trim(F.regexp_replace(body, "\\s+", " ")) != "") | F.col(body).isNull())
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("__text").alias("text"))
+            columns.append(F.col(body).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__runs").isNull(), F.col(c)).otherwise(F.length("__text").cast("long")).alias(c))
+            columns.append(F.when(same, F.col(c)).otherwise(F.length(body).cast("long")).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(F.col(f"`{c}`"))
     return out.select(*columns)
 
 

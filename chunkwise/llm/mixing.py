@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: dict[tuple, float] = WEIGHTS, total: int | Non
     tokens = token_count(F.col("text")) if tokens is None else tokens
     path = [F.coalesce(domain_of(F.col("source")), F.lit("web")), *(F.coalesce(F.col(c), F.lit("\0null")) for c in LEVELS[1:])]
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("__epoch"), F.col("doc_id")))
-    base = docs.withColumn("__tokens", tokens).where("__tokens > 0 and doc_id is not null")
+    base = docs.select("doc_id", "text", "lang", "source", tokens.alias("__tokens")).where("__tokens > 0 and doc_id is not null")
     base = base.select("*", *(p.alias(f"__{c}") for p, c in zip(path, LEVELS)))
     light = base.select("doc_id", "__tokens", *(f"__{c}" for c in LEVELS), F.md5("text").alias("__text"))
     light = light.withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("__order", order)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, small_batches, table, word_array
+from .common import flat, small_batches, table, unused, word_array
 
 #: Labelled rows that the classifier is fitted on, and documents of the co-training pool, at most.
 LABELLED, POOL = 6000, 4000
@@ -171,7 +171,7 @@ class Model:
 
 class _Rows:
     def __init__(self, pdf):
-        self.words, self.meta = [np.asarray(x) for x in pdf["words"]], [np.asarray(x) for x in pdf["meta"]]
+        self.words, self.meta = [np.asarray(x, np.int64) for x in pdf["words"]], [np.asarray(x, np.int64) for x in pdf["meta"]]
         self.scale = _scale(pdf["n"].to_numpy())
         self.y = pdf["good"].to_numpy(dtype=float)
 
@@ -234,16 +234,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = LABELLED, max_po
 
 
 def _scores(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch whose columns are named __w, __lang, __source and __body."""
-    get = lambda c: batch.column(batch.schema.get_field_index(c))
-    words, at = flat(get("__w"))
+    """Of a batch whose last columns are words, language, source and text."""
+    w, lang, source, body = batch.columns[-4:]
+    words, at = flat(w)
     n = np.diff(at)
     slots = _slots(words) if len(words) else np.zeros(0, np.int64)
     rows = np.repeat(np.arange(len(n)), n)
     used = model.text.weights[slots] != 0
     key = np.unique(rows[used] * (1 << WORD_BITS) + slots[used])
     t = model.text.logit(model.text.raw(key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), _scale(n // 2)))
-    meta = _meta_features(get("__lang"), get("__source"), get("__body"))
+    meta = _meta_features(lang, source, body)
     m = model.meta.logit(model.meta.weights[meta].sum(axis=1) + model.meta.bias)
     return _sigmoid(t), _sigmoid(m), model.score(t, m)
 
@@ -267,7 +267,8 @@ def _keeper(sent, width: int) -> Callable:
 
 
 def _with_features(docs: DataFrame) -> DataFrame:
-    return docs.select("*", _word_features(F.col("text")).alias("__w"), F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("text").alias("__body"))
+    names = unused(docs, "__w", "__lang", "__source", "__body")
+    return docs.select("*", *(c.alias(n) for c, n in zip((_word_features(F.col("text")), F.col("lang"), F.col("source"), F.col("text")), names)))
 
 
 def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
