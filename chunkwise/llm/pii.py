@@ -26,7 +26,7 @@ KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 T = len(TAGS)
 #: Rows of the labelled table, hashed features, passes of training, tokens on either side of a digit that may be labelled.
-EXAMPLES, SLOTS, PASSES, NEAR, SEED = 1000, 1 << 15, 60, 2, 23
+EXAMPLES, SLOTS, PASSES, NEAR, SEED = 1000, 1 << 15, 80, 2, 23
 TOKEN = re.compile(r"[^\s,;|<>\"'!#$%&*={}\[\]`~^]+")
 HINT = re.compile(r"[0-9@]")
 LEAD, TAIL = "-.:/\\)?_", ".:?-/\\(_"
@@ -66,7 +66,7 @@ def _describe(word: str) -> list[str]:
     digits = shape.count("9")
     hexed = len(word) >= 16 and all(c in "0123456789abcdefABCDEF" for c in word)
     return [
-        f"s{short[:24]}", f"r{runs[:48]}", f"d{min(digits, 24)}", f"n{len(word) if len(word) < 8 else 8 + min(len(word) // 8, 8)}",
+        f"s{short[:24]}", f"r{runs[:48]}", f"d{min(digits, 24)}{'@' * ('@' in word)}", f"n{len(word) if len(word) < 8 else 8 + min(len(word) // 8, 8)}",
         f"@{word.count('@')}.{'.' in word.rpartition('@')[2]}", f"h{hexed}{min(len(word) // 8, 8) if hexed else 0}",
         f"p{shape[:2]}", f"q{shape[-2:]}", f"o{len(parts) == 4 and all(int(p) < 256 for p in parts)}" if len(parts := _DIGITS.findall(word)) == 4 and all(len(p) < 4 for p in parts) and short.count(".") == 3 else "o-",
         f"m{short.count('.')}{short.count('-')}{'/' in short}{':' in short}{'+' in short}{'(' in short}", f"x{digits * 4 // max(len(word), 1)}",
@@ -250,9 +250,9 @@ def labelled_rows(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[t
     letters = lambda a, b: "".join(pick("aeiounrstlhdmcpéäöñ") for _ in range(int(rng.integers(a, b))))
     plain = lambda a, b: "".join(pick("abcdefghilmnoprstuvwz") for _ in range(int(rng.integers(a, b))))
     octet = lambda: str(int(rng.integers(0, 256)))
-    host = lambda: pick([f"mail{digits(1)}.example.com", f"{plain(3, 9)}.{pick(['com', 'org', 'net', 'de', 'co.uk', 'edu', 'io'])}", f"{plain(2, 6)}-{plain(2, 6)}.{pick(['com', 'fr', 'es'])}"])
+    host = lambda: pick([f"mail{digits(1)}.example.com", f"{plain(3, 9)}.{pick(['com', 'org', 'net', 'de', 'co.uk', 'edu', 'io'])}", f"{plain(2, 6)}-{plain(2, 6)}.{pick(['com', 'fr', 'es'])}", f"{plain(1, 3)}.{pick(['org', 'de', 'com'])}", f"{plain(3, 7)}.{plain(3, 9)}.{pick(['org', 'com', 'net'])}"])
     make = {
-        "EMAIL": lambda: pick([f"{plain(2, 9)}.{digits(2)}", f"{plain(2, 8)}.{plain(2, 9)}", plain(3, 10), f"{plain(2, 8)}_{digits(int(rng.integers(1, 4)))}", f"{plain(2, 6)}+{plain(2, 5)}", f"{letters(2, 7)}.{digits(2)}", f"{plain(2, 8).upper()}"]) + "@" + host(),
+        "EMAIL": lambda: pick([f"{plain(2, 9)}.{digits(2)}", f"{plain(2, 8)}.{plain(2, 9)}", plain(3, 10), f"{plain(2, 8)}_{digits(int(rng.integers(1, 4)))}", f"{plain(2, 6)}+{plain(2, 5)}", f"{letters(2, 7)}.{digits(2)}", f"{plain(2, 8).upper()}", digits(int(rng.integers(1, 7)))]) + "@" + host(),
         "PHONE": lambda: pick([f"+1 ({digits(3)}) 555-{digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{pick(['33', '34', '44', '49'])} {digits(int(rng.integers(1, 4)))} {digits(3)} {digits(int(rng.integers(3, 5)))}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(11)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+1 {digits(3)} {digits(3)} {digits(4)}"]),
         "IP": lambda: ".".join(octet() for _ in range(4)),
         "CARD": lambda: pick([digits(16), digits(16), digits(16), f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", "-".join(digits(4) for _ in range(4)), digits(15)]),
