@@ -153,7 +153,7 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(license, coverage, aligned words, template's words, start, end) of stretches that cover a template, none overlapping.
 
-        Of stretches that overlap the one with the most coverage stays, then the one with more aligned words.
+        Of stretches that overlap the one with the most aligned words stays, then the one with more coverage.
         """
         low = text.lower()
         if len(low) != len(text):
@@ -178,7 +178,7 @@ class Scanner:
                 n = len(self.words[k])
                 if pairs and len(pairs) >= self.coverage * n - 1e-9 and len(pairs) >= DENSITY * (pairs[-1][0] - pairs[0][0] + 1):
                     found.append((len(pairs) / n, len(pairs), k, a + pairs[0][0], a + pairs[-1][0] + 1))
-        found.sort(key=lambda f: (-f[0], -f[1], f[3], f[2]))
+        found.sort(key=lambda f: (-f[1], -f[0], f[3], f[2]))
         taken: list[tuple] = []
         for f in found:
             if all(f[4] <= g[3] or f[3] >= g[4] for g in taken):
