@@ -4,7 +4,9 @@ Words that are unique in both a stretch of text and a template are anchors; thei
 the gaps between anchors are aligned in the same way. Coverage is the share of the template's words that are aligned.
 
 For each template there is a set of rare words, at least one of which is in any stretch that covers enough of it; one Aho-Corasick
-automaton finds them all in a single pass, and only around them is anything aligned. That drops nothing.
+automaton finds them all in a single pass, and only around them is anything aligned. Each window around them that has enough words of the
+template, and begins and ends with words that may be aligned, is a candidate; overlaps are resolved after verification. So each stretch that is
+covered when aligned by itself, from its first word to its last, is found, or one that overlaps it.
 """
 
 from __future__ import annotations
@@ -127,6 +129,21 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _rank(aligned: int, width: int) -> int:
+    """By which stretches of one template are chosen: words at an end that stand apart by more than twice as many others don't pay, as in _compact()."""
+    return 3 * aligned - width
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """Of (.., start, end) in order of preference, those that overlap none before them."""
+    taken: list[tuple] = []
+    for f in found:
+        at = bisect_left(taken, f[3], key=lambda g: g[3])
+        if (at == 0 or taken[at - 1][4] <= f[3]) and (at == len(taken) or taken[at][3] >= f[4]):
+            taken.insert(at, f)
+    return taken
+
+
 class Scanner:
     """The templates, and the words by which stretches that cover one of them are found."""
 
@@ -173,36 +190,78 @@ class Scanner:
                     places[k].append(i)
         found = []
         for k in sorted(hit):
-            for a, b in self._stretches(own, places[k], k):
-                pairs = self._compact(patience(own[a:b], self.words[k]))
-                n = len(self.words[k])
-                if pairs and len(pairs) >= self.coverage * n - 1e-9 and len(pairs) >= DENSITY * (pairs[-1][0] - pairs[0][0] + 1):
-                    found.append((len(pairs) / n, len(pairs), k, a + pairs[0][0], a + pairs[-1][0] + 1))
+            for a, b in self._regions(len(own), places[k], k):
+                found += self._covering(own, a, b, k)
         found.sort(key=lambda f: (-f[1], -f[0], f[3], f[2]))
-        taken: list[tuple] = []
-        for f in found:
-            if all(f[4] <= g[3] or f[3] >= g[4] for g in taken):
-                taken.append(f)
-        return sorted(((self.names[k], c, m, len(self.words[k]), at[a][0], at[b - 1][1]) for c, m, k, a, b in taken), key=lambda r: r[4])
-
-    def _stretches(self, own: list[str], hits: list[int], k: int) -> list[tuple[int, int]]:
-        """Words around key words that belong to one occurrence, at most."""
-        n = len(self.words[k])
-        groups: list[list[int]] = []
-        seen: Counter = Counter()
+        return sorted(((self.names[k], c, m, len(self.words[k]), at[a][0], at[b - 1][1]) for c, m, k, a, b in _apart(found)), key=lambda r: r[4])
+
+    def _regions(self, n_own: int, hits: list[int], k: int) -> list[tuple[int, int]]:
+        """Words that may lie in a stretch with one of the hits, which has n / DENSITY words at most; regions that meet are one."""
+        reach = int(len(self.words[k]) / DENSITY)
+        out: list[list[int]] = []
         for i in hits:
-            if not groups or i - groups[-1][-1] > 2 * n or seen[own[i]] >= self.counts[k][own[i]]:
-                groups.append([])
-                seen = Counter()
-            groups[-1].append(i)
-            seen[own[i]] += 1
-        out = []
-        for g, group in enumerate(groups):
-            low = groups[g - 1][-1] + 1 if g else 0
-            high = groups[g + 1][0] if g + 1 < len(groups) else len(own)
-            out.append((max(low, group[0] - 2 * n), min(high, group[-1] + 1 + 2 * n)))
+            low, high = max(0, i - reach + 1), min(n_own, i + reach)
+            if out and low <= out[-1][1]:
+                out[-1][1] = high
+            else:
+                out.append([low, high])
+        return [(a, b) for a, b in out]
+
+    def _windows(self, own: list[str], low: int, high: int, k: int) -> list[tuple[int, int, int]]:
+        """(rank at most, start, end) of all windows of a region that may be a stretch.
+
+        Such a window has n / DENSITY words at most and a common subsequence with the template that covers it, and begins and ends with words
+        that are aligned: at most n - least of the template's words lie before the first one and behind the last one.
+        """
+        words, counts = self.words[k], self.counts[k]
+        n = len(words)
+        least, reach = max(1, math.ceil(self.coverage * n - 1e-9)), int(n / DENSITY)
+        spots = [i for i in range(low, high) if own[i] in counts]
+        if len(spots) < least:
+            return []
+        first, last, bits = set(words[: n - least + 1]), set(words[least - 1 :]), dict.fromkeys(counts, 0)
+        for j, w in enumerate(words):
+            bits[w] |= 1 << j
+        # words that the widest window at each spot shares with the template in any order, by sliding it
+        held: Counter = Counter()
+        out, shared, right = [], 0, 0
+        for left, a in enumerate(spots):
+            while right < len(spots) and spots[right] < a + reach:
+                w = own[spots[right]]
+                held[w] += 1
+                shared += held[w] <= counts[w]
+                right += 1
+            if shared >= least and own[a] in first:
+                # longest common subsequence with each window from here on, bit-parallel: the zeros of `row`
+                full = row = (1 << n) - 1
+                for i in spots[left:right]:
+                    hit = row & bits[own[i]]
+                    row = (row + hit | row - hit) & full
+                    common = n - row.bit_count()
+                    if common >= least and own[i] in last and common >= DENSITY * (i + 1 - a):
+                        out.append((_rank(common, i + 1 - a), a, i + 1))
+            w = own[a]
+            shared -= held[w] <= counts[w]
+            held[w] -= 1
         return out
 
+    def _covering(self, own: list[str], low: int, high: int, k: int) -> list[tuple[float, int, int, int, int]]:
+        """(coverage, aligned words, template, start, end) of the stretches of a region that cover a template, none overlapping.
+
+        A window that meets a stretch whose rank it can't exceed isn't aligned.
+        """
+        n, found, near = len(self.words[k]), [], {}
+        reach = int(n / DENSITY)
+        for most, a, b in sorted(self._windows(own, low, high, k), key=lambda w: (-w[0], w[1], w[2])):
+            if any(r >= most and a < y and x < b for c in range(a // reach - 1, (b - 1) // reach + 1) for r, x, y in near.get(c, ())):
+                continue
+            pairs = self._compact(patience(own[a:b], self.words[k]))
+            if pairs and len(pairs) >= self.coverage * n - 1e-9 and len(pairs) >= DENSITY * (pairs[-1][0] - pairs[0][0] + 1):
+                x, y = a + pairs[0][0], a + pairs[-1][0] + 1
+                near.setdefault(x // reach, []).append((_rank(len(pairs), y - x), x, y))
+                found.append((len(pairs) / n, len(pairs), k, x, y))
+        return _apart(sorted(found, key=lambda f: (-_rank(f[1], f[4] - f[3]), f[3])))
+
     @staticmethod
     def _compact(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Without aligned words at either end that stand apart from the rest by more words than they are."""

@@ -201,6 +201,42 @@ def test_license_scan_misses_nothing_that_aligning_everywhere_finds():
         assert found and max(f[2] for f in found) >= len(pairs)
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Foo version 1.3. {}", 1), ("apache apache version {}", 1), ("{} Version 3 of apache", 1), ("version {} version apache", 1),
+    ("{} {} version {}", 3), ("apache. {} Foo version 1.3. {}", 2),
+])
+def test_stray_key_words_do_not_cut_a_license(text, names):
+    scanner, own = licenses.Scanner(licenses.TEMPLATES), "Licensed under the Apache License, Version 2.0."
+    parts = text.split("{}")
+    want, at = [], 0
+    for part in parts[:-1]:
+        at += len(part)
+        want.append(("Apache-2.0", 1.0, at, at + len(own) - 1))
+        at += len(own)
+    assert len(want) == names and [(f[0], f[1], f[4], f[5]) for f in scanner.scan(text.replace("{}", own))] == want
+    assert [f[:2] for f in scanner.scan("version Licensed under the Apache version License, Version 2.0.")] == [("Apache-2.0", 1.0)]
+
+
+def test_license_scan_finds_what_some_window_of_aligned_ends_covers():
+    rng = random.Random(8)
+    template = "alpha beta gamma of the delta beta epsilon of zeta".split()
+    scanner, n, some = licenses.Scanner([("T", " ".join(template))]), len(template), 0
+    for _ in range(150):
+        own = [rng.choice(template + ["x", "y"]) for _ in range(8)] + template + [rng.choice(template + ["x", "y"]) for _ in range(8)]
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(8, 18)] = rng.choice(template + ["x"])
+        best = 0
+        for a in range(len(own)):
+            for b in range(a + 8, min(len(own), a + 2 * n) + 1):
+                pairs = licenses.Scanner._compact(licenses.patience(own[a:b], template))
+                if len(pairs) >= 8 and pairs[0][0] == 0 and pairs[-1][0] == b - a - 1:
+                    best = max(best, len(pairs))
+        found = scanner.scan(" ".join(own))
+        assert bool(found) == bool(best)
+        some += bool(best)
+    assert 30 < some
+
+
 def test_licenses_on_odd_tables(spark):
     text = "Lorem ipsum.\nReleased under the MIT License.\nDolor. Released under the MIT License."
     got = cases.tuples(licenses.license_scan(cases.odd(spark, [(8, text, "en", "s"), (9, "no license at all here", "en", "s")])), "doc_id", "license", "coverage", "start_char", "end_char")
