@@ -1,8 +1,7 @@
 """Quality classifier by co-training: one classifier reads the words, the other what is known about the page.
 
-Both start from a bounded sample of labelled rows. In each round either view labels the documents of a bounded pool
-of which it is surest, and the other view learns from them; the pool is small by design, as in the first
-description of the method (Blum and Mitchell, 1998). The calibrated views are then combined and score all documents.
+Both start from a bounded sample of labelled rows. In each round either view scores all documents whose labels aren't used, over
+the cluster, and the other view learns from those of which it is surest. The calibrated views are then combined and score all documents.
 A good document is one of good quality that isn't toxic.
 """
 
@@ -13,13 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat, small_batches, table, unused, word_array
+from .common import cut, drop_cut, flat, small_batches, table, unused, word_array
 
-#: Labelled rows that the classifier is fitted on, and documents of the co-training pool, at most.
-LABELLED, POOL = 6000, 4000
+#: Labelled rows that the classifier is fitted on, at most.
+LABELLED = 6000
 ROUNDS, EXCHANGED, SURE, SEED = 3, 300, 0.97, 11
 WORD_BITS, META_BITS = 20, 14
 STEM = 5
@@ -75,17 +74,17 @@ def _slots(words: np.ndarray) -> np.ndarray:
     return (words.view(np.uint64) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
+FEATURES = "doc_id long, key long, words binary, meta binary, n int"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: id, words, lang, source, text, good."""
+    """Columns: id, key, words, lang, source, text. Slots are written as int32."""
     for batch in batches:
-        words, at = flat(batch.column(1))
+        words, at = flat(batch.column(2))
         slots = _slots(words) if len(words) else words
-        own = [np.unique(slots[at[i] : at[i + 1]]).astype(np.int32) for i in range(batch.num_rows)]
-        meta = _meta_features(batch.column(2), batch.column(3), batch.column(4)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(5), pa.array(own, pa.list_(pa.int32())), pa.array(list(meta), pa.list_(pa.int32())), pa.array(np.diff(at).astype(np.int32) // 2)],
-            names=["doc_id", "good", "words", "meta", "n"],
-        )
+        own = [np.unique(slots[at[i] : at[i + 1]]).astype(np.int32).tobytes() for i in range(batch.num_rows)]
+        meta = [m.tobytes() for m in _meta_features(*batch.columns[3:6]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.array(meta, pa.binary()), pa.array(np.diff(at).astype(np.int32) // 2)], names=["doc_id", "key", "words", "meta", "n"])
 
 
 @dataclass
@@ -170,10 +169,11 @@ class Model:
 
 
 class _Rows:
+    """Rows of a pandas frame with the columns words, meta and n."""
+
     def __init__(self, pdf):
-        self.words, self.meta = [np.asarray(x, np.int64) for x in pdf["words"]], [np.asarray(x, np.int64) for x in pdf["meta"]]
+        self.words, self.meta = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["words"]], [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["meta"]]
         self.scale = _scale(pdf["n"].to_numpy())
-        self.y = pdf["good"].to_numpy(dtype=float)
 
     def view(self, k: int) -> tuple[list[np.ndarray], np.ndarray, int, int]:
         return (self.words, self.scale, 1 << WORD_BITS, 4) if k == 0 else (self.meta, np.ones(len(self.meta)), 1 << META_BITS, 3)
@@ -184,56 +184,118 @@ def _raw(view: View, lists: list[np.ndarray], scale: np.ndarray) -> np.ndarray:
     return view.raw(rows, np.concatenate(lists), scale) if len(lists) else np.zeros(0)
 
 
-def co_train(labelled, pool, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Model:
-    """Fit both views; pandas frames of (good, words, meta, n), the pool's good is not read."""
-    known, rest = _Rows(labelled), _Rows(pool)
-    held = np.arange(len(known.y)) % 5 == 0
-    prior = float(np.log((known.y.sum() + 1) / ((1 - known.y).sum() + 1)))
-    extra: list[dict[int, float]] = [{}, {}]
+def co_train(labelled, surest: Callable, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Model:
+    """Fit both views on a pandas frame of (good, words, meta, n).
+
+    surest(views, taken, wanted) gives, for each view, rows (key, label, words, meta, n) of the unlabelled documents of which it is
+    surest: wanted[label] of each label at most, without the keys taken[view].
+    """
+    known, y_known = _Rows(labelled), labelled["good"].to_numpy(dtype=float)
+    held = np.arange(len(y_known)) % 5 == 0
+    prior = float(np.log((y_known.sum() + 1) / ((1 - y_known).sum() + 1)))
+    extra: list[list] = [[], []]
     views: list[View] = []
     for turn in range(rounds + 1):
         views = []
         for k in (0, 1):
             lists, scale, size, least = known.view(k)
-            more, more_scale, _, _ = rest.view(k)
-            ids = sorted(extra[k])
-            rows = [x for x, h in zip(lists, held) if not h] + [more[i] for i in ids]
-            y = np.concatenate([known.y[~held], [extra[k][i] for i in ids]])
-            view = _fit(rows, np.concatenate([scale[~held], more_scale[ids] if ids else np.zeros(0)]), y, size, least)
-            _calibrate(view, _raw(view, [x for x, h in zip(lists, held) if h], scale[held]), known.y[held])
+            more = [_Rows(pdf).view(k) for pdf in extra[k]]
+            rows = [x for x, h in zip(lists, held) if not h] + [x for m in more for x in m[0]]
+            y = np.concatenate([y_known[~held], *(pdf["label"].to_numpy(dtype=float) for pdf in extra[k])])
+            view = _fit(rows, np.concatenate([scale[~held], *(m[1] for m in more)]), y, size, least)
+            _calibrate(view, _raw(view, [x for x, h in zip(lists, held) if h], scale[held]), y_known[held])
             views.append(view)
-        if turn == rounds or not len(rest.words):
+        if turn == rounds or not len(y_known):
             break
-        for k in (0, 1):
-            lists, scale, _, _ = rest.view(k)
-            p = _sigmoid(views[k].logit(_raw(views[k], lists, scale)))
-            free = np.array([i not in extra[1 - k] for i in range(len(p))])
-            share = known.y.mean() if len(known.y) else 0.5
-            for label, sure, n in ((1.0, p, int(exchanged * share)), (0.0, 1 - p, int(exchanged * (1 - share)))):
-                best = np.argsort(-np.where(free, sure, -1), kind="stable")[:n]
-                extra[1 - k].update({int(i): label for i in best if sure[i] >= SURE and free[i]})
+        share = y_known.mean()
+        wanted = {1: int(exchanged * share), 0: int(exchanged * (1 - share))}
+        taken = [np.concatenate([np.zeros(0, np.int64), *(pdf["key"].to_numpy(np.int64) for pdf in extra[1 - k])]) for k in (0, 1)]
+        for k, pdf in enumerate(surest(views, taken, wanted)):
+            if len(pdf):
+                extra[1 - k].append(pdf)
     return Model(views[0], views[1], prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = LABELLED, max_pool: int = POOL) -> Model:
-    """Co-train on at most max_labelled labelled rows and max_pool others, chosen by a seeded hash of the id."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    order = lambda c: F.xxhash64(F.lit(SEED), F.col(c))
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q"), F.max(F.coalesce("toxic", F.lit(0))).alias("__t"))
-    sample = marks.orderBy(order("__id"), "__id").limit(max_labelled).select("__id", F.expr("cast(__q = 1 and __t = 0 as int)").alias("__good"))
-    drawn = docs.select(F.col("doc_id").alias("__id")).where("__id is not null").orderBy(order("__id"), "__id").limit(max_pool)
-    others = drawn.join(marks, "__id", "left_anti").distinct().select("__id", F.lit(None).cast("int").alias("__good"))
-    chosen = sample.unionByName(others)  # bounded by the two parameters
-    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
-    sparse = rows.select(F.col("doc_id").cast("long").alias("doc_id"), _word_features(F.col("text")).alias("__w"), "lang", "source", "text", F.col("__good").alias("good")).mapInArrow(
-        _features, "doc_id long, good int, words array<int>, meta array<int>, n int"
-    )
-    pdf = sparse.toPandas().sort_values("doc_id", kind="stable")
-    return co_train(pdf[pdf["good"].notna()], pdf[pdf["good"].isna()])
-
-
-def _scores(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and offsets of a binary column of int32."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.int32, (offsets[-1] - offsets[0]) // 4, int(offsets[0])) if offsets[-1] > offsets[0] else np.zeros(0, np.int32)
+    return data, (offsets - offsets[0]).astype(np.int64) // 4
+
+
+def _view_scores(text: View, meta: View, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Calibrated log-odds of both views, of a batch whose last columns are words, meta and n."""
+    slots, at = _lists(batch.columns[-3])
+    n = batch.columns[-1].to_numpy()
+    rows = np.repeat(np.arange(len(n)), np.diff(at))
+    used = text.weights[slots] != 0
+    t = text.logit(text.raw(rows[used], slots[used], _scale(n)))
+    m = meta.logit(meta.weights[_lists(batch.columns[-2])[0].reshape(len(n), -1)].sum(axis=1) + meta.bias)
+    return t, m
+
+
+def _candidates(sent) -> Callable:
+    """Of each task and view, the wanted number of distinct documents of each label of which it is surest."""
+    least = float(np.log(SURE / (1 - SURE)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, taken, wanted = sent.value
+        kept = {(k, label): (np.zeros(0), np.zeros(0, np.int64)) for k in (0, 1) for label in wanted}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, scores = batch.column(0).to_numpy(), _view_scores(*views, batch)
+            free = [~np.isin(key, taken[k]) for k in (0, 1)]
+            for (k, label), (best, keys) in kept.items():
+                sure = scores[k] if label else -scores[k]
+                good = free[k] & (sure >= least)
+                keys, first = np.unique(np.concatenate((keys, key[good])), return_index=True)
+                best = np.concatenate((best, sure[good]))[first]
+                order = np.lexsort((keys, -best))[: wanted[label]]
+                kept[k, label] = best[order], keys[order]
+        for (k, label), (best, keys) in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(np.full(len(keys), label, np.int32)), pa.array(best), pa.array(keys)], names=["view", "label", "sure", "key"])
+
+    return run
+
+
+def _surest(pool: DataFrame) -> Callable:
+    """Choose from all of a table of features, as co_train() wants it. Only the chosen rows come to the driver."""
+
+    def choose(views: list[View], taken: list[np.ndarray], wanted: dict[int, int]) -> list:
+        sent = pool.sparkSession.sparkContext.broadcast((views, taken, wanted))
+        found = pool.select("key", "words", "meta", "n").mapInArrow(_candidates(sent), "view int, label int, sure double, key long").distinct()
+        place = F.row_number().over(Window.partitionBy("view", "label").orderBy(F.desc("sure"), "key"))
+        limit = F.when(F.col("label") == 1, wanted[1]).otherwise(wanted[0])
+        best = found.withColumn("place", place).where(F.col("place") <= limit).select("view", "label", "key").toPandas()
+        if not len(best):
+            return [best, best]
+        chosen = pool.sparkSession.createDataFrame(best[["key"]].drop_duplicates(), "key long")
+        rows = pool.select("key", "words", "meta", "n").join(F.broadcast(chosen), "key").dropDuplicates(["key"]).toPandas()
+        return [best[best["view"] == k].merge(rows, on="key").sort_values(["label", "key"]) for k in (0, 1)]
+
+    return choose
+
+
+def _feature_table(docs: DataFrame) -> DataFrame:
+    """The features of all rows, written once. Rows alike in id and content have the same key; other rows of an id are documents of their own."""
+    small_batches(docs.sparkSession)
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source"))]
+    known = docs.select(*columns).withColumn("key", F.xxhash64(F.lit(SEED), *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text", "lang", "source"))))
+    return cut(known.select("doc_id", "key", _word_features(F.col("text")).alias("w"), "lang", "source", "text").mapInArrow(_features, FEATURES))
+
+
+def fit(features: DataFrame, labels: DataFrame, max_labelled: int = LABELLED) -> Model:
+    """Co-train on at most max_labelled labels, chosen by a seeded hash of the id, and on all documents that have none of these."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("__q"), F.max(F.coalesce("toxic", F.lit(0))).alias("__t"))
+    sample = marks.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_labelled).select("doc_id", F.expr("cast(__q = 1 and __t = 0 as int)").alias("good"))
+    rows = sample.toPandas()  # bounded by the parameter
+    chosen = F.broadcast(features.sparkSession.createDataFrame([tuple(map(int, r)) for r in rows.itertuples(index=False)], "doc_id long, good int"))
+    labelled = features.join(chosen, "doc_id").toPandas().sort_values(["doc_id", "key"], kind="stable")
+    return co_train(labelled, _surest(features.join(chosen, "doc_id", "left_anti")))
+
+
+def _scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
     """Of a batch whose last columns are words, language, source and text."""
     w, lang, source, body = batch.columns[-4:]
     words, at = flat(w)
@@ -245,14 +307,16 @@ def _scores(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray
     t = model.text.logit(model.text.raw(key >> WORD_BITS, key & ((1 << WORD_BITS) - 1), _scale(n // 2)))
     meta = _meta_features(lang, source, body)
     m = model.meta.logit(model.meta.weights[meta].sum(axis=1) + model.meta.bias)
-    return _sigmoid(t), _sigmoid(m), model.score(t, m)
+    return model.score(t, m)
 
 
 def _scorer(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for batch in batches:
-            t, m, s = _scores(sent.value, batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t), pa.array(m), pa.array(s), pa.array(s >= 0.5)], names=["doc_id", "p_text", "p_meta", "score", "keep"])
+            t, m = _view_scores(model.text, model.meta, batch)
+            s = model.score(t, m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(t)), pa.array(_sigmoid(m)), pa.array(s), pa.array(s >= 0.5)], names=["doc_id", "p_text", "p_meta", "score", "keep"])
 
     return run
 
@@ -260,7 +324,7 @@ def _scorer(sent) -> Callable:
 def _keeper(sent, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = _scores(sent.value, batch)[2] >= 0.5
+            keep = _scores(sent.value, batch) >= 0.5
             yield batch.select(range(width)).filter(pa.array(keep))
 
     return run
@@ -278,16 +342,16 @@ def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     their own. Labels with null ids or qualities are left out, a null toxic counts as 0, and of contradicting labels the
     worse holds. Rows that repeat an id are scored one by one. Without labels every score is the prior, 0.5.
     """
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
-    return _with_features(docs).drop("text", "lang", "source").mapInArrow(_scorer(sent), "doc_id long, p_text double, p_meta double, score double, keep boolean")
+    features = _feature_table(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(features, labels, **bounds))
+    return features.select("doc_id", "words", "meta", "n").mapInArrow(_scorer(sent), "doc_id long, p_text double, p_meta double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
     """The rows of docs that the classifier keeps, with all their columns."""
-    small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **bounds))
+    features = _feature_table(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(features, labels, **bounds))
+    drop_cut(features)
     return _with_features(docs).mapInArrow(_keeper(sent, len(docs.columns)), docs.schema)
 
 

@@ -100,6 +100,34 @@ def test_quality_on_odd_tables(spark):
     assert {round(r["score"], 3) for r in quality.score(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_learns_from_documents_whose_labels_are_not_used(spark, monkeypatch):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("src"), F.col("id") % 2).alias("source"))
+    labels = docs.select("doc_id", F.expr("cast(doc_id % 2 as int)").alias("quality"), F.lit(0).alias("toxic"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.lit("calm clear prose of plain words " * 9)).otherwise(F.lit("BUY!!! $$$ cheap pills now " * 9)))
+    fits, fit = [], quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda lists, *more: fits.append(len(lists)) or fit(lists, *more))
+    quality.score(docs, labels, max_labelled=600)
+    assert len(fits) == 2 * (quality.ROUNDS + 1) and max(fits) > fits[0] == 480
+
+
+def test_quality_chooses_among_all_documents(spark):
+    docs = table(spark, SF, "documents").dropDuplicates(["doc_id"])
+    once = quality._feature_table(docs)
+    twice = quality._feature_table(docs.unionByName(docs).unionByName(docs.where("doc_id % 7 = 3")))
+    rng = np.random.default_rng(3)
+    views = [quality.View(rng.normal(0, 3, 1 << bits).astype(np.float32), 0.0) for bits in (quality.WORD_BITS, quality.META_BITS)]
+    rows = once.toPandas()
+    part = quality._Rows(rows)
+    for taken in ([], rows["key"][:50].tolist()):
+        got = quality._surest(twice)(views, [np.array(taken, np.int64)] * 2, {1: 20, 0: 10})
+        for k in (0, 1):
+            lists, scale, _, _ = part.view(k)
+            logit = views[k].logit(quality._raw(views[k], lists, scale))
+            for label, n in ((1, 20), (0, 10)):
+                sure = sorted((-s, key) for s, key in zip(logit if label else -logit, rows["key"]) if key not in taken and quality._sigmoid(s) >= quality.SURE)
+                assert got[k].loc[got[k]["label"] == label, "key"].tolist() == sorted(key for _, key in sure[:n])
+
+
 def _signal(rng, n, channels, bits):
     t = np.arange(n)
     x = np.stack([0.4 * np.sin(t / (5 + c)) + rng.choice([0, 0.01, 0.1]) * rng.standard_normal(n) for c in range(channels)], axis=1)
