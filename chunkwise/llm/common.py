@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,22 +31,47 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster shares. Only a local master may do without one; it gets a temporary folder, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chunkwise-")
         atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder in the shared one, deleted when the driver's program ends."""
+    if not _made:
+        atexit.register(_delete_made)
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_made() -> None:
+    for spark, path in _made:
+        if spark.sparkContext._jsc is not None:  # else the session has ended, and with it the way to delete
+            delete(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = new_folder(spark, "cut")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,8 +81,7 @@ def drop_cut(df: DataFrame) -> None:
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/cut-" in name:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, name)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
@@ -119,3 +146,32 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.n
         fresh[1:] = (acc[1:] != acc[:-1]) | (doc[1:] != doc[:-1])
     doc, acc = doc[fresh], acc[fresh]
     return acc, np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(lengths)))))
+
+
+def grouped(keys: list[str], work: Callable[[pa.Table], pa.RecordBatch | None]):
+    """Hand `work` tables of whole groups of a sorted partition, one after the other; a group may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+            new = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            at = np.flatnonzero(new)
+            joined = bool(held) and all(held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() == c[0] for k, c in zip(keys, columns))
+            last = int(at[-1]) + 1 if len(at) else 0
+            if not last and (joined or not held):
+                held.append(batch)
+                continue
+            done = [*held, batch.slice(0, last)] if last else held
+            out = work(pa.Table.from_batches(done).combine_chunks())
+            if out is not None:
+                yield out
+            held = [batch.slice(last)]
+        if held:
+            out = work(pa.Table.from_batches(held).combine_chunks())
+            if out is not None:
+                yield out
+
+    return run

@@ -105,7 +105,7 @@ def test_quality_learns_from_documents_whose_labels_are_not_used(spark, monkeypa
     labels = docs.select("doc_id", F.expr("cast(doc_id % 2 as int)").alias("quality"), F.lit(0).alias("toxic"))
     docs = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.lit("calm clear prose of plain words " * 9)).otherwise(F.lit("BUY!!! $$$ cheap pills now " * 9)))
     fits, fit = [], quality._fit
-    monkeypatch.setattr(quality, "_fit", lambda lists, *more: fits.append(len(lists)) or fit(lists, *more))
+    monkeypatch.setattr(quality, "_fit", lambda data, *more: fits.append(len(data.scale)) or fit(data, *more))
     quality.score(docs, labels, max_labelled=600)
     assert len(fits) == 2 * (quality.ROUNDS + 1) and max(fits) > fits[0] == 480
 
@@ -116,16 +116,15 @@ def test_quality_chooses_among_all_documents(spark):
     twice = quality._feature_table(docs.unionByName(docs).unionByName(docs.where("doc_id % 7 = 3")))
     rng = np.random.default_rng(3)
     views = [quality.View(rng.normal(0, 3, 1 << bits).astype(np.float32), 0.0) for bits in (quality.WORD_BITS, quality.META_BITS)]
-    rows = once.toPandas()
-    part = quality._Rows(rows)
-    for taken in ([], rows["key"][:50].tolist()):
+    rows = once.toArrow()
+    parts, keys = quality._rows([rows[c] for c in ("words", "meta", "n")]), rows["key"].to_pylist()
+    for taken in ([], keys[:50]):
         got = quality._surest(twice)(views, [np.array(taken, np.int64)] * 2, {1: 20, 0: 10})
         for k in (0, 1):
-            lists, scale, _, _ = part.view(k)
-            logit = views[k].logit(quality._raw(views[k], lists, scale))
+            logit = views[k].logit(parts[k].raw(views[k]))
             for label, n in ((1, 20), (0, 10)):
-                sure = sorted((-s, key) for s, key in zip(logit if label else -logit, rows["key"]) if key not in taken and quality._sigmoid(s) >= quality.SURE)
-                assert got[k].loc[got[k]["label"] == label, "key"].tolist() == sorted(key for _, key in sure[:n])
+                sure = sorted((-s, key) for s, key in zip(logit if label else -logit, keys) if key not in taken and quality._sigmoid(s) >= quality.SURE)
+                assert [key for key, own in zip(got[k]["key"].to_pylist(), got[k]["label"].to_pylist()) if own == label] == sorted(key for _, key in sure[:n])
 
 
 def _signal(rng, n, channels, bits):
@@ -249,7 +248,7 @@ def test_pipeline_stages_do_what_their_operators_say(spark, stages):
         if "\n".join(lines).strip():
             want[r["doc_id"]] = "\n".join(lines)
     assert {r["doc_id"]: r["text"] for r in fresh.collect()} == want
-    assert ngram_join.ngram_jaccard_join(distinct).count() == 0
+    assert ngram_join.jaccard_classes(distinct).where("n_links > 0").count() == 0
     assert decontam.contamination(clean, table(spark, SF, "benchmark")).count() == 0
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter(r["doc_id"] for r in mixing.mixture(clean).collect())
     assert line_dedup.keep_bitmaps(clean).where("n_kept < n_lines").count() == 0
