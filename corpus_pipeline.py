@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise.llm import decontam, line_dedup, mixing, ngram_join, quality
-from chunkwise.llm.common import shared_dir, table
+from chunkwise.llm.common import new_folder, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, in order."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+        path = new_folder(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
