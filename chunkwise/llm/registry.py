@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_decontamination": decontam.SQL,
     "op6_suffix_dedup": suffix_dedup.SQL,
     "op7_flac": flac.SQL,
     "op10_ngram_join": ngram_join.SQL,

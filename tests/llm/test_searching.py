@@ -14,7 +14,7 @@ from . import cases
 SF = oracle.SF
 
 
-@pytest.mark.parametrize("module", [line_dedup, suffix_dedup, ngram_join])
+@pytest.mark.parametrize("module", [line_dedup, suffix_dedup, ngram_join, decontam])
 def test_query_agrees_with_its_sql(spark, module):
     assert oracle.from_spark(module.query(spark, SF)) == oracle.from_sql(module.SQL)
 
@@ -46,9 +46,10 @@ def _repeats(rows, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("base", [60, 1 << 20])
-def test_suffix_array_finds_all_repeats(spark, monkeypatch, base):
+@pytest.mark.parametrize("base, part", [(60, 100), (60, 1 << 19), (1 << 20, 1 << 19)])
+def test_suffix_array_finds_all_repeats(spark, monkeypatch, base, part):
     monkeypatch.setattr(suffix_dedup, "BASE", base)
+    monkeypatch.setattr(suffix_dedup, "PART", part)
     rng = random.Random(3)
     words = lambda n, v: [f"w{rng.randrange(v)}" for _ in range(n)]
     shared = [words(rng.randrange(8, 40), 50) for _ in range(5)]
@@ -68,9 +69,9 @@ def test_suffix_order_is_that_of_sorting():
 
     rng = np.random.default_rng(5)
     strings = [np.append(rng.integers(0, 3, rng.integers(1, 40)) * 2 + 1, 1000 + 2 * k) for k in range(30)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array([1] * 30, pa.int64()), pa.array([s.astype(np.int64).tobytes() for s in strings], pa.binary())], names=["sid", "path", "syms"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30), pa.int64()), pa.array([s.astype(np.int64).tobytes() for s in strings], pa.binary())], names=["sid", "syms"])
     (out,) = suffix_dedup._ordered(iter([batch]))
-    ranks = {(k, i): r for k, b in enumerate(out.column(2).to_pylist()) for i, r in enumerate(np.frombuffer(b, np.int64).tolist())}
+    ranks = {(k, i): r for k, b in enumerate(out.column(1).to_pylist()) for i, r in enumerate(np.frombuffer(b, np.int64).tolist())}
     assert sorted(ranks, key=ranks.get) == sorted(ranks, key=lambda p: strings[p[0]][p[1] :].tolist())
 
 
@@ -85,9 +86,9 @@ def test_suffix_dedup_on_odd_tables(spark):
 def test_join_on_odd_tables(spark):
     near = " ".join(f"word{i}" for i in range(100))
     df = cases.odd(spark, [(20, near, "en", "s"), (21, near + " more", "en", "s"), (22, near, "de", "s")])
-    got = cases.tuples(ngram_join.ngram_jaccard_join(df), "doc_a", "doc_b", "overlap", "n_union")
-    assert got == [(20, 21, 98, 99), (20, 22, 98, 98), (21, 22, 98, 99)]
-    assert ngram_join.ngram_jaccard_join(cases.empty(spark)).count() == 0
+    got = cases.tuples(ngram_join.jaccard_classes(df), "doc_id", "class_id", "n_links")
+    assert got == sorted([(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0), (6, 6, 0), (20, 20, 2), (21, 20, 2), (22, 20, 2)], key=str)
+    assert ngram_join.jaccard_classes(cases.empty(spark)).count() == 0
     left = ngram_join.one_of_each_group(df)
     assert left.columns == df.columns and not {21, 22} & {r["doc_id"] for r in left.collect()} and left.count() == df.count() - 2
 
@@ -116,10 +117,33 @@ def test_decontamination_against_brute_force(spark):
             w[10:10] = own[a : a + rng.randrange(5, 40)]
         docs.append((d, ", ".join(w).upper()))
     got = Counter((r["doc_id"], r["item_id"], r["n_words"]) for r in decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
-    want = Counter((d, k, n) for d, t in docs for k, x in items if len(x.split()) >= 5 for _, n in _shared_runs(t.lower().replace(",", "").split(), x.split(), 13))
+    want = Counter((d, k, n) for d, t in docs for k, x in items for _, n in _shared_runs(t.lower().replace(",", "").split(), x.split(), 13))
     assert got == want
 
 
+def test_decontamination_of_short_items_and_decomposed_letters(spark):
+    items = [(1, "Paris"), (2, "the answer is 42"), (3, "un café naïve sous la pluie de Brême")]
+    machine, words = (lambda p: (decontam.automaton(p[0]), p[1]))(decontam.pieces(items))
+    text = "So: THE answer is 42; Paris. Un cafe\u0301 nai\u0308ve sous la pluie de Bre\u0302me!"
+    found = decontam.scan(text, machine, words)
+    assert [(k, text[a:b]) for k, a, b, _ in found] == [(1, "Paris"), (2, "THE answer is 42"), (3, "Un cafe\u0301 nai\u0308ve sous la pluie de Bre\u0302me")]
+    docs = spark.createDataFrame([(1, "only Paris here"), (2, text), (3, "nothing")], "doc_id long, text string")
+    assert cases.tuples(decontam.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")), "doc_id") == [(1,), (3,)]
+
+
+def test_decontamination_takes_time_in_proportion_to_the_hits():
+    import time
+
+    item = " ".join(f"w{k}" for k in range(40))
+    machine, words = (lambda p: (decontam.automaton(p[0]), p[1]))(decontam.pieces([(1, item)]))
+    took = []
+    for n in (2000, 16000):
+        t = time.process_time()
+        assert len(decontam.scan((item + " and ") * n, machine, words)) == n
+        took.append(time.process_time() - t)
+    assert took[1] < 20 * took[0]
+
+
 def test_decontamination_on_odd_tables(spark):
     items = spark.createDataFrame([(None, "a b c d e f"), (1, None), (2, ""), (3, "other text of an id"), (3, "other text of an id")], "item_id long, text string")
     assert cases.tuples(decontam.contamination(cases.odd(spark), items), "doc_id", "item_id", "n_words") == [(6, 3, 5)]
