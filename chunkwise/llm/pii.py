@@ -1,7 +1,8 @@
 """Personal data by a linear-chain conditional random field over word-shape features.
 
 The field is trained here from a small labelled table and decoded by Viterbi in numpy, many sequences in lockstep. A token
-may carry a label other than O only if it or one of its NEAR neighbours holds a digit or an at sign; this is part of the model,
+may carry a label other than O only if it or one of its NEAR neighbours gives a hint: a digit of any script, an at sign, a
+word that announces a secret before a colon or an equals sign, or a long run of small and capital letters; this is part of the model,
 in training as in decoding. Hence a text falls apart, exactly, at its other tokens, and only the stretches between
 them are decoded.
 """
@@ -26,9 +27,11 @@ KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SSN", "IBAN", "SECRET")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 T = len(TAGS)
 #: Rows of the labelled table, hashed features, passes of training, tokens on either side of a digit that may be labelled.
-EXAMPLES, SLOTS, PASSES, NEAR, SEED = 1000, 1 << 15, 80, 2, 23
+EXAMPLES, SLOTS, PASSES, NEAR, SEED = 1600, 1 << 15, 80, 2, 23
 TOKEN = re.compile(r"[^\s,;|<>\"'!#$%&*={}\[\]`~^]+")
-HINT = re.compile(r"[0-9@]")
+#: Letters of a run that is a hint if small ones are followed by capital ones.
+LONG = 24
+HINT = re.compile(rf"[\d@]|(?<![^\W_])(?:[Pp]ass(?:word|wd|phrase|code)?|PASS(?:WORD|WD)?|[Pp]wd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Cc]redentials?|(?:[Aa]pi[_ -]?|API[_ -]?)?(?:[Kk]ey|KEY))(?=[\s\"']{{0,3}}[:=])|(?<![A-Za-z])(?=[A-Za-z]{{{LONG}}})[A-Za-z]*?[a-z][A-Z]")
 LEAD, TAIL = "-.:/\\)?_", ".:?-/\\(_"
 SCHEMA = "doc_id long, kind string, start_char int, end_char int"
 SPANS = "text string, spans array<struct<start_char:int,end_char:int,kind:string>>"
@@ -91,7 +94,7 @@ def _slot(feature: str) -> int:
 
 
 #: Features of a token; all have as many, so a sequence is a matrix.
-WIDTH = 24
+WIDTH = 25
 
 
 def features(text: str, spans: list[tuple[int, int]], first: int, last: int) -> np.ndarray:
@@ -99,7 +102,7 @@ def features(text: str, spans: list[tuple[int, int]], first: int, last: int) ->
     around = {}
     for k in range(max(0, first - 2), min(len(spans), last + 3)):
         a, b = spans[k]
-        around[k] = _describe(text[a:b]) if b - a < 200 else ["long"] * 11
+        around[k] = _describe(text[a:b])
     edge, rows = ["edge"] * 11, []
     for k in range(first, last + 1):
         a, b = spans[k]
@@ -107,7 +110,7 @@ def features(text: str, spans: list[tuple[int, int]], first: int, last: int) ->
         word = lambda j: text[spans[j][0] : spans[j][1]].lower()[:14] if 0 <= j < len(spans) and not HINT.search(text, *spans[j]) else "9"
         left = _gap(text, spans[k - 1][1] if k else 0, a)
         right = _gap(text, b, spans[k + 1][0] if k + 1 < len(spans) else len(text))
-        row = ["bias", *own, f"-1{prev[1]}", f"+1{after[1]}", f"-1{prev[0]}|{own[0]}", f"+1{after[0]}|{own[0]}", f"-2{far[1]}", f"-1{prev[1]}{own[1]}", f"+1{after[1]}{own[1]}", f"w-1{word(k - 1)}", f"w{word(k)}", f"g{left}", f"G{right}", f"g{left}{own[5]}w{word(k - 1)}"]
+        row = ["bias", *own, f"-1{prev[1]}", f"+1{after[1]}", f"-1{prev[0]}|{own[0]}", f"+1{after[0]}|{own[0]}", f"-2{far[1]}", f"-1{prev[1]}{own[1]}", f"+1{after[1]}{own[1]}", f"w-1{word(k - 1)}", f"w{word(k)}", f"w+1{word(k + 1)}", f"g{left}", f"G{right}", f"g{left}{own[5]}w{word(k - 1)}"]
         rows.append([_slot(f) for f in row])
     return np.array(rows, np.int32)
 
@@ -175,62 +178,65 @@ def _legal() -> np.ndarray:
     return ok
 
 
+def _posteriors(u: np.ndarray, lengths: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of tags (sequence, position, tag), and expected moves, by forward and backward recursions in lockstep."""
+    n, wide = u.shape[:2]
+    e = np.exp(u - u.max(axis=2, keepdims=True))
+    alpha, a = np.zeros_like(u), np.broadcast_to(w[0], (n, T))
+    for t in range(wide):
+        a = (a if t == 0 else a @ w) * e[:, t]
+        a = alpha[:, t] = a / np.maximum(a.sum(axis=1, keepdims=True), 1e-300)
+    beta, b = np.zeros_like(u), np.zeros((n, T))
+    for t in range(wide - 1, -1, -1):
+        b = np.where((lengths == t + 1)[:, None], w[:, 0], (b * e[:, t + 1]) @ w.T if t < wide - 1 else 0)
+        b = beta[:, t] = b / np.maximum(b.max(axis=1, keepdims=True), 1e-300)
+    p = alpha * beta
+    p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-300)
+    moves = np.zeros((T, T))
+    for t in range(1, wide):
+        live = np.flatnonzero(lengths > t)
+        ahead = e[live, t] * beta[live, t]
+        total = np.maximum(((alpha[live, t - 1] @ w) * ahead).sum(axis=1, keepdims=True), 1e-300)
+        moves += w * (alpha[live, t - 1].T @ (ahead / total))
+    moves[0] += p[:, 0].sum(axis=0)
+    moves[:, 0] += p[np.arange(n), lengths - 1].sum(axis=0)
+    return p, moves
+
+
 def train(sequences: list[np.ndarray], tags: list[np.ndarray], passes: int = PASSES, penalty: float = 0.02) -> Field:
-    """Maximum likelihood by Adam on all sequences at once, with forward and backward recursions in lockstep."""
+    """Maximum likelihood by Adam on all sequences at once, those of like lengths in lockstep."""
     legal = _legal()
-    n, lengths = len(sequences), np.array([len(s) for s in sequences])
-    wide = int(lengths.max())
-    x = np.zeros((n, wide, WIDTH), np.int32)
-    y = np.zeros((n, wide), np.int64)
-    for i, (s, t) in enumerate(zip(sequences, tags)):
-        x[i, : len(s)], y[i, : len(s)] = s, t
-    inside = np.arange(wide) < lengths[:, None]
-    used = np.unique(x[inside])
-    x = np.searchsorted(used, x)
-    x[~inside] = 0
-    rows, seen = x[inside], y[inside]
+    order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
+    sequences, tags = [sequences[i] for i in order], [tags[i] for i in order]
+    lengths, edges = np.array([len(s) for s in sequences]), [0]
+    for i, n in enumerate(lengths):
+        if n > 1.5 * lengths[edges[-1]] + 2:
+            edges.append(i)
+    groups = [(a, b, np.arange(lengths[b - 1]) < lengths[a:b, None]) for a, b in zip(edges, [*edges[1:], len(sequences)])]
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    used, rows = np.unique(np.concatenate(sequences), return_inverse=True)
+    rows, seen = rows.reshape(-1, WIDTH), np.concatenate(tags)
     emit, move = np.zeros((len(used), T)), np.zeros((T, T))
-    gold_move = np.zeros((T, T))
-    before = np.concatenate((np.zeros((n, 1), np.int64), y[:, :-1]), axis=1)
-    np.add.at(gold_move, (before[inside], seen), 1)
-    np.add.at(gold_move, (y[np.arange(n), lengths - 1], 0), 1)
-    gold = np.zeros((len(used), T))
+    gold_move, gold = np.zeros((T, T)), np.zeros((len(used), T))
+    before = np.concatenate(([0], seen[:-1]))
+    before[starts[:-1]] = 0
+    np.add.at(gold_move, (before, seen), 1)
+    np.add.at(gold_move, (seen[starts[1:] - 1], 0), 1)
     np.add.at(gold, (rows.ravel(), np.repeat(seen, WIDTH)), 1)
     state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-    order = np.argsort(rows.ravel(), kind="stable")
-    edges = np.flatnonzero(np.diff(np.concatenate(([-1], rows.ravel()[order]))))
-    owner = order // WIDTH
+    by_slot = np.argsort(rows.ravel(), kind="stable")
+    cuts = np.flatnonzero(np.diff(np.concatenate(([-1], rows.ravel()[by_slot]))))
+    owner = by_slot // WIDTH
     for step in range(1, passes + 1):
-        u = np.zeros((n, wide, T))
-        u[inside] = emit[rows].sum(axis=1)
-        top = u.max(axis=2, keepdims=True)
-        e = np.exp(u - top)
-        w = np.where(legal, np.exp(move), 0)
-        alpha, scale = np.zeros((n, wide, T)), np.ones((n, wide))
-        a = np.broadcast_to(w[0], (n, T))
-        for t in range(wide):
-            a = (a if t == 0 else a @ w) * e[:, t]
-            scale[:, t] = np.maximum(a.sum(axis=1), 1e-300)
-            a = alpha[:, t] = a / scale[:, t][:, None]
-        beta, expected = np.zeros((n, wide, T)), np.zeros((T, T))
-        b = np.zeros((n, T))
-        for t in range(wide - 1, -1, -1):
-            after = w[:, 0] if t == wide - 1 else None
-            if after is None:
-                b = np.where((lengths == t + 1)[:, None], w[:, 0], (b * e[:, t + 1]) @ w.T)
-            else:
-                b = np.broadcast_to(after, (n, T)).copy()
-            b = b / np.maximum(b.max(axis=1, keepdims=True), 1e-300)
-            beta[:, t] = b
-        p = alpha * beta
-        p /= np.maximum(p.sum(axis=2, keepdims=True), 1e-300)
-        for t in range(1, wide):
-            live = lengths > t
-            pair = alpha[live, t - 1][:, :, None] * w * (e[live, t] * beta[live, t])[:, None, :]
-            expected += (pair / np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0)
-        expected[0] += p[:, 0].sum(axis=0)
-        expected[:, 0] += p[np.arange(n), lengths - 1].sum(axis=0)
-        soft = np.add.reduceat(p[inside][owner], edges, axis=0)
+        unary, w = emit[rows].sum(axis=1), np.where(legal, np.exp(move), 0)
+        p, expected = np.zeros_like(unary), np.zeros((T, T))
+        for a, b, inside in groups:
+            u = np.zeros((*inside.shape, T))
+            u[inside] = unary[starts[a] : starts[b]]
+            own, moves = _posteriors(u, lengths[a:b], w)
+            p[starts[a] : starts[b]] = own[inside]
+            expected += moves
+        soft = np.add.reduceat(p[owner], cuts, axis=0)
         for k, (weights, g) in enumerate(((emit, soft - gold + penalty * emit), (move, expected - gold_move + penalty * move))):
             m, v = state[2 * k], state[2 * k + 1]
             m += 0.1 * (g - m)
@@ -253,14 +259,16 @@ def labelled_rows(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[t
     host = lambda: pick([f"mail{digits(1)}.example.com", f"{plain(3, 9)}.{pick(['com', 'org', 'net', 'de', 'co.uk', 'edu', 'io'])}", f"{plain(2, 6)}-{plain(2, 6)}.{pick(['com', 'fr', 'es'])}", f"{plain(1, 3)}.{pick(['org', 'de', 'com'])}", f"{plain(3, 7)}.{plain(3, 9)}.{pick(['org', 'com', 'net'])}"])
     make = {
         "EMAIL": lambda: pick([f"{plain(2, 9)}.{digits(2)}", f"{plain(2, 8)}.{plain(2, 9)}", plain(3, 10), f"{plain(2, 8)}_{digits(int(rng.integers(1, 4)))}", f"{plain(2, 6)}+{plain(2, 5)}", f"{letters(2, 7)}.{digits(2)}", f"{plain(2, 8).upper()}", digits(int(rng.integers(1, 7)))]) + "@" + host(),
-        "PHONE": lambda: pick([f"+1 ({digits(3)}) 555-{digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{pick(['33', '34', '44', '49'])} {digits(int(rng.integers(1, 4)))} {digits(3)} {digits(int(rng.integers(3, 5)))}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(11)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+1 {digits(3)} {digits(3)} {digits(4)}"]),
+        "PHONE": lambda: pick([f"+1 ({digits(3)}) 555-{digits(4)}", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"+{pick(['33', '34', '44', '49'])} {digits(int(rng.integers(1, 4)))} {digits(3)} {digits(int(rng.integers(3, 5)))}", f"+1-{digits(3)}-{digits(3)}-{digits(4)}", f"+{digits(11)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+1 {digits(3)} {digits(3)} {digits(4)}", f"0{digits(2)}/{digits(6)}", f"0{digits(3)} {digits(7)}"]),
         "IP": lambda: ".".join(octet() for _ in range(4)),
         "CARD": lambda: pick([digits(16), digits(16), digits(16), f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}", "-".join(digits(4) for _ in range(4)), digits(15)]),
         "SSN": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "IBAN": lambda: pick(["DE", "FR", "ES", "GB", "IT"]) + digits(2) + pick([digits(18), "".join(" " + digits(4) for _ in range(4)) + " " + digits(2), "".join(" " + digits(4) for _ in range(5))]),
-        "SECRET": lambda: pick([hexes(40), hexes(32), hexes(64), "sk-" + hexes(32, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), "AKIA" + hexes(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + hexes(36, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")]),
+        "SECRET": lambda: pick(["ey" + hexes(int(rng.integers(30, 220)), "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") + "." + hexes(40, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789-"), hexes(40), hexes(32), hexes(64), "sk-" + hexes(32, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), "AKIA" + hexes(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + hexes(36, "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789")]),
     }
+    bare = lambda: pick([plain(8, 20), plain(8, 14).capitalize(), hexes(int(rng.integers(24, 48)), "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ")])
     none = [
+        lambda: plain(20, 34), lambda: f"{pick(['key', 'token', 'secret', 'password'])} {plain(3, 9)}", lambda: f"{pick(['Key', 'keys', 'Secret'])}: ", 
         lambda: f"{digits(1)}.{digits(1)}", lambda: f"Version {digits(1)}.{digits(1)}.", lambda: f"version {digits(1)}.", lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"CC BY-NC {digits(1)}.0.", lambda: f"{pick(['19', '20'])}{digits(2)}", lambda: f"20{digits(2)}-0{pick('123456789')}-1{digits(1)}",
         lambda: f"1{digits(1)}.0{pick('123456789')}.20{digits(2)}", lambda: f"1{digits(1)}:{pick('012345')}{digits(1)}", lambda: f"{digits(1)},{digits(3)}.{digits(2)}", lambda: f"${digits(3)}", lambda: digits(int(rng.integers(1, 6))), lambda: digits(8), lambda: f"{digits(2)}%", lambda: f"{pick('123456789')}th",
         lambda: f"ISBN 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", lambda: f"{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"0x{hexes(8)}", lambda: f"commit {hexes(40)}", lambda: f"@{plain(3, 9)}", lambda: f"{plain(2, 6)} @ {plain(2, 6)}", lambda: f"[{digits(2)}]", lambda: f"{digits(2)}/{digits(2)}/{digits(2)}", lambda: f"{digits(3)}-{digits(3)}", lambda: digits(20), lambda: f"§ {digits(3)}", lambda: f"{digits(1)} {digits(1)} {digits(2)}",
@@ -276,6 +284,8 @@ def labelled_rows(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[t
             if rng.random() < 0.22:
                 kind = pick(KINDS)
                 value, frame = make[kind](), lead.get(kind, lambda: "{}")()
+                if kind == "SECRET" and rng.random() < 0.45:
+                    value, frame = bare(), pick(["password={}", "Password: {}", 'password = "{}"', "passwd: {}", "secret = '{}'", 'token = "{}"', "api_key={}", "PASSWORD={}"])
                 front = pick(["", "", "", "", "(" if kind != "PHONE" else "", '"', "mailto:" if kind == "EMAIL" else ""]) if frame == "{}" else frame.partition("{}")[0]
                 text += front
                 spans.append((len(text), len(text) + len(value), kind))
@@ -374,7 +384,7 @@ def personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
     small_batches(spark)
     rows = [(r[0], r[1]) for r in labelled.select("text", "spans").collect()] if labelled is not None else labelled_rows()
     sent = spark.sparkContext.broadcast(fit(rows))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text rlike '[0-9@]'")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return docs.mapInArrow(_finder(sent), SCHEMA)
 
 

@@ -64,6 +64,20 @@ def test_suffix_array_finds_all_repeats(spark, monkeypatch, base, part):
     assert cases.tuples(got, "doc_id", "start_word", "end_word") == sorted(_repeats(rows, 8), key=str)
 
 
+def test_words_are_what_white_space_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "BYTES", 50)
+    rng = random.Random(6)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    texts = ["".join(rng.choice([*"ab\u00e9\u20ac\u0105\u2013\u2010\U0001f600", rng.choice(spaces)]) for _ in range(rng.randrange(40))) for _ in range(200)] + ["", " ", "a" * 300, "".join(spaces)]
+    codes, lengths = suffix_dedup.word_codes(pa.array([*texts, None]))
+    words = [t.split() for t in texts]
+    assert lengths.tolist() == [*map(len, words), 0]
+    pairs = list(zip((w for own in words for w in own), codes.tolist()))
+    assert len(set(pairs)) == len({w for w, _ in pairs}) == len({c for _, c in pairs}) and all(c % 2 for _, c in pairs)
+
+
 def test_suffix_order_is_that_of_sorting():
     import pyarrow as pa
 
@@ -189,6 +203,48 @@ def test_stretches_give_the_best_path_of_the_whole():
         assert ours.tolist() == path
 
 
+@pytest.mark.parametrize("text, kind, value", [
+    ("set password=hunterhunter and go on", "SECRET", "hunterhunter"), ('the api_key: "QwErTyUiOpAsDfGhJkLzXcVbNmQwErTy" here', "SECRET", "QwErTyUiOpAsDfGhJkLzXcVbNmQwErTy"),
+    ("call 030/123456 today", "PHONE", "030/123456"), ("secret = 'correcthorse' it was", "SECRET", "correcthorse"),
+])
+def test_personal_data_without_digits(text, kind, value):
+    (found,) = pii.find([text], pii.fit(pii.labelled_rows()))
+    assert [(k, text[a:b]) for k, a, b in found] == [(kind, value)]
+
+
+def test_field_likelihood_and_gradient_against_all_paths(monkeypatch):
+    """One step of training moves every weight against the gradient that sums over all tag sequences give."""
+    import itertools
+
+    monkeypatch.setattr(pii, "SLOTS", 8)
+    rng = np.random.default_rng(1)
+    xs = [rng.integers(0, 8, (n, pii.WIDTH)).astype(np.int32) for n in (1, 3, 2)]
+    legal = pii._legal()
+    ys = [np.array(t) for t in ([1], [0, 3, 4], [5, 0])]
+
+    def loss(emit, move):
+        total = 0.0
+        for x, y in zip(xs, ys):
+            u = emit[x].sum(axis=1)
+            path = lambda p: sum(u[t, k] for t, k in enumerate(p)) + sum(move[a, b] for a, b in zip((0, *p), (*p, 0)))  # noqa: E731, B023
+            every = [path(p) for p in itertools.product(range(pii.T), repeat=len(y)) if all(legal[a, b] for a, b in zip((0, *p), (*p, 0)))]
+            total += np.log(np.exp(every).sum()) - path(tuple(y))
+        return total
+
+    emit, move = np.zeros((8, pii.T)), np.zeros((pii.T, pii.T))
+    field = pii.train(xs, ys, passes=1)
+    for w, own, at in ((emit, field.emit, [(k, t) for k in range(8) for t in (0, 1, 3, 4, 5)]), (move, field.move, [(0, 1), (1, 0), (0, 3), (3, 4), (4, 0), (5, 0)])):
+        for k in at:
+            w[k] = 1e-5
+            up = loss(emit, move)
+            w[k] = -1e-5
+            slope, w[k] = (up - loss(emit, move)) / 2e-5, 0
+            # the first step of Adam is the sign of the gradient
+            if abs(slope) > 1e-4:
+                assert np.sign(own[k]) == -np.sign(slope)
+                assert abs(abs(own[k]) - 0.25 / 3) < 1e-4
+
+
 def test_personal_data_on_odd_tables(spark):
     df = cases.odd(spark, [(8, "write to jane.doe@mail.example.com now", "en", "s"), (8, "write to jane.doe@mail.example.com now", "en", "s")])
     got = cases.tuples(pii.personal_data(df, pii.labelled_table(spark)), "doc_id", "kind", "start_char", "end_char")
