@@ -52,11 +52,11 @@ def _meta_features(lang: pa.Array, source: pa.Array, text: pa.Array) -> np.ndarr
     data = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     at = offsets - offsets[0]
     size = np.diff(at)
-    kinds = _CLASS[data]
-    counts = np.zeros((n, KINDS))
-    for k in range(1, KINDS):
-        total = np.concatenate(([0], np.cumsum(kinds == k)))
-        counts[:, k] = total[at[1:]] - total[at[:-1]]
+    counts = np.zeros(n * KINDS, np.int64)
+    for x in range(0, len(data), AT_ONCE):
+        which = np.repeat(np.arange(n), np.diff(np.clip(at, x, x + AT_ONCE)))
+        counts += np.bincount(which * KINDS + _CLASS[data[x : x + AT_ONCE]], minlength=n * KINDS)
+    counts = counts.reshape(n, KINDS)
     share = np.digitize(counts / np.maximum(size, 1)[:, None], _EDGES)
     own = [np.log2(size + 1).astype(int), np.log2(counts[:, 5] + 1).astype(int), np.log2(size / (counts[:, 5] + 1) + 1).astype(int)]
     names = [np.array([hash_name(x) for x in column.to_pylist()]) for column in (lang, source)]
