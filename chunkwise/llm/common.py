@@ -24,10 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: str = "16m") -> None:
     """Bound the rows and bytes of an Arrow batch for operators that take whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+
 from chunkwise.llm import decontam, licenses, line_dedup, ngram_join, pii, suffix_dedup
+from chunkwise.llm.components import components
 
 from .. import oracle
 from . import cases
@@ -107,6 +109,49 @@ def test_join_on_odd_tables(spark):
     assert left.columns == df.columns and not {21, 22} & {r["doc_id"] for r in left.collect()} and left.count() == df.count() - 2
 
 
+def test_join_split_into_tiles_agrees_with_its_sql(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_SETS", 1)
+    monkeypatch.setattr(ngram_join, "TILE_TOKENS", 700)
+    assert oracle.from_spark(ngram_join.query(spark, SF)) == oracle.from_sql(ngram_join.SQL)
+
+
+def test_join_of_copies_of_all_degrees_against_brute_force(spark):
+    """Exact copies, near copies and rows that repeat, near the threshold and away from it."""
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(300)}" for _ in range(60)] for _ in range(12)]
+    rows = []
+    for d in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 9) if d % 4 else 0):
+            w[rng.randrange(60)] = f"v{rng.randrange(1000)}"
+        rows.append((d, " ".join(w)))
+    rows += [rows[3], rows[3], (900, rows[5][1]), (901, rows[5][1])]
+    sets = {(d, frozenset(zip(t.split(), t.split()[1:], t.split()[2:]))) for d, t in rows}
+    links = {x: [y for y in sets if y != x and 2 * len(x[1] & y[1]) >= len(x[1] | y[1])] for x in sets}
+    least = {x: x[0] for x in sets}
+    for _ in range(10):
+        least = {x: min([least[x], *(least[y] for y in own)]) for x, own in links.items()}
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert cases.tuples(got, "doc_id", "class_id", "n_links") == sorted(((x[0], least[x], len(own)) for x, own in links.items()), key=str)
+
+
+def test_components_of_paths_stars_and_repeats(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (100, 101), (300, 200)]
+    got = dict(cases.tuples(components(spark.createDataFrame(edges, "u long, v long")), "node", "comp"))
+    assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 300: 200}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_share_of_pairs_at_the_threshold_that_meet_by_no_token():
+    rng = np.random.default_rng(7)
+    hot, missed, n = np.sort(rng.integers(0, 1 << 63, 1, dtype=np.uint64)), 0, 20_000
+    for _ in range(n):
+        own = rng.integers(1, 1 << 63, 160, dtype=np.uint64)
+        a, b = np.sort(own[:120]), np.sort(own[40:])  # 80 of 160 in common
+        missed += not len(np.intersect1d(ngram_join._first(a, hot), ngram_join._first(b, hot)))
+    assert missed <= 8
+
+
 def _shared_runs(words, item, run):
     out = set()
     for i in range(len(words)):
