@@ -1,22 +1,28 @@
 """The codec: count models fitted as DataFrames, chunks encoded and decoded in narrow stages, many in lockstep.
 
 A model of order k holds counts of each byte after each k bytes. Contexts that were not seen share the distribution of all bytes. The
-model's id is the checksum of its counts; what is encoded under one is refused under another.
+model's id is the checksum of its counts; what is encoded under one is refused under another. Other models can take its place: whatever
+is a ChunkCodec, such as a StepModel, which asks a function for the distribution of each next symbol.
 """
 
 from __future__ import annotations
 
+import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import coder, framing
-from ..functions.cdf import cumulative
+from ..functions.cdf import cumulative, from_probabilities
+from ..sources import storage
+from .assembly import in_order
 from .chunking import byte_counts, split
 
 ORDER = 2
@@ -25,6 +31,17 @@ LOCKSTEP = 1024
 ENCODED = "chunk_idx int, byte_start long, orig_len int, comp_len int, crc32 long, payload binary"
 
 
+class ChunkCodec(Protocol):
+    """What encode() and decode() need of a model. It travels to the executors pickled."""
+
+    model_id: int
+
+    def compress(self, data: list[bytes]) -> list[bytes]:
+        """Payloads, each a pair of lengths (framing.PAIR: bytes, symbols) and the coded bits."""
+
+    def restore(self, payloads: list[bytes]) -> list[bytes]: ...
+
+
 @dataclass(frozen=True)
 class Model:
     """contexts: those seen, in order. bounds: a row for each, and one more for all others."""
@@ -41,6 +58,71 @@ class Model:
     def next(self, ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         return (ctx << 8 | symbol) & ((1 << 8 * self.order) - 1)
 
+    def compress(self, data: list[bytes]) -> list[bytes]:
+        return encode_chunks(data, self)
+
+    def restore(self, payloads: list[bytes]) -> list[bytes]:
+        return decode_chunks(payloads, self)
+
+
+@dataclass(frozen=True)
+class StepModel:
+    """A model that is a function: step(state, last symbol) -> (probabilities of all symbols, next state).
+
+    The state before the first symbol is None, and the symbol before the first is `bos`. tokenize and detokenize turn bytes into symbols and back,
+    exactly; without them the symbols are the bytes. The function has to give the same numbers wherever it runs. One symbol at a time.
+    """
+
+    step: Callable[[Any, int], tuple[np.ndarray, Any]]
+    model_id: int
+    bos: int = 0
+    tokenize: Callable[[bytes], list[int]] | None = None
+    detokenize: Callable[[list[int]], bytes] | None = None
+
+    def compress(self, data: list[bytes]) -> list[bytes]:
+        out = []
+        for raw in data:
+            symbols = self.tokenize(raw) if self.tokenize else list(raw)
+            state, last, to = None, self.bos, coder.Encoder()
+            for s in symbols:
+                p, state = self.step(state, last)
+                bounds = from_probabilities(p)[0]
+                to.put(int(bounds[s]), int(bounds[s + 1]))
+                last = s
+            out.append(framing.PAIR.pack(len(raw), len(symbols)) + to.finish())
+        return out
+
+    def restore(self, payloads: list[bytes]) -> list[bytes]:
+        out = []
+        for p in payloads:
+            n, count = framing.PAIR.unpack_from(p)
+            state, last, symbols, source = None, self.bos, [], coder.Decoder(p[framing.PAIR.size :])
+            for _ in range(count):
+                shares, state = self.step(state, last)
+                last = source.take(from_probabilities(shares)[0])
+                symbols.append(last)
+            raw = self.detokenize(symbols) if self.detokenize else bytes(symbols)
+            if len(raw) != n:
+                raise framing.Damaged("bytes and symbols don't agree")
+            out.append(raw)
+        return out
+
+
+def save_model(model: Model, url: str) -> None:
+    """Write a count model, so that what was encoded under it can be read by others."""
+    out = io.BytesIO()
+    np.savez_compressed(out, order=model.order, contexts=model.contexts, bounds=model.bounds, model_id=model.model_id)
+    storage.write(url, out.getvalue())
+
+
+def saved_model(url: str, model_id: int | None = None) -> Model:
+    """Read what save_model() wrote; ValueError if it isn't the model with that id."""
+    with np.load(io.BytesIO(storage.read_all(url))) as x:
+        model = Model(int(x["order"]), x["contexts"], x["bounds"], int(x["model_id"]))
+    if model_id is not None and model.model_id != model_id:
+        raise ValueError(f"{url} holds model {model.model_id}, not {model_id}")
+    return model
+
 
 def build_model(order: int, ctx: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> Model:
     by = np.lexsort((symbol, ctx))
@@ -132,16 +214,17 @@ class _States:
         return self.model.rows(self.ctx[:live])
 
 
-def encode(chunks: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+def encode(chunks: DataFrame, model: ChunkCodec, keys: list[str]) -> DataFrame:
     """Chunks (keys..., chunk_idx, byte_start, orig_len, data) with payloads instead of data, and a checksum. A narrow stage."""
-    sent = chunks.sparkSession.sparkContext.broadcast(model)
+    sent = chunks.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     n = len(keys)
     schema = ", ".join(f"{k} {dict(chunks.dtypes)[k]}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cloudpickle.loads(sent.value)
         for batch in batches:
             data = batch.column(n + 3).to_pylist()
-            payloads = encode_chunks(data, sent.value)
+            payloads = own.compress(data)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: n + 3], pa.array([len(p) for p in payloads], pa.int32()), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(payloads, pa.binary())],
                 names=[*keys, "chunk_idx", "byte_start", "orig_len", "comp_len", "crc32", "payload"],
@@ -150,21 +233,22 @@ def encode(chunks: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     return chunks.select(*keys, "chunk_idx", "byte_start", "orig_len", "data").mapInArrow(run, f"{schema}, {ENCODED}")
 
 
-def decode(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+def decode(encoded: DataFrame, model: ChunkCodec, keys: list[str]) -> DataFrame:
     """(keys..., chunk_idx, byte_start, orig_len, data, crc_ok) of encoded chunks. A narrow stage.
 
     A chunk whose lengths or checksum don't agree has crc_ok false.
     """
-    sent = encoded.sparkSession.sparkContext.broadcast(model)
+    sent = encoded.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     n = len(keys)
     schema = ", ".join(f"{k} {dict(encoded.dtypes)[k]}" for k in keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = cloudpickle.loads(sent.value)
         for batch in batches:
             payloads, lengths, crcs = (batch.column(n + k).to_pylist() for k in (4, 2, 3))
-            sound = [i for i, (p, m) in enumerate(zip(payloads, lengths)) if p is not None and len(p) >= 8 and framing.PAIR.unpack_from(p) == (m, m)]
+            sound = [i for i, (p, m) in enumerate(zip(payloads, lengths)) if p is not None and len(p) >= 8 and framing.PAIR.unpack_from(p)[0] == m]
             data: list[bytes | None] = [None] * len(payloads)
-            for i, d in zip(sound, decode_chunks([payloads[i] for i in sound], sent.value)):
+            for i, d in zip(sound, _restored([payloads[i] for i in sound], own)):
                 data[i] = d
             ok = [d is not None and (c is None or zlib.crc32(d) == c) for d, c in zip(data, crcs)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n + 3], pa.array(data, pa.binary()), pa.array(ok)], names=[*keys, "chunk_idx", "byte_start", "orig_len", "data", "crc_ok"])
@@ -172,7 +256,21 @@ def decode(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     return encoded.select(*keys, "chunk_idx", "byte_start", "orig_len", "crc32", "payload").mapInArrow(run, f"{schema}, chunk_idx int, byte_start long, orig_len int, data binary, crc_ok boolean")
 
 
-def compress(docs: DataFrame, keys: list[str], data: str, model: Model | None = None, pin: int | None = None, order: int = ORDER) -> tuple[DataFrame, Model]:
+def _restored(payloads: list[bytes], model: ChunkCodec) -> list[bytes | None]:
+    """Chunks of a batch; where some payload is damaged, one by one, so that the others are read."""
+    try:
+        return list(model.restore(payloads))
+    except (framing.Damaged, ValueError, IndexError):
+        out: list[bytes | None] = []
+        for p in payloads:
+            try:
+                out += model.restore([p])
+            except (framing.Damaged, ValueError, IndexError):
+                out.append(None)
+        return out
+
+
+def compress(docs: DataFrame, keys: list[str], data: str, model: ChunkCodec | None = None, pin: int | None = None, order: int = ORDER) -> tuple[DataFrame, ChunkCodec]:
     """Encoded chunks of every row, and the model; without one, it is fitted to these rows."""
     small_batches(docs.sparkSession)
     chunks = split(docs, keys, data, pin)
@@ -180,12 +278,10 @@ def compress(docs: DataFrame, keys: list[str], data: str, model: Model | None =
     return encode(chunks, model, keys), model
 
 
-def decompress(encoded: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+def decompress(encoded: DataFrame, model: ChunkCodec, keys: list[str]) -> DataFrame:
     """(keys..., data, crc_ok): chunks decoded and put together in order. Rows that repeat their keys must be told apart by another key."""
     chunks = decode(encoded, model, keys)
-    parts = F.sort_array(F.collect_list(F.struct("chunk_idx", "data")))
-    joined = F.aggregate(parts, F.lit(b""), lambda acc, p: F.concat(acc, p["data"]))
-    return chunks.groupBy(*keys).agg(joined.alias("data"), F.bool_and("crc_ok").alias("crc_ok"))
+    return chunks.groupBy(*keys).agg(in_order("data", "chunk_idx").alias("data"), F.bool_and("crc_ok").alias("crc_ok"))
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 
+#: The script that the templates run, and the mode it runs in.
+DEFAULTS = {"script": "chunkwise_job.py", "mode": "compress", "executors": 2, "memory": "8g", "master": "local[*]", "job_name": "chunkwise"}
 PLACE = re.compile(r"\{\{\s*(\w+)\s*\}\}")
 SUBMIT = "spark-submit --master {{ master }} --name {{ job_name }} --conf spark.executor.instances={{ executors }} --conf spark.executor.memory={{ memory }} --conf spark.checkpoint.dir={{ shared_dir }} {{ script }} {{ mode }} {{ input_url }} {{ output_url }}"
 ARGUMENTS = re.split(r" (?![^{]*\}\})", SUBMIT)
@@ -36,8 +38,30 @@ def check(kind: str, text: str) -> None:
         json.loads(text)
     elif kind == "py":
         compile(text, "artifact", "exec")
-    elif kind == "yaml" and "apiVersion:" not in text:
-        raise ValueError("no apiVersion")
+    elif kind == "yaml":
+        _check_yaml(text)
+
+
+def _check_yaml(text: str) -> None:
+    """The keys that a job needs, each at its own depth, and nothing that isn't a key, an item or a quoted flow."""
+    path, seen = [], set()
+    for number, line in enumerate(text.splitlines(), 1):
+        bare = line.lstrip(" ")
+        if not bare or bare.startswith("#"):
+            continue
+        depth = len(line) - len(bare)
+        if bare.startswith("- "):
+            depth, bare = depth + 2, bare[2:]
+        m = re.fullmatch(r"([A-Za-z][\w.-]*):(?: (\S.*))?", bare)
+        if not m or depth % 2 or "\t" in line or (m[2] or "").count('"') % 2:
+            raise ValueError(f"line {number} isn't a key with a value")
+        while path and path[-1][0] >= depth:
+            path.pop()
+        path.append((depth, m[1]))
+        seen.add(".".join(k for _, k in path))
+    missing = {"apiVersion", "kind", "metadata.name", "spec.template.spec.containers.image"} - seen
+    if missing:
+        raise ValueError(f"no {', '.join(sorted(missing))}")
 
 
 def render(target: str, values: dict) -> str:

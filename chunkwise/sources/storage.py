@@ -59,6 +59,17 @@ def write(url: str, data: bytes) -> None:
         f.write(data)
 
 
+def write_parts(url: str, parts) -> None:
+    """Write bytes one after the other, so that they needn't be in memory together."""
+    if _web(url):
+        raise ValueError("http addresses can't be written to")
+    where, path = _at(url)
+    where.create_dir(path.rpartition("/")[0] or ".", recursive=True)
+    with where.open_output_stream(path) as f:
+        for part in parts:
+            f.write(part)
+
+
 def delete(url: str) -> None:
     """Best effort: what isn't there or can't be removed is left alone."""
     try:
@@ -68,6 +79,27 @@ def delete(url: str) -> None:
         pass
 
 
+def delete_folder(url: str) -> None:
+    """Best effort, and only if it is empty or holds nothing but leftovers of parts."""
+    try:
+        where, path = _at(url)
+        where.delete_dir(path)
+    except OSError:
+        pass
+
+
+def delete_all(url: str) -> None:
+    """Best effort: a folder or file, and files beside it whose names begin with it and a dot."""
+    try:
+        where, path = _at(url)
+        above, _, name = path.rpartition("/")
+        for f in where.get_file_info(fs.FileSelector(above)):
+            if f.base_name == name or f.base_name.startswith(name + "."):
+                (where.delete_dir if f.type == fs.FileType.Directory else where.delete_file)(f.path)
+    except OSError:
+        pass
+
+
 def listed(url: str) -> list[tuple[str, int]]:
     """Path and size of each file of a folder, or of the one file that this is."""
     where, path = _at(url)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def test_source_reads_ranges_and_sees_damage(spark, tmp_path):
     encoded.write.format("chunkwise").option("path", path).mode("append").save()
     (tmp_path / "t" / "part-left").write_bytes(b"of a task that failed")
     back = spark.read.format("chunkwise").option("path", path).option("bytes", 256).load()
-    assert back.rdd.getNumPartitions() > 8
+    assert back.rdd.getNumPartitions() > 8 and back.dtypes[0] == ("doc_id", "bigint")
     assert {r[0]: bytes(r[1]).decode() for r in codec.decompress(back, model, ["doc_id"]).collect()} == dict((r[0], r[1]) for r in df.collect())
     part = next(p for p in (tmp_path / "t").iterdir() if p.suffix == ".index").with_suffix("")
     part.write_bytes(part.read_bytes()[:60])
@@ -100,6 +101,42 @@ def test_source_reads_ranges_and_sees_damage(spark, tmp_path):
         spark.read.format("chunkwise").option("path", path).load().count()
 
 
+def test_source_takes_any_keys_appends_and_overwrites(spark, tmp_path):
+    blob.register(spark)
+    path = f"{tmp_path}/t"
+    rows = [("a", 1, "one"), ("a", 2, "two, longer"), (None, 3, "three"), ("b", None, "four")]
+    df = spark.createDataFrame(rows, "name string, turn int, text string")
+    encoded, model = codec.compress(df, ["name", "turn"], "text", pin=4)
+    for _ in range(2):
+        encoded.write.format("chunkwise").option("path", path).option("bytes", 64).option("model_id", model.model_id).mode("append").save()
+    back = spark.read.format("chunkwise").option("path", path).load()
+    assert back.columns == encoded.columns and back.count() == 2 * encoded.count()
+    encoded.where("name = 'a'").write.format("chunkwise").option("path", path).mode("overwrite").save()
+    back = codec.decompress(spark.read.format("chunkwise").option("path", path).load(), model, ["name", "turn"])
+    assert sorted((r[0], r[1], bytes(r[2]).decode(), r[3]) for r in back.collect()) == [("a", 1, "one", True), ("a", 2, "two, longer", True)]
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("_committed")]) == 1
+    codec.save_model(model, f"{path}/model")
+    assert codec.saved_model(f"{path}/model", model.model_id).bounds.tolist() == model.bounds.tolist()
+    with pytest.raises(ValueError, match="holds model"):
+        codec.saved_model(f"{path}/model", model.model_id + 1)
+
+
+def test_codec_with_a_model_that_is_a_function(spark):
+    def step(state, last):
+        counts = np.ones(256) if state is None else state
+        counts = counts.copy()
+        counts[last] += 20
+        return counts / counts.sum(), counts
+
+    model = codec.StepModel(step, 77)
+    df = spark.createDataFrame([(1, "abracadabra " * 30), (2, "é")], "k long, text string")
+    encoded, _ = codec.compress(df, ["k"], "text", model, pin=100)
+    assert encoded.agg(F.sum("comp_len") * 1.0 / F.sum("orig_len")).first()[0] < 0.7
+    assert {r[0]: (bytes(r[1]).decode(), r[2]) for r in codec.decompress(encoded, model, ["k"]).collect()} == {1: ("abracadabra " * 30, True), 2: ("é", True)}
+    pairs = codec.StepModel(lambda state, last: (np.full(1 << 16, 1 / 65536), None), 78, 0, lambda raw: [a << 8 | b for a, b in zip(raw[::2], raw[1::2])], lambda s: b"".join(bytes([x >> 8, x & 255]) for x in s))
+    assert pairs.restore(pairs.compress([b"even", b""])) == [b"even", b""]
+
+
 def test_incremental_stream_gives_the_bits_of_one_go(spark, tmp_path):
     counts, symbols = [8, 1, 3, 2], [int(x) for x in (0, 1, 2, 3, 0, 0, 2, 1) * 20]
     rows = [(k, i, s) for k in (1, 2) for i, s in enumerate(symbols[: 100 + 30 * k])]
