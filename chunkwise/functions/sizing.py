@@ -44,3 +44,9 @@ def decode_batch(chunks: int, cores: int, per_core: int = 8, memory: int | None
     if memory:
         n = min(n, max(1, int(0.8 * memory) // each))
     return max(1, min(n, chunks)) if chunks > 0 else 1
+
+
+def decode_batches(chunks: Column, cores: int, per_core: int = 8, memory: int | None = None, each: int = 1_500_000) -> Column:
+    """decode_batch() for a column of numbers of chunks."""
+    most = decode_batch(2**31, cores, per_core, memory, each)
+    return F.when(chunks > 0, F.least(F.lit(most).cast("long"), chunks.cast("long"))).when(chunks.isNotNull(), F.lit(1).cast("long"))

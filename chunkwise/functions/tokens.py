@@ -1,9 +1,16 @@
-"""Texts as bytes and code points."""
+"""Texts as bytes, code points and tokens of byte pairs."""
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def characters(text: Column) -> Column:
@@ -47,3 +54,77 @@ def truncated(data: Column, n: Column) -> Column:
 def valid_utf8(data: Column) -> Column:
     """Bytes as text, with a replacement character for what isn't UTF-8. Lossy; the codec keeps to bytes."""
     return F.make_valid_utf8(data)
+
+
+def symbol_counts(rows: DataFrame, group: list[str], text: str, pairs: bool = False, bos: int = 0) -> DataFrame:
+    """(group..., [previous,] symbol, n): how often each code point, or each byte of a binary column, occurs in each group; with `pairs`, behind which other.
+
+    Counted within batches, so that what is shuffled are counts and never characters. Null texts have none.
+    """
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", previous int" * pairs + ", symbol int, n long"
+    binary = kinds[text] == "binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.Table.from_batches([batch]).select(group)
+            if not batch.num_rows:
+                continue
+            index = {}
+            which = np.array([index.setdefault(k, len(index)) for k in zip(*(c.to_pylist() for c in keys.columns))], np.int64)
+            raw = [x if x is None or binary else x.encode("utf-32-le", "surrogatepass") for x in batch.column(len(group)).to_pylist()]
+            width = 1 if binary else 4
+            lengths = np.array([len(x) // width if x else 0 for x in raw], np.int64)
+            symbols = np.frombuffer(b"".join(x for x in raw if x), np.uint8 if binary else np.uint32).astype(np.int64)
+            key = np.repeat(which, lengths) << 42 | symbols
+            if pairs:
+                before = np.concatenate(([bos], symbols[:-1])) if len(symbols) else symbols
+                before[(np.cumsum(lengths) - lengths)[lengths > 0]] = bos
+                key |= before << 21
+            key, n = np.unique(key, return_counts=True)
+            at = key >> 42
+            names = list(index)
+            columns = [pa.array([names[k][c] for k in at.tolist()], batch.schema.field(c).type) for c in range(len(group))]
+            if pairs:
+                columns.append(pa.array((key >> 21 & 0x1FFFFF).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((key & 0x1FFFFF).astype(np.int32)), pa.array(n.astype(np.int64))], names=[*group, *["previous"] * pairs, "symbol", "n"])
+
+    by = [*group, *["previous"] * pairs, "symbol"]
+    return rows.select(*group, text).mapInArrow(run, schema).groupBy(*by).agg(F.sum("n").alias("n"))
+
+
+#: How byte-level vocabularies cut a text into words before pairs are merged.
+WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_encodings: dict = {}
+
+
+def _encoding(path: str):
+    import tiktoken
+
+    if path not in _encodings:
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _encodings[path] = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
+def bpe_encode(path: str) -> Callable[..., Column]:
+    """A function of a text column: ids of its byte pairs under the vocabulary of ranks at `path`, which all executors have to reach. Null for null."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(text: pd.Series) -> pd.Series:
+        own = _encoding(path)
+        return pd.Series([None if t is None else own.encode_ordinary(t) for t in text], dtype=object)
+
+    return encode
+
+
+def bpe_decode(path: str) -> Callable[..., Column]:
+    """The way back: ids to text, with a replacement character for what isn't UTF-8."""
+
+    @F.pandas_udf(T.StringType())
+    def decode(ids: pd.Series) -> pd.Series:
+        own = _encoding(path)
+        return pd.Series([None if x is None else own.decode_bytes([int(i) for i in x]).decode("utf-8", "replace") for x in ids], dtype=object)
+
+    return decode

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -103,28 +104,74 @@ def wkv_step(state: tuple[float, float, float], k: float, v: float, w: float, u:
 FRESH = (0.0, 0.0, -1e30)
 
 
-def wkv_scan(rows: DataFrame, group: str, order: list[str], k: str, v: str, w: float = -0.05, u: float = 0.3) -> DataFrame:
-    """(group, position, y): the recurrence along each group, as it streams by in order.
+def wkv_run(k: np.ndarray, v: np.ndarray, w, u, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrence along the first axis at once: outputs and the next state. k, v: (n, channels); state: (aa, bb, pp) for each channel.
+
+    What has been added up before a step is a sum of exponentials, which logaddexp accumulates; positive and negative values apart.
+    """
+    n = len(k)
+    away = -w * np.arange(n)[:, None]
+    aa, bb, pp = state
+    with np.errstate(divide="ignore"):
+        first = [np.log(np.maximum(aa, 0)) + pp, np.log(np.maximum(-aa, 0)) + pp, np.log(bb) + pp]
+        terms = [k + away + np.log(np.maximum(v, 0)), k + away + np.log(np.maximum(-v, 0)), k + away]
+    since = w * (np.arange(n + 1)[:, None] - 1)
+    plus, minus, below = (np.logaddexp.accumulate(np.concatenate(((f + w)[None], t)), axis=0) + since for f, t in zip(first, terms))
+    top = np.maximum(below[:-1], u + k)
+    own = np.exp(u + k - top)
+    y = (np.exp(plus[:-1] - top) - np.exp(minus[:-1] - top) + own * v) / (np.exp(below[:-1] - top) + own)
+    return y, np.stack((np.exp(plus[-1] - below[-1]) - np.exp(minus[-1] - below[-1]), np.ones_like(bb), below[-1]))
+
+
+def fresh(channels: int) -> np.ndarray:
+    return np.repeat(np.array(FRESH)[:, None], channels, axis=1)
 
-    State is carried from batch to batch, so a group of any length takes constant memory. group is a column of whole numbers.
+
+def _along(rows: DataFrame, group: str, order: list[str], columns: list[Column], start, step, output: str) -> DataFrame:
+    """(group, position, y): step(values, state) -> (outputs, state) along each group, as it streams by in order.
+
+    values are the columns of a run of rows of one group within a batch. State is carried from batch to batch, so a group of any length takes
+    constant memory. group is a column of whole numbers; null groups are left out.
     """
 
+    n = len(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state, position = None, FRESH, 0
+        last, state, position = None, start(), 0
         for batch in batches:
-            ks, vs, gs = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(0).to_pylist()
-            ys, at = np.empty(len(gs)), np.empty(len(gs), np.int64)
-            for i, (g, kk, vv) in enumerate(zip(gs, ks, vs)):
-                if g != last:
-                    last, state, position = g, FRESH, 0
-                ys[i], state = wkv_step(state, kk, vv, w, u)
-                at[i] = position
-                position += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at), pa.array(ys)], names=["grp", "position", "y"])
-
-    own = rows.where(F.col(group).isNotNull()).select(F.col(group).cast("long").alias("grp"), F.coalesce(k, F.lit(0.0)).cast("double").alias("k"), F.coalesce(v, F.lit(0.0)).cast("double").alias("v"), *(F.col(o).alias(f"o{i}") for i, o in enumerate(order)))
+            g = batch.column(0).to_numpy()
+            values = [c.flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in batch.columns[1 : 1 + n]]
+            edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))) if len(g) else [0]
+            ys, at = [], np.empty(len(g), np.int64)
+            for a, b in zip(edges[:-1], edges[1:]):
+                if g[a] != last:
+                    last, state, position = g[a], start(), 0
+                y, state = step([x[a:b] for x in values], state)
+                ys.append(y)
+                at[a:b] = position + np.arange(b - a)
+                position += b - a
+            if ys:
+                y = np.concatenate(ys)
+                out = pa.array(y) if y.ndim == 1 else pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at), out], names=["grp", "position", "y"])
+
+    own = rows.where(F.col(group).isNotNull()).select(F.col(group).cast("long").alias("grp"), *(c.alias(f"x{i}") for i, c in enumerate(columns)), *(F.col(o).alias(f"o{i}") for i, o in enumerate(order)))
     sort = ["grp", *(f"o{i}" for i in range(len(order)))]
-    return own.repartition("grp").sortWithinPartitions(*sort).mapInArrow(run, "grp long, position long, y double").withColumnRenamed("grp", group)
+    return own.repartition("grp").sortWithinPartitions(*sort).mapInArrow(run, f"grp long, position long, y {output}").withColumnRenamed("grp", group)
+
+
+def _number(c: str) -> Column:
+    return F.coalesce(c, F.lit(0.0)).cast("double")
+
+
+def wkv_scan(rows: DataFrame, group: str, order: list[str], k: str, v: str, w: float = -0.05, u: float = 0.3) -> DataFrame:
+    """(group, position, y): the recurrence along each group."""
+
+    def step(values, state):
+        y, state = wkv_run(values[0][:, None], values[1][:, None], w, u, state)
+        return y[:, 0], state
+
+    return _along(rows, group, order, [_number(k), _number(v)], lambda: fresh(1), step, "double")
 
 
 def wkv_fold(ks: Column, vs: Column, w: float = -0.05, u: float = 0.3) -> Column:
@@ -171,27 +218,85 @@ def snapped(x: Column, scale: float) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def _shifted(x: np.ndarray, before) -> np.ndarray:
+    return np.concatenate((np.reshape(before, (1, *x.shape[1:])), x[:-1]))
+
+
+def _sig(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
 def layer_step(rows: DataFrame, group: str, order: list[str], x: str, w: float = -0.05, u: float = 0.3, mix: tuple[float, float, float] = (0.3, 0.5, 0.8)) -> DataFrame:
     """One layer along each group for a single channel: mix with the previous, scan, gate, add; then mix, relu squared, gate, add. (group, position, y)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, position, state, xx, ff = None, 0, FRESH, 0.0, 0.0
-        sig = lambda z: 1 / (1 + math.exp(-max(min(z, 700.0), -700.0)))
-        for batch in batches:
-            ys, at = np.empty(batch.num_rows), np.empty(batch.num_rows, np.int64)
-            for i, (g, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if g != last:
-                    last, position, state, xx, ff = g, 0, FRESH, 0.0, 0.0
-                k_, v_, r_ = (v * m + xx * (1 - m) for m in mix)
-                xx = v
-                y, state = wkv_step(state, k_, v_, w, u)
-                h = v + sig(r_) * y
-                fk, fr = h * mix[0] + ff * (1 - mix[0]), h * mix[2] + ff * (1 - mix[2])
-                ff = h
-                ys[i], at[i] = h + sig(fr) * max(fk, 0.0) ** 2, position
-                position += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at), pa.array(ys)], names=["grp", "position", "y"])
-
-    own = rows.where(F.col(group).isNotNull()).select(F.col(group).cast("long").alias("grp"), F.coalesce(x, F.lit(0.0)).cast("double").alias("x"), *(F.col(o).alias(f"o{i}") for i, o in enumerate(order)))
-    sort = ["grp", *(f"o{i}" for i in range(len(order)))]
-    return own.repartition("grp").sortWithinPartitions(*sort).mapInArrow(run, "grp long, position long, y double").withColumnRenamed("grp", group)
+    def step(values, state):
+        (v,), (scan, xx, ff) = values, state
+        before = _shifted(v, xx)
+        k_, v_, r_ = (v * m + before * (1 - m) for m in mix)
+        y, scan = wkv_run(k_[:, None], v_[:, None], w, u, scan)
+        h = v + _sig(r_) * y[:, 0]
+        before = _shifted(h, ff)
+        fk, fr = (h * m + before * (1 - m) for m in (mix[0], mix[2]))
+        return h + _sig(fr) * np.maximum(fk, 0.0) ** 2, (scan, v[-1], h[-1])
+
+    return _along(rows, group, order, [_number(x)], lambda: (fresh(1), 0.0, 0.0), step, "double")
+
+
+@dataclass(frozen=True)
+class Layer:
+    """Weights of a layer of C channels: shares of the present in each mix, decay and bonus by channel, products (rows are outputs)."""
+
+    mix_k: np.ndarray
+    mix_v: np.ndarray
+    mix_r: np.ndarray
+    decay: np.ndarray
+    bonus: np.ndarray
+    key: np.ndarray
+    value: np.ndarray
+    gate: np.ndarray
+    out: np.ndarray
+    wide: np.ndarray
+    narrow: np.ndarray
+    gate2: np.ndarray
+    epsilon: float = EPSILON
+
+    @staticmethod
+    def of(channels: int, widening: int = 2) -> Layer:
+        """Small fixed weights."""
+        m = lambda rows, columns, seed: ((np.arange(rows)[:, None] * 13 + np.arange(columns) * 7 + seed) % 11 - 5) / 10.0
+        share = lambda seed: 0.2 + 0.6 * ((np.arange(channels) * 3 + seed) % 5) / 4
+        c, f = channels, channels * widening
+        return Layer(share(0), share(1), share(2), -0.05 - 0.01 * np.arange(c), 0.3 + 0.05 * np.arange(c), m(c, c, 1), m(c, c, 2), m(c, c, 3), m(c, c, 4), m(f, c, 5), m(c, f, 6), m(c, c, 7))
+
+    def norm(self, x: np.ndarray) -> np.ndarray:
+        d = x - x.mean(axis=1, keepdims=True)
+        return d / np.sqrt((d * d).mean(axis=1, keepdims=True) + self.epsilon)
+
+    def start(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return fresh(len(self.decay)), np.zeros(len(self.decay)), np.zeros(len(self.decay))
+
+    def run(self, x: np.ndarray, state: tuple) -> tuple[np.ndarray, tuple]:
+        """Outputs for a run of positions (rows), and the next state: a norm, mixes, products, recurrence and gate, added; then the same for the wide products."""
+        scan, before, before2 = state
+        h = self.norm(x)
+        past = _shifted(h, before)
+        k, v, r = ((h * m + past * (1 - m)) @ p.T for m, p in ((self.mix_k, self.key), (self.mix_v, self.value), (self.mix_r, self.gate)))
+        y, scan = wkv_run(k, v, self.decay, self.bonus, scan)
+        x = x + (_sig(r) * y) @ self.out.T
+        h2 = self.norm(x)
+        past = _shifted(h2, before2)
+        k2, r2 = h2 * self.mix_k + past * (1 - self.mix_k), h2 * self.mix_r + past * (1 - self.mix_r)
+        x = x + _sig(r2 @ self.gate2.T) * (np.maximum(k2 @ self.wide.T, 0) ** 2 @ self.narrow.T)
+        return x, (scan, h[-1], h2[-1])
+
+
+def layer(rows: DataFrame, group: str, order: list[str], x: str, weights: Layer) -> DataFrame:
+    """(group, position, y): a whole layer along each group; x and y are arrays of as many numbers as the layer has channels."""
+    return _along(rows, group, order, [F.transform(x, lambda v: F.coalesce(v.cast("double"), F.lit(0.0)))], weights.start, lambda values, state: weights.run(values[0], state), "array<double>")
+
+
+def quantized_weights(weights: list[list[float]]) -> list[list[float]]:
+    """A matrix as eight-bit numbers and back, with a scale and an offset for each input channel (column)."""
+    m = np.array(weights, np.float64)
+    low, scale = m.min(axis=0), np.maximum((m.max(axis=0) - m.min(axis=0)) / 255, 1e-12)
+    return (np.clip(np.floor((m - low) / scale + 0.5), 0, 255) * scale + low).tolist()

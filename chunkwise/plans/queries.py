@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import job
 from ..functions import framing, sizing, tokens
 from ..functions.cdf import TOTAL, integer_cdf
 from ..operators import assembly, chunking, codec, metrics, sequence
-from ..sources import blob
+from ..sources import blob, storage
+from ..sources.shared import new_folder, spread
 from ..streaming import encoder
 
+#: A public vocabulary of byte pairs, as ranks.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Chunk size of the queries; at the default one, a text of this corpus would be one chunk.
 PIN = 1024
 #: A small fixed matrix, so that products have an oracle.
@@ -27,17 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="chunkwise-")
-        atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def chunk_size_by_total(spark, d):
     total = F.floor(F.col("o_totalprice") * 10000).cast("long")
     return table(spark, d, "orders", "o_orderkey", "o_totalprice").select("o_orderkey", total.alias("total"), sizing.chunk_size(total).alias("chunk_size"), sizing.chunk_size(total, target=512).alias("chunk_size_512"), sizing.chunk_size(total, pin=131072).alias("chunk_size_pinned"))
@@ -82,7 +70,7 @@ def bitstream_offsets(spark, d):
 
 
 def token_frequency(spark, d):
-    return table(spark, d, "documents", "lang", "text").select("lang", F.explode(tokens.characters(F.col("text"))).alias("c")).groupBy("lang", "c").agg(F.count("*").alias("n")).select("lang", F.ascii("c").alias("symbol"), "n")
+    return tokens.symbol_counts(spread(table(spark, d, "documents", "lang", "text")), ["lang"], "text")
 
 
 def bos_shift(spark, d):
@@ -91,7 +79,7 @@ def bos_shift(spark, d):
 
 
 def bigram_counts(spark, d):
-    return table(spark, d, "documents", "lang", "text").select("lang", F.explode(tokens.with_previous(tokens.code_points(F.col("text")))).alias("p")).groupBy("lang", "p.previous", "p.symbol").agg(F.count("*").alias("n"))
+    return tokens.symbol_counts(spread(table(spark, d, "documents", "lang", "text")), ["lang"], "text", pairs=True)
 
 
 def token_windows(spark, d):
@@ -113,8 +101,7 @@ def cdf_invariants(spark, d):
 
 
 def ideal_bits_by_doc(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "lang", "text")
-    counts = docs.select("doc_id", "lang", F.explode(tokens.characters(F.col("text"))).alias("c")).groupBy("doc_id", "lang", F.ascii("c").alias("symbol")).agg(F.count("*").alias("n"))
+    counts = tokens.symbol_counts(spread(table(spark, d, "documents", "doc_id", "lang", "text")), ["doc_id", "lang"], "text")
     bits = metrics.ideal_bits(counts, cdf_by_lang(spark, d), ["doc_id"], ["lang", "symbol"])
     return bits.select("doc_id", F.round("bits", 3).alias("bits"))
 
@@ -187,9 +174,44 @@ def matmul_join(spark, d):
 
 def quantized_matvec(spark, d):
     """Products with numbers of eight bits, and how far they are off."""
-    q = sequence.quantize(F.col("embedding"))
-    exact, near = sequence.matvec(F.col("embedding"), WEIGHTS[:1])[0], sequence.matvec(q["dequantized"], WEIGHTS[:1])[0]
-    return _embeddings(spark, d).select("vec_id", F.round(near, 6).alias("y"), (F.abs(near - exact) < 0.05).alias("near"))
+    both = _embeddings(spark, d).select("vec_id", sequence.matvec(F.col("embedding"), WEIGHTS).alias("exact"), sequence.matvec(sequence.quantize(F.col("embedding"))["dequantized"], WEIGHTS).alias("y"))
+    rows = both.select("vec_id", F.posexplode(F.arrays_zip("exact", "y")).alias("n", "p"))
+    return rows.select("vec_id", "n", F.round("p.y", 6).alias("y"), (F.abs(F.col("p.y") - F.col("p.exact")) < 0.05).alias("near"))
+
+
+def quantized_weights(spark, d):
+    """Products with a matrix whose weights are numbers of eight bits, scaled by input channel."""
+    y = sequence.matvec(F.col("embedding"), sequence.quantized_weights(WEIGHTS))
+    return _embeddings(spark, d).select("vec_id", F.posexplode(y).alias("n", "y")).select("vec_id", "n", F.round("y", 6).alias("y"))
+
+
+def layer_rows(spark, d):
+    """A layer of several channels over the events of each user: norms, products, recurrence and gates."""
+    x = F.array(*((F.col("value") / 100 * (k + 1) + F.pmod("event_id", F.lit(k + 2)) - 1).cast("double") for k in range(4)))
+    events = table(spark, d, "events", "event_id", "user_id", "ts", "value").where("value is not null").withColumn("x", x)
+    out = sequence.layer(events, "user_id", ["ts", "event_id"], "x", sequence.Layer.of(4))
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.max("position").alias("last"), F.bool_and(F.forall("y", lambda v: ~F.isnan(v) & (F.abs(v) < 1e6))).alias("finite"))
+
+
+def size_ratios(spark, d):
+    """Ratios and bits per byte of sums over groups, on columns whose sums are known."""
+    small, large = F.col("l_linenumber").cast("long"), F.col("l_quantity").cast("long")
+    rows = table(spark, d, "lineitem", "l_returnflag", "l_linenumber", "l_quantity").groupBy("l_returnflag")
+    return rows.agg(F.round(metrics.ratio(small, large), 9).alias("ratio"), F.round(metrics.bits_per_byte(small, large), 9).alias("bits_per_byte"))
+
+
+def windowed_stream(spark, d):
+    """Tumbling windows of a day over a stream of events."""
+    events = table(spark, d, "events")
+    source = spark.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    path = new_folder(spark, "windows")
+    # times without a zone are read as UTC, whatever the session's zone
+    utc = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    sizes = encoder.windowed_sizes(source.select(utc.alias("ts"), F.length("props").alias("size")), "ts", "size")
+    name = path.rpartition("/")[2].replace("-", "_")
+    sizes.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds("window_start") / 86400).cast("int"))
+    return spark.table(name).select(day.alias("day"), "n", F.col("total").cast("long").alias("total"))
 
 
 def uint8_quantize(spark, d):
@@ -213,12 +235,12 @@ def topk_hit_rate(spark, d):
 
 def embedding_lookup(spark, d):
     events = table(spark, d, "events", "event_id", "user_id")
-    vectors = _embeddings(spark, d).select("vec_id", F.col("embedding")[0].cast("double").alias("first"))
-    return sequence.lookup(events, vectors, "user_id", "vec_id").select("event_id", "vec_id", F.round("first", 8).alias("first"))
+    vectors = sequence.lookup(events, _embeddings(spark, d), "user_id", "vec_id").select("event_id", "vec_id", F.posexplode_outer("embedding").alias("pos", "v"))
+    return vectors.select("event_id", "vec_id", "pos", F.round(F.col("v").cast("double"), 8).alias("v"))
 
 
 def _packed(spark, d, name, keys, text, order=1):
-    return codec.compress(table(spark, d, name, *keys, text), keys, text, pin=PIN, order=order)
+    return codec.compress(spread(table(spark, d, name, *keys, text)), keys, text, pin=PIN, order=order)
 
 
 def codec_roundtrip_docs(spark, d):
@@ -240,18 +262,61 @@ def datasource_roundtrip(spark, d):
     """Encoded, written as blobs by the data source, read back by ranges of chunks, decoded."""
     blob.register(spark)
     encoded, model = _packed(spark, d, "documents", ["doc_id"], "text")
-    path = f"{shared_dir(spark)}/blobs-{uuid.uuid4().hex}"
+    path = new_folder(spark, "blobs")
     encoded.write.format("chunkwise").option("path", path).option("model_id", model.model_id).mode("append").save()
     back = codec.decompress(spark.read.format("chunkwise").option("path", path).load(), model, ["doc_id"])
     return back.select("doc_id", F.decode("data", "UTF-8").alias("text"), "crc_ok")
 
 
+def datasource_of_turns(spark, d):
+    """As above, of conversations: two keys, and a model that is read back from beside the blobs."""
+    blob.register(spark)
+    encoded, model = _packed(spark, d, "conversations", ["conv_id", "turn"], "text")
+    path = new_folder(spark, "blobs")
+    encoded.write.format("chunkwise").option("path", path).option("model_id", model.model_id).mode("append").save()
+    codec.save_model(model, f"{path}.model")
+    saved = codec.saved_model(f"{path}.model", blob.described(path)["model_id"])
+    back = codec.decompress(spark.read.format("chunkwise").option("path", path).load(), saved, ["conv_id", "turn"])
+    return back.select("conv_id", "turn", F.decode("data", "UTF-8").alias("text"), "crc_ok")
+
+
+def job_roundtrip(spark, d):
+    """The texts of each language as a file, compressed to a container and restored by the job."""
+    folder, rows = new_folder(spark, "job"), []
+    docs = table(spark, d, "documents", "doc_id", "lang", "text").where("text is not null")
+    for (lang,) in docs.select("lang").where("lang is not null").distinct().orderBy("lang").collect():
+        source = f"{folder}/{lang}"
+        lines = docs.where(F.col("lang") == lang).orderBy("doc_id").select(F.col("text").cast("binary").alias("raw"))
+        storage.write_parts(source, (bytes(r["raw"]) + b"\n" for r in lines.toLocalIterator()))
+        up = job.compress(spark, source, f"{source}.out", order=1, pin=4 * PIN)
+        down = job.decompress(spark, f"{source}.out", f"{source}.back")
+        rows.append((lang, up["orig"], down["orig"], up["crc32"] == down["crc32"], 0 < up["comp"] < up["orig"]))
+    back = spark.read.format("binaryFile").load(f"{folder}/*.back").select(F.regexp_extract("path", r"([^/]+)\.back$", 1).alias("lang"), F.md5("content").alias("md5"))
+    return spark.createDataFrame(rows, "lang string, orig long, restored long, same_crc boolean, smaller boolean").join(back, "lang")
+
+
+def bpe_roundtrip(spark, d):
+    """Texts as tokens of byte pairs, and back."""
+    docs = spread(table(spark, d, "documents", "doc_id", "text").where("text is not null"))
+    ids = docs.select("doc_id", tokens.bpe_encode(VOCABULARY)("text").alias("ids"))
+    return ids.select("doc_id", tokens.bpe_decode(VOCABULARY)("ids").alias("text"), (F.size("ids") > 0).alias("some"))
+
+
+def bpe_batches(spark, d):
+    """Sequences of benchmark items padded to the longest of their batch, and how many are decoded together."""
+    rows = table(spark, d, "benchmark").select("item_id", tokens.code_points(F.col("text")).alias("ids")).withColumn("batch", F.pmod("item_id", F.lit(8)))
+    longest = F.max(F.size("ids")).over(Window.partitionBy("batch"))
+    padded = rows.withColumn("ids", tokens.padded(F.col("ids"), longest))
+    n = F.count("*").over(Window.partitionBy("batch"))
+    return padded.select("item_id", F.size("ids").alias("n"), F.array_max("ids").alias("top"), sizing.decode_batches(n, cores=2, per_core=2).cast("long").alias("together"))
+
+
 def stream_roundtrip(spark, d):
     """The documents as a stream, encoded batch by batch, then decoded."""
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = spread(table(spark, d, "documents", "doc_id", "text"))
     model = codec.fit(chunking.split(docs, ["doc_id"], "text", PIN), 1)
     codec.small_batches(spark)
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stream")
     source = spark.readStream.schema(spark.read.parquet(f"{d}/documents.parquet").schema).parquet(f"{d}/documents.parquet*")
     out = encoder.encode_stream(source, ["doc_id"], "text", model, PIN)
     out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}.state").trigger(availableNow=True).start().awaitTermination()
@@ -260,7 +325,7 @@ def stream_roundtrip(spark, d):
 
 def coder_near_ideal(spark, d):
     """Coded bits of each language against its cross-entropy under the same model: never fewer, and hardly more."""
-    docs = table(spark, d, "documents", "doc_id", "lang", "text")
+    docs = spread(table(spark, d, "documents", "doc_id", "lang", "text"))
     chunks = chunking.split(docs, ["doc_id", "lang"], "text", PIN)
     model = codec.fit(chunks, 0)
     codec.small_batches(spark)
@@ -268,7 +333,7 @@ def coder_near_ideal(spark, d):
     widths = spark.createDataFrame([(s, int(bounds[s + 1] - bounds[s])) for s in range(256)], "symbol int, width long")
     coded = codec.encode(chunks, model, ["doc_id", "lang"]).groupBy("lang").agg(F.sum((F.col("comp_len") - 8) * 8).alias("coded"), F.count("*").alias("n"))
     counts = codec.count_model(chunks.select("data"), 0)
-    per = chunks.select("lang", F.explode(F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring("data", i, F.lit(1))), 16, 10).cast("int"))).alias("symbol")).groupBy("lang", "symbol").agg(F.count("*").alias("n"))
+    per = tokens.symbol_counts(chunks.select("lang", "data"), ["lang"], "data")
     ideal = metrics.ideal_bits(per, widths, ["lang"], ["symbol"])
     total = counts.agg(F.sum("n").alias("bytes"))
     return coded.join(ideal, "lang").crossJoin(total).select("lang", (F.col("coded") >= F.floor("bits")).alias("not_below"), (F.col("coded") <= F.col("bits") + 16 * F.col("n")).alias("near"), (F.col("bytes") > 0).alias("counted"))
@@ -294,19 +359,22 @@ def assemble_master(spark, d):
 
 
 def ratio_by_lang(spark, d):
-    encoded, _ = codec.compress(table(spark, d, "documents", "doc_id", "lang", "text"), ["doc_id", "lang"], "text", pin=4096)
+    encoded, _ = codec.compress(spread(table(spark, d, "documents", "doc_id", "lang", "text")), ["doc_id", "lang"], "text", pin=4096)
     return encoded.groupBy("lang").agg(F.count("*").alias("n_chunks"), F.sum("orig_len").alias("orig"), F.sum("comp_len").alias("comp"), metrics.ratio(F.col("comp_len"), F.col("orig_len")).alias("ratio"), metrics.bits_per_byte(F.col("comp_len"), F.col("orig_len")).alias("bits_per_byte"))
 
 
 def ratio_rollup(spark, d):
-    encoded, _ = codec.compress(table(spark, d, "documents", "doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"], "text", pin=4096)
+    encoded, _ = codec.compress(spread(table(spark, d, "documents", "doc_id", "lang", "source", "text")), ["doc_id", "lang", "source"], "text", pin=4096)
     return encoded.rollup("lang", "source").agg(F.sum("orig_len").alias("orig"), F.sum("comp_len").alias("comp"), metrics.ratio(F.col("comp_len"), F.col("orig_len")).alias("ratio"))
 
 
 def ratio_by_quality(spark, d):
-    """Ratios of labelled documents."""
-    encoded, _ = codec.compress(table(spark, d, "documents", "doc_id", "text"), ["doc_id"], "text", pin=4096)
-    return encoded.join(table(spark, d, "labels"), "doc_id").groupBy("quality", "toxic").agg(metrics.ratio(F.col("comp_len"), F.col("orig_len")).alias("ratio"))
+    """Ratios of labelled documents, under a model of all; only labelled ones are encoded."""
+    docs, labels = spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "labels")
+    codec.small_batches(spark)
+    model = codec.fit(chunking.split(docs, ["doc_id"], "text", 4096))
+    encoded, _ = codec.compress(docs.join(labels, "doc_id", "left_semi"), ["doc_id"], "text", model, pin=4096)
+    return encoded.join(labels, "doc_id").groupBy("quality", "toxic").agg(metrics.ratio(F.col("comp_len"), F.col("orig_len")).alias("ratio"))
 
 
 def gate_report(spark, d):
@@ -328,12 +396,12 @@ def crc_check(spark, d):
 def lossy_boundary_guard(spark, d):
     """Parts that begin within characters, split at 7 bytes, go through the coder unharmed."""
     raw = F.col("text").cast("binary")
-    docs = table(spark, d, "documents", "doc_id", "text").select("doc_id", "text", F.octet_length("text").alias("n"))
+    docs = spread(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "text", F.octet_length("text").alias("n"))
     cut = sizing.quotient(F.col("n"), F.lit(2)).cast("int")
     parts = docs.select("doc_id", F.posexplode(F.array(raw.substr(F.lit(1), cut), raw.substr(cut + 1, F.col("n") - cut))).alias("part", "data"))
     encoded, model = codec.compress(parts, ["doc_id", "part"], "data", pin=997, order=0)
     back = codec.decompress(encoded, model, ["doc_id", "part"])
-    whole = back.groupBy("doc_id").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("part", "data"))), F.lit(b""), lambda a, p: F.concat(a, p["data"])).alias("data"), F.bool_and("crc_ok").alias("crc_ok"))
+    whole = back.groupBy("doc_id").agg(assembly.in_order("data", "part").alias("data"), F.bool_and("crc_ok").alias("crc_ok"))
     return whole.select("doc_id", F.decode("data", "UTF-8").alias("text"), "crc_ok")
 
 

@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         q.chunk_summary_by_lang, q.chunk_catalog, q.chunk_catalog_arrow, q.chunk_size_by_total, q.part_byte_ranges, q.chunk_index_ranges, q.bitstream_offsets, q.token_frequency, q.bos_shift, q.bigram_counts,
         q.token_windows, q.cdf_by_lang, q.cdf_invariants, q.probability_cdf, q.ideal_bits_by_doc, q.softmax_rows, q.layer_norm_rows, q.premix_lag, q.relu_sq_sigmoid, q.wkv_scan, q.wkv_rows, q.layer_step, q.matvec, q.matvec_kvr, q.matmul_join,
         q.quantized_matvec, q.uint8_quantize, q.quantization_sweep, q.topk_hit_rate, q.embedding_lookup, q.codec_roundtrip_docs, q.codec_roundtrip_conversations, q.codec_roundtrip_pages, q.datasource_roundtrip, q.stream_roundtrip,
-        q.coder_near_ideal, q.header_fields, q.assemble_master, q.ratio_by_lang, q.ratio_rollup, q.ratio_by_quality, q.gate_report, q.crc_check, q.lossy_boundary_guard, q.truncated_valid_text,
+        q.datasource_of_turns, q.job_roundtrip, q.bpe_roundtrip, q.bpe_batches, q.quantized_weights, q.layer_rows, q.size_ratios, q.windowed_stream, q.coder_near_ideal, q.header_fields, q.assemble_master, q.ratio_by_lang, q.ratio_rollup, q.ratio_by_quality, q.gate_report, q.crc_check, q.lossy_boundary_guard, q.truncated_valid_text,
     )
 }
 
@@ -95,11 +95,25 @@ SQL: dict[str, str] = {
     "matvec": f"SELECT vec_id, n, round(y, 8) AS y FROM ({_PRODUCTS})",
     "matvec_kvr": "SELECT vec_id, " + ", ".join(f"round(max(y) FILTER (n = {n}), 8) AS {name}" for n, name in enumerate(("k0", "k1", "v0", "v1", "r0", "r1"))) + f" FROM ({_PRODUCTS}) GROUP BY vec_id",
     "matmul_join": "SELECT l_suppkey AS i, j::INTEGER AS j, sum(l_quantity * (l_linenumber * 2 - j)) AS value FROM lineitem, range(3) r(j) WHERE l_linenumber BETWEEN 1 AND 7 GROUP BY l_suppkey, j",
-    "quantized_matvec": _QUANT + f"SELECT vec_id, round(sum((q * scale + lo) * {_W.replace('n *', '0 *')}), 6) AS y, abs(sum((q * scale + lo) * {_W.replace('n *', '0 *')}) - sum(v * {_W.replace('n *', '0 *')})) < 0.05 AS near FROM y GROUP BY vec_id",
+    "quantized_matvec": _QUANT + f"SELECT vec_id, n::INTEGER AS n, round(sum((q * scale + lo) * {_W}), 6) AS y, abs(sum((q * scale + lo) * {_W}) - sum(v * {_W})) < 0.05 AS near FROM y, range(8) r(n) GROUP BY vec_id, n",
     "uint8_quantize": _QUANT + "SELECT vec_id, round(any_value(scale), 10) AS scale, round(any_value(lo), 8) AS \"offset\", round(sqrt(avg(pow(v - (q * scale + lo), 2))) / (sqrt(avg(v * v)) + 1e-12), 6) AS rel_rmse, sum(q)::BIGINT AS q_sum FROM y GROUP BY vec_id",
     "quantization_sweep": "SELECT s::INTEGER AS scale, round(max(abs(floor(value * s + 0.5) / s - value)), 8) AS max_error FROM events, (VALUES (1), (4), (16), (64)) g(s) WHERE value IS NOT NULL GROUP BY s",
     "topk_hit_rate": "WITH r AS (SELECT 1 + (SELECT count(*) FROM (SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i) WHERE v > embedding[label + 1] OR (v = embedding[label + 1] AND i < label)) AS rank FROM embeddings) SELECT k::INTEGER AS k, round(avg((rank <= k)::INTEGER), 9) AS hit_rate FROM r, (VALUES (1), (2), (4), (8)) g(k) GROUP BY k",
-    "embedding_lookup": "SELECT event_id, vec_id, round(embedding[1]::DOUBLE, 8) AS first FROM events LEFT JOIN embeddings ON user_id = vec_id",
+    "embedding_lookup": """SELECT event_id, vec_id, pos::INTEGER AS pos, round(v::DOUBLE, 8) AS v FROM events LEFT JOIN
+        (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings) ON user_id = vec_id""",
+    "datasource_of_turns": _SAME.format(keys="conv_id, turn", text="text", table="conversations"),
+    "job_roundtrip": """SELECT lang, octet_length(encode(b))::BIGINT AS orig, octet_length(encode(b))::BIGINT AS restored, true AS same_crc, true AS smaller, md5(b) AS md5
+        FROM (SELECT lang, string_agg(text || chr(10), '' ORDER BY doc_id) AS b FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang)""",
+    "bpe_roundtrip": "SELECT doc_id, text, text <> '' AS some FROM documents WHERE text IS NOT NULL",
+    "bpe_batches": """SELECT item_id, max(n) OVER (PARTITION BY item_id % 8)::INTEGER AS n, top::INTEGER AS top, least(4, count(*) OVER (PARTITION BY item_id % 8))::BIGINT AS together
+        FROM (SELECT item_id, len(c) AS n, list_max(list_transform(c, lambda x: unicode(x))) AS top FROM (SELECT item_id, list_filter(string_split(text, ''), lambda x: x <> '') AS c FROM benchmark))""",
+    "quantized_weights": f"""WITH w AS (SELECT k, n, {_W} AS w FROM range(64) a(k), range(8) b(n)),
+        r AS (SELECT k, min(w) AS lo, greatest((max(w) - min(w)) / 255, 1e-12) AS scale FROM w GROUP BY k),
+        z AS (SELECT k, n, greatest(0, least(255, floor((w - lo) / scale + 0.5))) * scale + lo AS w FROM w JOIN r USING (k))
+        SELECT vec_id, n::INTEGER AS n, round(sum(v * w), 6) AS y FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings) JOIN z USING (k) GROUP BY vec_id, n""",
+    "layer_rows": "SELECT user_id, count(*) AS n, count(*) - 1 AS last, true AS finite FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL GROUP BY user_id",
+    "size_ratios": "SELECT l_returnflag, round(sum(l_linenumber) / sum(l_quantity::BIGINT), 9)::DOUBLE AS ratio, round(8 * sum(l_linenumber) / sum(l_quantity::BIGINT), 9)::DOUBLE AS bits_per_byte FROM lineitem GROUP BY l_returnflag",
+    "windowed_stream": "SELECT ts::DATE AS day, count(*) AS n, sum(length(props))::BIGINT AS total FROM events WHERE ts IS NOT NULL GROUP BY 1",
     "codec_roundtrip_docs": _DOCS,
     "codec_roundtrip_conversations": _SAME.format(keys="conv_id, turn", text="text", table="conversations"),
     "codec_roundtrip_pages": _SAME.format(keys="page_id", text="html", table="pages"),

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from chunkwise.functions import cdf, coder, framing
+from chunkwise.functions import cdf, coder, framing, sizing, tokens
 from chunkwise.operators import chunking, codec
 from chunkwise.plans import launch
 from chunkwise.sources import storage
@@ -127,3 +128,53 @@ def test_plans_render(target):
 def test_unknown_plan():
     with pytest.raises(ValueError):
         launch.render("nowhere", {})
+
+
+def test_recurrence_at_once_is_that_of_single_steps():
+    from chunkwise.operators import sequence
+
+    rng = np.random.default_rng(4)
+    k, v = rng.normal(0, 3, (200, 3)), rng.normal(0, 5, (200, 3))
+    v[::7] = 0
+    state, want = [sequence.FRESH] * 3, np.empty_like(v)
+    for t in range(200):
+        for c in range(3):
+            want[t, c], state[c] = sequence.wkv_step(state[c], k[t, c], v[t, c], -0.05 - 0.1 * c, 0.3)
+    w, own, at = np.array([-0.05, -0.15, -0.25]), sequence.fresh(3), 0
+    for n in (1, 0, 50, 149):
+        y, own = sequence.wkv_run(k[at : at + n], v[at : at + n], w, 0.3, own)
+        assert np.allclose(y, want[at : at + n], rtol=1e-9, atol=1e-9)
+        at += n
+    assert np.allclose([s[0] / s[1] for s in state], own[0] / own[1])
+
+
+def test_layer_in_runs_is_that_of_single_positions():
+    from chunkwise.operators import sequence
+
+    layer, x = sequence.Layer.of(4), np.random.default_rng(5).normal(0, 1, (30, 4))
+    whole, _ = layer.run(x, layer.start())
+    state, parts = layer.start(), []
+    for t in range(30):
+        scan, before, before2 = state
+        h = layer.norm(x[t : t + 1])[0]
+        k, v, r = (p @ (h * m + before * (1 - m)) for m, p in ((layer.mix_k, layer.key), (layer.mix_v, layer.value), (layer.mix_r, layer.gate)))
+        y, new = zip(*(sequence.wkv_step(tuple(scan[:, c]), k[c], v[c], layer.decay[c], layer.bonus[c]) for c in range(4)))
+        a = x[t] + layer.out @ (1 / (1 + np.exp(-r)) * np.array(y))
+        h2 = layer.norm(a[None])[0]
+        mixed = [h2 * m + before2 * (1 - m) for m in (layer.mix_k, layer.mix_r)]
+        parts.append(a + 1 / (1 + np.exp(-(layer.gate2 @ mixed[1]))) * (layer.narrow @ np.maximum(layer.wide @ mixed[0], 0) ** 2))
+        state = np.array(new).T, h, h2
+    assert np.allclose(whole, parts, rtol=1e-8)
+
+
+def test_batches_of_chunks(spark):
+    for n in (0, 1, 7, 100):
+        assert spark.range(1).select(sizing.decode_batches(F.lit(n), 2, 4)).first()[0] == sizing.decode_batch(n, 2, 4)
+    assert sizing.decode_batch(1000, 8, 8, memory=10_000_000) == 5
+
+
+def test_symbol_counts_on_odd_rows(spark):
+    df = spark.createDataFrame([("a", "xy\U0001f600x"), ("a", None), (None, "x"), ("b", "")], "g string, t string")
+    assert {tuple(r) for r in tokens.symbol_counts(df, ["g"], "t").collect()} == {("a", 120, 2), ("a", 121, 1), ("a", 0x1F600, 1), (None, 120, 1)}
+    assert {tuple(r) for r in tokens.symbol_counts(df, ["g"], "t", pairs=True).collect()} == {("a", 0, 120, 1), ("a", 120, 121, 1), ("a", 121, 0x1F600, 1), ("a", 0x1F600, 120, 1), (None, 0, 120, 1)}
+    assert tokens.symbol_counts(df.limit(0), ["g"], "t").count() == 0
