@@ -8,7 +8,9 @@ over all segmentations of every word of every document, with the existing scores
 
 from __future__ import annotations
 
+import math
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
+#: The file that the query reads; operators are told theirs.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Probability of all single bytes together; they spell characters that the vocabulary lacks.
 BYTE_MASS = 1e-4
@@ -28,6 +31,8 @@ PRIOR = 100_000.0
 REMEMBERED = 1 << 19
 #: Cells of a lattice that are computed together; bounds memory only.
 CELLS = 1 << 21
+#: A word of so many characters is run by itself, WINDOW of them at a time.
+LONG, WINDOW = 2048, 1 << 14
 MARK, NONE = "▁", -1e30
 _P, _SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,7 +77,7 @@ class Vocabulary:
         return out
 
 
-def load_vocabulary(path: str = VOCABULARY) -> Vocabulary:
+def load_vocabulary(path: str) -> Vocabulary:
     """The pieces of a sentencepiece file and their scores.
 
     Scores of a unigram model are log probabilities and taken as such. Those of a BPE model count its merges down from 0;
@@ -149,10 +154,80 @@ class _Lattice:
         return self.forward()[np.arange(len(self.words)), self.lengths]
 
 
-def _portions(words: list[str], longest: int) -> Iterator[np.ndarray]:
+class _Long:
+    """The lattice of one long word, of which a window of edges is held at a time; memory beyond that is two numbers for each character."""
+
+    def __init__(self, vocabulary: Vocabulary, word: str):
+        self.vocabulary, self.codes = vocabulary, _codes(MARK + word)
+
+    def edges(self, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pieces that begin within a window: start, end and id, -1 where a character is spelled in bytes; by start."""
+        n, k = len(self.codes), self.vocabulary.longest
+        size = min(WINDOW, n - at)
+        codes = np.zeros(size + k, np.uint64)
+        codes[: min(size + k, n - at)] = self.codes[at : at + size + k]
+        h, ids = np.zeros(size, np.uint64), np.full((size, k), -1, np.int32)
+        for j in range(k):
+            h = (h + codes[j : j + size] + np.uint64(1)) * _P
+            fits = np.flatnonzero(np.arange(at, at + size) + j < n)
+            ids[fits, j] = self.vocabulary.find(h[fits])
+        used = ids >= 0
+        used[:, 0] = True
+        start, j = np.nonzero(used)
+        return start + at, start + at + j + 1, ids[start, j]
+
+    def weights(self, vocabulary: Vocabulary, start: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        out = vocabulary.logp[ids] if len(vocabulary.logp) else np.zeros(len(ids))
+        spelled = np.flatnonzero(ids < 0)
+        own, which = np.unique(self.codes[start[spelled]], return_inverse=True)
+        out[spelled] = np.array([vocabulary.byte_logp[list(chr(c).encode("utf-8", "surrogatepass"))].sum() for c in own])[which] if len(own) else 0
+        return out
+
+    def forward(self, vocabulary: Vocabulary) -> array:
+        """alpha[t]: log probability of the first t characters."""
+        alpha = array("d", [NONE]) * (len(self.codes) + 1)
+        alpha[0] = 0.0
+        for at in range(0, len(self.codes), WINDOW):
+            start, end, ids = self.edges(at)
+            for a, b, w in zip(start.tolist(), end.tolist(), self.weights(vocabulary, start, ids).tolist()):
+                x, y = alpha[a] + w, alpha[b]
+                alpha[b] = max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        return alpha
+
+    def counts(self, n: float, out: np.ndarray) -> None:
+        """Add the expected uses of pieces, and of bytes behind them, if the word occurs n times."""
+        alpha, size = np.array(self.forward(self.vocabulary)), len(self.codes)
+        beta = array("d", [NONE]) * (size + 1)
+        beta[size] = 0.0
+        for at in range((size - 1) // WINDOW * WINDOW, -1, -WINDOW):
+            start, end, ids = self.edges(at)
+            worth = self.weights(self.vocabulary, start, ids)
+            for a, b, w in zip(start[::-1].tolist(), end[::-1].tolist(), worth[::-1].tolist()):
+                x, y = beta[b] + w, beta[a]
+                beta[a] = max(x, y) + math.log1p(math.exp(-abs(x - y)))
+            share = np.exp(alpha[start] + worth + np.frombuffer(beta)[end] - alpha[size]) * n
+            _tally(out, ids, share, self.codes[start], len(self.vocabulary.pieces))
+
+
+def _tally(out: np.ndarray, ids: np.ndarray, share: np.ndarray, letters: np.ndarray, pieces: int) -> None:
+    """Add shares to pieces, or to the bytes of letters without one."""
+    out[:pieces] += np.bincount(ids[ids >= 0], share[ids >= 0], minlength=pieces)
+    own, which = np.unique(letters[ids < 0], return_inverse=True)
+    for c, v in zip(own, np.bincount(which, share[ids < 0]) if len(own) else ()):
+        for b in chr(c).encode("utf-8", "surrogatepass"):
+            out[pieces + b] += v
+
+
+def _by_length(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of words that are run together, and of those that are run by themselves."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.flatnonzero(lengths < LONG), np.flatnonzero(lengths >= LONG)
+
+
+def _portions(words: list[str], some: np.ndarray, longest: int) -> Iterator[np.ndarray]:
     """Indices of words of similar lengths, a bounded number of cells at a time."""
-    lengths = np.array([len(w) + 1 for w in words])
-    order = np.argsort(lengths, kind="stable")
+    lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
+    order = some[np.argsort(lengths[some], kind="stable")]
     at = 0
     while at < len(order):
         size = max(1, CELLS // (longest * int(lengths[order[min(at + 256, len(order) - 1)]])))
@@ -166,7 +241,11 @@ def _portions(words: list[str], longest: int) -> Iterator[np.ndarray]:
 def word_scores(words: list[str], *vocabularies: Vocabulary) -> np.ndarray:
     """A row of log marginals for each of the vocabularies, which differ in their scores alone."""
     out = np.zeros((len(vocabularies), len(words)))
-    for some in _portions(words, vocabularies[0].longest) if words else ():
+    short, long = _by_length(words)
+    for i in long:
+        lattice = _Long(vocabularies[0], words[i])
+        out[:, i] = [lattice.forward(v)[-1] for v in vocabularies]
+    for some in _portions(words, short, vocabularies[0].longest):
         lattice = _Lattice(vocabularies[0], [words[i] for i in some])
         for k, vocabulary in enumerate(vocabularies):
             if k:
@@ -178,7 +257,10 @@ def word_scores(words: list[str], *vocabularies: Vocabulary) -> np.ndarray:
 def expected_counts(words: list[str], counts: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Expected uses of each piece, then of each byte, over all segmentations of the words."""
     out = np.zeros(len(vocabulary.pieces) + 256)
-    for some in _portions(words, vocabulary.longest) if words else ():
+    short, long = _by_length(words)
+    for i in long:
+        _Long(vocabulary, words[i]).counts(float(counts[i]), out)
+    for some in _portions(words, short, vocabulary.longest):
         x = _Lattice(vocabulary, [words[i] for i in some])
         alpha, beta = x.forward(), x.backward()
         n, wide, k = x.score.shape
@@ -187,11 +269,7 @@ def expected_counts(words: list[str], counts: np.ndarray, vocabulary: Vocabulary
             used = x.score[:, :, j] > NONE / 2
             rows, starts = np.nonzero(used)
             share = np.exp(alpha[rows, starts] + x.score[rows, starts, j] + beta[rows, starts + j + 1] - whole[rows]) * c[rows]
-            ids = x.ids[rows, starts, j]
-            out[: len(vocabulary.pieces)] += np.bincount(ids[ids >= 0], share[ids >= 0], minlength=len(vocabulary.pieces))
-            for r, s, v in zip(rows[ids < 0], starts[ids < 0], share[ids < 0]):
-                for b in chr(x.letters[r, s]).encode("utf-8", "surrogatepass"):
-                    out[len(vocabulary.pieces) + b] += v
+            _tally(out, x.ids[rows, starts, j], share, x.letters[rows, starts], len(vocabulary.pieces))
     return out
 
 
@@ -284,7 +362,7 @@ def _scorer(sent):
     return run
 
 
-def lm_score(docs: DataFrame, path: str = VOCABULARY, prior: float = PRIOR) -> DataFrame:
+def lm_score(docs: DataFrame, path: str, prior: float = PRIOR) -> DataFrame:
     """(doc_id, n_words, n_chars, prior_logprob, logprob, bits_per_char) of every row of docs.
 
     prior_logprob is the natural logarithm of the text's marginal probability under the vocabulary's own scores, logprob the same under
@@ -293,7 +371,7 @@ def lm_score(docs: DataFrame, path: str = VOCABULARY, prior: float = PRIOR) -> D
 
     A null text has null scores and counts 0; an empty or blank one has probability 1 (logprob 0) and null bits_per_char.
     Null ids stay; rows that repeat are scored one by one, and each counts in the corpus. Words of any length are
-    scored whole. Other columns are ignored, whatever their names. An empty table gives an empty result.
+    scored whole, long ones in windows. Ids have to be integers. Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -303,4 +381,4 @@ def lm_score(docs: DataFrame, path: str = VOCABULARY, prior: float = PRIOR) -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return lm_score(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)

@@ -63,18 +63,36 @@ def test_expected_counts_are_those_of_all_segmentations():
     assert math.isclose(got[len(v.pieces) + ord("z")], want["z"])
 
 
+def test_long_words_are_scored_like_others(monkeypatch):
+    monkeypatch.setattr(lm_score, "WINDOW", 7)
+    v, words, counts = _small(), ["abab", "zbé", "bbababab" * 5, "a" * 31, "b"], np.array([2.0, 1.0, 3.0, 1.0, 4.0])
+    want, uses = lm_score.word_scores(words, v), lm_score.expected_counts(words, counts, v)
+    monkeypatch.setattr(lm_score, "LONG", 4)
+    assert np.allclose(lm_score.word_scores(words, v), want) and np.allclose(lm_score.expected_counts(words, counts, v), uses)
+
+
+def test_a_text_without_blanks_takes_bounded_memory():
+    import tracemalloc
+
+    v = lm_score.load_vocabulary(lm_score.VOCABULARY)
+    tracemalloc.start()
+    out = lm_score.word_scores(["unbroken" * 40_000], v)
+    assert out[0, 0] < -1e5 and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_scores_on_odd_tables(spark):
     df = cases.odd(spark)
-    rows = lm_score.lm_score(df).collect()
+    rows = lm_score.lm_score(df, lm_score.VOCABULARY).collect()
     assert len(rows) == df.count()
     by = {r["doc_id"]: r for r in rows}
     assert by[1]["logprob"] is None and by[2]["logprob"] == 0 and by[2]["bits_per_char"] is None and by[3]["n_words"] == 0
     assert math.isclose(by[4]["logprob"], 8000 * sum(_fitted_word(spark, df, w) for w in ("very", "long", "text")), rel_tol=1e-9)
-    assert lm_score.lm_score(cases.empty(spark)).count() == 0
+    assert lm_score.lm_score(cases.empty(spark), lm_score.VOCABULARY).count() == 0
 
 
 def _fitted_word(spark, df, word):
-    return lm_score.word_scores([word], lm_score.fit_scores(df, lm_score.load_vocabulary()))[0][0]
+    return lm_score.word_scores([word], lm_score.fit_scores(df, lm_score.load_vocabulary(lm_score.VOCABULARY)))[0][0]
 
 
 def test_fitted_scores_suit_the_corpus(spark):
