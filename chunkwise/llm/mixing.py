@@ -74,14 +74,16 @@ def token_count(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict[tuple, float] = WEIGHTS, total: int | None = None, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, tokens: Column | None = None) -> DataFrame:
-    """The documents of the mixture, a row for each time one is taken: all columns of docs, and __epoch, __tokens.
+    """The documents of the mixture, a row for each time one is taken: (doc_id, __domain, __lang, __source, __epoch, __tokens, __text).
+
+    __text is the md5 of the text, by which rows that repeat an id with another text are told apart; texts themselves don't move.
 
     total is the budget in tokens; without one it is `share` of the corpus's tokens. In an epoch the documents of a leaf
     go by md5 of seed, epoch and id; a document is taken if it ends within its leaf's budget, so that a leaf
     exceeds nothing and falls short by less than the document at the cut. A leaf gives its corpus at most `epochs` times.
 
     Null domains, languages or sources are leaves of their own. Documents without a token or without an id are never
-    taken. Rows that repeat an id count one by one; ties in the hash go by id, then by text. Sums by hash bucket find the
+    taken. Ids have to be integers. An empty table gives no rows, other columns are ignored. Rows that repeat an id count one by one; ties in the hash go by id, then by text. Sums by hash bucket find the
     cut, so no leaf, however large, is ordered as a whole.
     """
     tokens = token_count(F.col("text")) if tokens is None else tokens

@@ -352,7 +352,7 @@ def _feature_table(docs: DataFrame, whole: bool = False) -> DataFrame:
     return cut(read.mapInArrow(_features, schema + FEATURES))
 
 
-def fit(features: DataFrame, labels: DataFrame, max_labelled: int = LABELLED) -> Model:
+def fit(features: DataFrame, labels: DataFrame, max_labelled: int = LABELLED, rounds: int = ROUNDS) -> Model:
     """Co-train on at most max_labelled labels, chosen by a seeded hash of the id, and on all documents that have none of these."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("__q"), F.max(F.coalesce("toxic", F.lit(0))).alias("__t"))
     sample = marks.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_labelled).select("doc_id", F.expr("cast(__q = 1 and __t = 0 as int)").alias("good"))
@@ -360,7 +360,7 @@ def fit(features: DataFrame, labels: DataFrame, max_labelled: int = LABELLED) ->
     chosen = F.broadcast(features.sparkSession.createDataFrame(rows, "doc_id long, good int"))
     labelled = features.select("doc_id", "key", "words", "meta", "n").join(chosen, "doc_id").toArrow()
     order = np.lexsort((labelled["key"].to_numpy(), labelled["doc_id"].to_numpy()))
-    return co_train(labelled.take(pa.array(order)), _surest(features.join(chosen, "doc_id", "left_anti")))
+    return co_train(labelled.take(pa.array(order)), _surest(features.join(chosen, "doc_id", "left_anti")), rounds)
 
 
 def _scorer(sent) -> Callable:

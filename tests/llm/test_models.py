@@ -197,6 +197,33 @@ def test_flac_query_agrees_with_its_sql(spark):
     assert oracle.from_spark(flac.query(spark, SF)) == oracle.from_sql(flac.SQL)
 
 
+def test_budgets_are_those_of_filling_every_family_to_one_level():
+    """Each family's children are filled to a common level for a unit of weight, found by bisection, as far as they can take it."""
+    import random
+
+    rng = random.Random(5)
+
+    def filled(amount, wants, weights):
+        low, high = 0.0, 1e12
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(wants[k], mid * weights[k]) for k in wants) < amount else (low, mid)
+        return {k: min(wants[k], high * weights[k]) for k in wants}
+
+    for _ in range(60):
+        supply = {(f"d{rng.randrange(3)}", f"l{rng.randrange(3)}", f"s{k}"): rng.choice([0, 1, rng.randrange(50), rng.randrange(5000)]) for k in range(rng.randrange(1, 14))}
+        weights = {p[:n]: rng.choice([1, 0.1, 3.5, 20]) for p in supply for n in (1, 2, 3) if rng.random() < 0.7}
+        total = rng.randrange(1, 1 + sum(supply.values()) + 50)
+        got = mixing.budgets(supply, total, weights)
+        assert sum(got.values()) == min(total, sum(supply.values())) and all(0 <= got[k] <= supply[k] for k in supply)
+        for depth in (0, 1, 2):
+            for family in {p[:depth] for p in supply}:
+                below = lambda m: {c: sum(n for p, n in m.items() if p[: depth + 1] == c) for c in {p[: depth + 1] for p in supply if p[:depth] == family}}  # noqa: E731, B023
+                have, wants = below(got), below(supply)
+                want = filled(sum(have.values()), wants, {c: weights.get(c, 1.0) for c in wants})
+                assert all(abs(have[c] - want[c]) <= 1 for c in have)
+
+
 def test_budgets_share_among_siblings_first():
     supply = {("a", "x"): 10, ("a", "y"): 100, ("b", "z"): 100}
     assert mixing.budgets(supply, 100, {("a",): 1, ("b",): 1, ("a", "x"): 1, ("a", "y"): 1}) == {("a", "x"): 10, ("a", "y"): 40, ("b", "z"): 50}
@@ -235,6 +262,40 @@ def test_mixing_on_odd_tables(spark):
     assert mixing.mixture(cases.empty(spark)).count() == 0
 
 
+def test_exchange_changes_what_the_views_know(spark):
+    """Words that no used label shows are learnt from documents of which the metadata is sure."""
+    rows = []
+    for d in range(1800):
+        good, rare = d % 2, d >= 600 and d % 3 == 0
+        word = (("kind", "fine")[d % 4 // 2] if rare else "calm") if good else (("foul", "vile")[d % 4 // 2] if rare else "junk")
+        rows.append((d, " ".join([word] * 8), "en" if good else "xx", f"src{good}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = docs.where("doc_id < 600").selectExpr("doc_id", "cast(doc_id % 2 as int) quality", "0 toxic")
+    features = quality._feature_table(docs)
+    slot = lambda word: int(quality._unpacked(features.sparkSession.createDataFrame([(0, word, "en", "s")], docs.schema).transform(quality._feature_table).toArrow()["words"])[0].max())
+    once, full = (quality.fit(features, labels, rounds=r).text.weights for r in (0, 3))
+    own = [(slot("kind"), slot("foul")), (slot("fine"), slot("vile"))]
+    assert all(not once[a] and not once[b] for a, b in own)
+    assert all(full[a] > 0 > full[b] for a, b in own)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_and_empty_tables(spark, k):
+    _, stage = corpus_pipeline.STAGES[k]
+    for docs in (cases.odd(spark), cases.odd(spark).drop("n_chars"), cases.empty(spark), cases.odd(spark).withColumn("epoch", F.lit("x"))):
+        out = stage(spark, docs, SF)
+        ids = {r[0] for r in docs.select("doc_id").collect()}
+        got = out.collect()
+        assert {r["doc_id"] for r in got} <= ids
+        if k < 4:
+            assert out.columns == docs.columns
+        else:
+            assert out.columns[: len(docs.columns)] == docs.columns and len(out.columns) == len(docs.columns) + 3
+            assert all(r["doc_id"] is not None for r in got)
+    if 0 < k < 4:
+        assert any(r["doc_id"] is None for r in stage(spark, cases.odd(spark), SF).collect())
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, out = table(spark, SF, "documents"), []

@@ -30,6 +30,23 @@ def test_line_dedup_on_odd_tables(spark):
     assert cases.tuples(kept.where("doc_id = 6"), "text", "n_chars") == [("A third one.", 12)]
 
 
+def test_line_dedup_settles_frequent_lines_of_a_task_on_the_spot():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2, 3]) if rng.random() < 0.5 else rng.randrange(10**6), 5, d, rng.randrange(3), 3, 0) for d in rng.sample(range(4000), 4000)]
+    rows += rows[:50]
+    names = ["k1", "k2", "doc_id", "pos", "n_lines", "known"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + 300]]) for i in range(0, len(rows), 300)]
+    out = [r for b in line_dedup._spread(iter(batches)) for r in b.to_pylist()]
+    sent = [r for r in out if r["known"] == 0 and r["k1"] in (1, 2, 3)]
+    assert len(out) == len(rows) and len(sent) < 150
+    least = {}
+    for k, _, d, p, *_ in rows:
+        least[k] = min(least.get(k, (d, p)), (d, p))
+    assert not [r for r in out if r["known"] and (r["doc_id"], r["pos"]) in least.values()]
+
+
 def _repeats(rows, least):
     counts, texts = Counter(), sorted({(d, t) for d, t in rows if d is not None and t is not None})
     for _, t in texts:
