@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over documents; each stage's result is written and reread as the next one's input."""
+"""A corpus pipeline of five stages over documents; each stage's result is written and reread as the next one's input.
+
+All stages bear null ids, which no stage but the last leaves out, null and empty texts, rows that repeat, empty tables and further columns; but for the last they
+return the columns they were given. What they do in such cases is said beside the operators that they call.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise.llm import decontam, line_dedup, mixing, ngram_join, quality
-from chunkwise.llm.common import new_folder, table
+from chunkwise.llm.common import new_folder, table, unused
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +34,15 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training mixture: a row with its text for each epoch in which a document is taken."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__md5"), F.col("__domain").alias("domain"), F.col("__epoch").alias("epoch"), F.col("__tokens").alias("n_tokens"))
-    texts = docs.select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id", "text"])
-    return texts.join(taken, (F.col("doc_id") == F.col("__id")) & (F.md5("text") == F.col("__md5"))).drop("__id", "__md5")
+    """The training mixture: a row with all columns of the document for each epoch in which it is taken, and domain, epoch and n_tokens.
+
+    Texts without a token and null ids are never taken. Rows alike in id and text are taken as often as there are of them, each with the columns of one of
+    them. Names that docs has already get an underscore in front.
+    """
+    key, digest, *names = unused(docs, "__id", "__md5", "domain", "epoch", "n_tokens")
+    taken = mixing.mix(docs).select(F.col("doc_id").alias(key), F.col("__text").alias(digest), *(F.col(c).alias(n) for c, n in zip(("__domain", "__epoch", "__tokens"), names)))
+    texts = docs.dropDuplicates(["doc_id", "text"])
+    return texts.join(taken, (texts["doc_id"] == F.col(key)) & (F.md5(texts["text"]) == F.col(digest))).drop(key, digest)
 
 
 STAGES = [
