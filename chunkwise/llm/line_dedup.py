@@ -1,6 +1,8 @@
 """Line deduplication: range-partitioned line hashes, first occurrences streamed in order, bitmaps returned.
 
-Only 128-bit hashes and positions are shuffled, never text.
+Only 128-bit hashes and positions are shuffled, never text. Ranges are equal stretches of the space of hashes, in which hashes lie
+evenly, so that nothing has to be drawn for them. What a task knows to be repeats of a line that it has seen before is settled on the spot and dealt out
+evenly, so that a line that very many documents share sends few rows to its range.
 """
 
 from __future__ import annotations
@@ -17,23 +19,61 @@ from pyspark.sql import types as T
 from .common import small_batches, table, unused
 
 KEYED = "k1 long, k2 long, doc_id long, pos int, n_lines int, known int"
+#: Lines that a task remembers as frequent.
+FREQUENT = 1 << 16
 FLAGS = "doc_id long, pos int, n_lines int, keep boolean"
 
 
+class _Frequent:
+    """Lines that occurred more than once in a batch, with the least place seen so far; of FREQUENT lines at most, which bounds memory only."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, [("a", "i8"), ("b", "i8")])
+        self.doc, self.pos = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Whether each line occurred before, at a lesser place; lesser places are remembered."""
+        keys = _keys(a, b)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        if not len(self.keys):
+            return np.zeros(len(a), bool)
+        known = self.keys[at] == keys
+        later = known & ((doc > self.doc[at]) | (doc == self.doc[at]) & (pos > self.pos[at]))
+        less = np.flatnonzero(known & ((doc < self.doc[at]) | (doc == self.doc[at]) & (pos < self.pos[at])))
+        less = less[np.lexsort((pos[less], doc[less]))[::-1]]  # the least is put down last
+        self.doc[at[less]], self.pos[at[less]] = doc[less], pos[less]
+        return later
+
+    def add(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
+        keys = _keys(a, b)
+        fresh = np.flatnonzero(~np.isin(keys, self.keys))[: FREQUENT - len(self.keys)]
+        keys, doc, pos = (np.concatenate((x, y[fresh])) for x, y in ((self.keys, keys), (self.doc, doc), (self.pos, pos)))
+        order = np.argsort(keys, order=("a", "b"))
+        self.keys, self.doc, self.pos = keys[order], doc[order], pos[order]
+
+
+def _keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty(len(a), [("a", "i8"), ("b", "i8")])
+    out["a"], out["b"] = a, b
+    return out
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Mark what is surely a repeat within a batch and scatter it, so that no frequent line fills one partition."""
+    """Mark what is surely a repeat of a line of this task and scatter it, so that no frequent line fills one range."""
+    frequent = _Frequent()
     for batch in batches:
         k1, k2, doc, pos, n, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         k1, known = k1.copy(), known.copy()
         order = np.lexsort((pos, doc, k2, k1))
-        a, b, open_ = k1[order], k2[order], known[order] == 0
-        again = np.zeros(len(order), bool)
-        if len(order):
-            # blank lines have keys of their own, so a run of equal keys is never mixed
-            again[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & open_[1:] & open_[:-1]
-            same = again.copy()
-            same[1:] &= (doc[order][1:] == doc[order][:-1]) & (pos[order][1:] == pos[order][:-1])
-            again &= ~same  # a repeated row is no repeat of its own line
+        order = order[known[order] == 0]
+        a, b, d, p = k1[order], k2[order], doc[order], pos[order]
+        first = np.ones(len(order), bool)
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
+        # a row that repeats is no repeat of its own line
+        again = ((d != d[head]) | (p != p[head])) | frequent.later(a, b, d, p)
+        several = np.flatnonzero(first & np.concatenate((~first[1:], [False]))) if len(order) else np.zeros(0, np.int64)
+        frequent.add(a[several], b[several], d[several], p[several])
         hit = order[again]
         known[hit] = 1
         scatter = doc[hit].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos[hit].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
@@ -83,11 +123,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the one with the least (document, position) is kept. `runs` holds lengths of alternating runs, the first
     of kept lines (0 if the document begins with a dropped one).
 
-    Null ids have no row. Null and empty texts, and blank lines, are kept: an empty text is one blank line.
+    Ids have to be integers. Null ids have no row. Null and empty texts, and blank lines, are kept: an empty text is one blank line.
     Rows that repeat a document share one bitmap, as long as their longest text. Other columns are ignored,
     whatever their names. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark, 50_000)
     lines = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("__lines"))
         .where("doc_id is not null")
@@ -100,7 +141,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(blank, F.xxhash64("doc_id")).otherwise(F.xxhash64("__line")).alias("k1"),
         F.xxhash64(F.lit(7), "__line").alias("k2"), "doc_id", "pos", "n_lines", F.when(blank, 2).otherwise(0).alias("known"),
     )
-    ranged = keyed.mapInArrow(_spread, KEYED).repartitionByRange("k1").sortWithinPartitions("k1", "k2", "doc_id", "pos")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the upper 32 bits, from 0: where in the space of hashes a line lies
+    place = F.shiftright("k1", 32) + F.lit(1 << 31)
+    ranged = keyed.mapInArrow(_spread, KEYED).withColumn("range", F.shiftright(place * ranges, 32).cast("int"))
+    ranged = ranged.repartitionById(ranges, "range").drop("range").sortWithinPartitions("k1", "k2", "doc_id", "pos")
     flags = ranged.mapInArrow(_firsts, FLAGS)
     dropped = F.array_distinct(F.collect_list(F.when(~F.col("keep"), F.col("pos"))))
     per_doc = flags.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), dropped.alias("__dropped"))
@@ -127,7 +172,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """Documents without their repeated lines; one that loses every line that isn't blank is dropped.
 
     Documents with a null id, a null text or nothing to drop stay as they are. n_chars, if there, is set anew for
-    texts that changed.
+    texts that changed. Rows that repeat an id are cut by the same bitmap. An empty table stays empty; all columns are kept, whatever their names.
     """
     key, runs, body = unused(docs, "__id", "__runs", "__text")
     maps = keep_bitmaps(docs).where("n_kept < n_lines").select(F.col("doc_id").alias(key), F.col("runs").alias(runs))
