@@ -379,6 +379,57 @@ def test_license_scan_finds_what_some_window_of_aligned_ends_covers():
     assert 30 < some
 
 
+def test_license_scan_takes_time_in_proportion_to_the_licenses():
+    import time
+
+    scanner, took = licenses.Scanner(licenses.TEMPLATES), []
+    for n in (500, 4000):
+        t = time.process_time()
+        assert len(scanner.scan("Released under the MIT License. Some words go here then. " * n)) == n
+        took.append(time.process_time() - t)
+    assert took[1] < 20 * took[0]
+
+
+def test_each_template_is_found_in_itself():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES:
+        assert name in {f[0] for f in scanner.scan(f"Before it. {text} Behind it.")}
+
+
+def test_patience_anchors_and_gaps_against_their_definition():
+    """Each aligned pair is part of a common beginning or end of a gap, or a word that is unique on both sides of it."""
+    rng = random.Random(3)
+
+    def align(a, b, i, j):
+        head = 0
+        while head < min(len(a), len(b)) and a[head] == b[head]:
+            head += 1
+        a, b, out = a[head:], b[head:], [(i + k, j + k) for k in range(head)]
+        i, j, tail = i + head, j + head, 0
+        while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+            tail += 1
+        out += [(i + len(a) - 1 - k, j + len(b) - 1 - k) for k in range(tail)]
+        a, b = a[: len(a) - tail], b[: len(b) - tail]
+        pairs = [(a.index(w), k) for k, w in enumerate(b) if a.count(w) == 1 and b.count(w) == 1]
+        if not pairs:
+            return out
+        best = [1] * len(pairs)
+        for k in range(len(pairs)):
+            best[k] = 1 + max([best[m] for m in range(k) if pairs[m][0] < pairs[k][0]], default=0)
+        kept = set(licenses._longest_increasing(pairs))
+        assert len(kept) == max(best) and kept <= set(pairs)
+        x = y = 0
+        for p, q in [*sorted(kept), (len(a), len(b))]:
+            out += align(a[x:p], b[y:q], i + x, j + y)
+            out += [(i + p, j + q)] if p < len(a) else []
+            x, y = p + 1, q + 1
+        return out
+
+    for _ in range(200):
+        a, b = ([rng.choice("abcdefghij") for _ in range(rng.randrange(14))] for _ in range(2))
+        assert licenses.patience(a, b) == sorted(align(a, b, 0, 0))
+
+
 def test_licenses_on_odd_tables(spark):
     text = "Lorem ipsum.\nReleased under the MIT License.\nDolor. Released under the MIT License."
     got = cases.tuples(licenses.license_scan(cases.odd(spark, [(8, text, "en", "s"), (9, "no license at all here", "en", "s")])), "doc_id", "license", "coverage", "start_char", "end_char")
