@@ -1,8 +1,8 @@
 """FLAC media columns: frames are parsed, Rice residuals and linear predictors decoded, checksums verified, PCM blocks written.
 
 Unary parts of Rice codes are followed from one bit to the next over positions found by numpy; remainders of a whole
-partition are gathered at once, and predictors run in lockstep over all subframes of a batch of files. An encoder is here as
-well, for tests and for media columns made of numbers.
+partition are gathered at once, and predictors run in lockstep over all subframes of a batch of files. Short streams go through all of
+this in lockstep, frame by frame. An encoder is here as well, for tests and for media columns made of numbers.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import flac_lanes
 from .common import small_batches, table
 
 RATE, BITS, BLOCK = 16_000, 16, 16
+#: The query's signals are running sums over 2 ** RUNNING.
+RUNNING = 4
 BLOCKS = "media_id long, block int, first_sample long, n_samples int, sample_rate int, channels int, bits int, byte_offset long, byte_length int, crc_ok boolean, pcm binary, error string"
 #: Bits of a stream whose one bits are listed together; bounds memory only.
 WINDOW = 1 << 16
@@ -484,17 +487,47 @@ def encode(values: np.ndarray, rate: int = RATE, bits: int = BITS, block: int =
     return b"".join(out)
 
 
+_SCHEMA = pa.schema([("media_id", pa.int64()), ("block", pa.int32()), ("first_sample", pa.int64()), ("n_samples", pa.int32()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("byte_offset", pa.int64()), ("byte_length", pa.int32()), ("crc_ok", pa.bool_()), ("pcm", pa.binary()), ("error", pa.string())])
+
+
+def _lanes(media: list, data: list[bytes], infos: list[Info]) -> tuple[list[pa.RecordBatch], np.ndarray]:
+    """Blocks of short streams in lockstep, and which of the streams that can't be done for."""
+    lanes = flac_lanes.Lanes(data, [i.audio for i in infos], [i.least for i in infos], [i.most for i in infos], [i.rate for i in infos], [i.bits for i in infos])
+    out = []
+    for f in lanes.frames():
+        n = len(f.lane)
+        if not n:
+            continue
+        wide, blobs = (f.bits + 7) // 8, []
+        little = np.ascontiguousarray(f.samples.astype("<i8")).view(np.uint8).reshape(*f.samples.shape, 8)
+        if len({*zip(wide.tolist(), f.size.tolist(), f.channels.tolist())}) == 1:
+            whole, step = little[:, : f.size[0], : f.channels[0], : wide[0]].tobytes(), int(f.size[0] * f.channels[0] * wide[0])
+            blobs = [whole[k * step : (k + 1) * step] for k in range(n)]
+        else:
+            blobs = [little[k, : f.size[k], : f.channels[k], : wide[k]].tobytes() for k in range(n)]
+        columns = [[media[k] for k in f.lane.tolist()], f.number, f.first, f.size, f.rate, f.channels, f.bits, f.start, f.end - f.start, np.ones(n, bool), blobs, pa.nulls(n, pa.string())]
+        out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _SCHEMA.types)], schema=_SCHEMA))
+    return out, lanes.bad
+
+
 def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("media_id", pa.int64()), ("block", pa.int32()), ("first_sample", pa.int64()), ("n_samples", pa.int32()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("byte_offset", pa.int64()), ("byte_length", pa.int32()), ("crc_ok", pa.bool_()), ("pcm", pa.binary()), ("error", pa.string())])
     for batch in batches:
-        parsed, rows = [], []
+        rows, single, short = [], [], []
         for media, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not data:
                 continue
             try:
-                parsed.append((media, *parse(data)))
+                info = stream_info(data)
+                (short if len(data) <= flac_lanes.SHORT else single).append((media, data, info))
             except Broken as e:
                 rows.append((media, None, None, 0, None, None, None, 0, len(data), False, None, str(e)))
+        portion = np.cumsum([len(d) for _, d, _ in short]) // flac_lanes.TOGETHER
+        for k in np.unique(portion):
+            some = [short[i] for i in np.flatnonzero(portion == k)]
+            blocks, bad = _lanes(*map(list, zip(*some)))
+            yield from blocks
+            single += [some[i] for i in np.flatnonzero(bad)]
+        parsed = [(media, *parse(data)) for media, data, _ in single]
         restore([s for _, _, frames in parsed for f in frames if isinstance(f, _Frame) for s in f.subframes])
         for media, info, frames in parsed:
             for k, f in enumerate(frames):
@@ -502,7 +535,7 @@ def _decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     rows.append((media, k, None, 0, info.rate, info.channels, info.bits, f[0], None, False, None, f[1]))
                 else:
                     rows.append((media, k, f.first, f.size, f.rate, len(f.subframes), f.bits, f.start, f.end - f.start, True, pcm(samples(f), f.bits), None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema.types)], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(_SCHEMA), _SCHEMA.types)], schema=_SCHEMA)
 
 
 def decode_blocks(media: DataFrame, id_col: str = "media_id", data_col: str = "flac") -> DataFrame:
@@ -525,25 +558,71 @@ def seek(blocks: DataFrame, start: int, end: int) -> DataFrame:
     return blocks.where(f"crc_ok and first_sample < {int(end)} and first_sample + n_samples > {int(start)}")
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [None if x is None else encode(np.array([v or 0 for v in x], np.int64)) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["media_id", "flac"])
-
+def encode_many(signals: list[np.ndarray], rate: int = RATE, bits: int = BITS, block: int = BLOCK, order: int = 4, parts: int = 1) -> list[bytes]:
+    """encode() for many signals of one channel, blocks of one size together."""
+    import hashlib
 
-def media_column(signals: DataFrame, id_col: str = "vec_id", signal_col: str = "embedding") -> DataFrame:
+    cuts = [(s, k, x[at : at + block]) for s, x in enumerate(signals) for k, at in enumerate(range(0, len(x), block))]
+    sizes = np.array([len(x) for _, _, x in cuts], np.int64)
+    frames: list[bytes] = [b""] * len(cuts)
+    fronts: dict[tuple[int, int], bytes] = {}
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        bodies = flac_lanes.write_subframes(np.stack([cuts[i][2] for i in rows]), bits, order, parts)
+        for i, body in zip(rows.tolist(), bodies):
+            if body is None:
+                one = _Writer()
+                _write_subframe(one, cuts[i][2], bits, order, parts)
+                body = one.bytes()
+            key = (cuts[i][1], int(size))
+            if key not in fronts:
+                front = bytes([0xFF, 0xF8, 7 << 4, 0]) + _utf8(key[0]) + (key[1] - 1).to_bytes(2, "big")
+                fronts[key] = front + bytes([crc8(front)])
+            frames[i] = fronts[key] + body
+    sums = flac_lanes.crc16_of(frames) if frames else []
+    out = []
+    for x in signals:
+        head = block.to_bytes(2, "big") * 2 + bytes(6) + (rate << 44 | bits - 1 << 36 | len(x)).to_bytes(8, "big") + hashlib.md5(pcm(x[:, None], bits)).digest()
+        out.append([b"fLaC", bytes([128]), len(head).to_bytes(3, "big"), head])
+    for (s, _, _), frame, crc in zip(cuts, frames, sums):
+        out[s] += [frame, crc.to_bytes(2, "big")]
+    return [b"".join(x) for x in out]
+
+
+def _encoder(running: int | None):
+    """(id, levels) -> (id, stream); running: signals are running sums, shifted down by so many bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = batch.column(1)
+            there = np.flatnonzero(levels.is_valid().to_numpy(zero_copy_only=False))
+            values = levels.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(levels.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))[there]
+            signals = np.split(values, ends[:-1]) if len(there) else []
+            if running is not None:
+                signals = [np.clip(np.cumsum(x) >> running, -32768, 32767) for x in signals]
+            data: list[bytes | None] = [None] * batch.num_rows
+            for i, x in zip(there.tolist(), encode_many(signals)):
+                data[i] = x
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["media_id", "flac"])
+
+    return run
+
+
+def media_column(signals: DataFrame, id_col: str = "vec_id", signal_col: str = "embedding", running: int | None = None) -> DataFrame:
     """(media_id, flac): each array of numbers from -1 to 1 as a FLAC stream of one channel of 16 bits.
 
-    A null array is a null stream, null numbers are silence, numbers beyond the range are cut off.
+    With `running` the signal is the running sum of the numbers over 2 ** running, which is smooth, as sound is. A null array is a null stream, null numbers
+    are silence, numbers beyond the range are cut off.
     """
     small_batches(signals.sparkSession)
     level = lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(x.cast("double") * 32767 + 0.5))).cast("int")
-    return signals.select(F.col(id_col).cast("long").alias("media_id"), F.transform(signal_col, level).alias("level")).mapInArrow(_encode_batches, "media_id long, flac binary")
+    return signals.select(F.col(id_col).cast("long").alias("media_id"), F.transform(signal_col, level).alias("level")).mapInArrow(_encoder(running), "media_id long, flac binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings as signals: written as a media column of FLAC streams, and decoded to blocks."""
-    blocks = decode_blocks(media_column(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+    """The embeddings as steps of signals: written as a media column of FLAC streams, and decoded to blocks."""
+    blocks = decode_blocks(media_column(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), running=RUNNING))
     return blocks.select("media_id", "block", "first_sample", "n_samples", "sample_rate", "channels", "bits", "crc_ok", F.hex("pcm").alias("pcm_hex"))
 
 
@@ -552,7 +631,8 @@ WITH s AS (
   SELECT vec_id, unnest(range(len(embedding))) AS i,
          unnest(list_transform(embedding, lambda x: greatest(-32768, least(32767, floor(x::DOUBLE * 32767 + 0.5)))::INTEGER)) AS v
   FROM embeddings
-), u AS (SELECT vec_id, i, ((v + 65536) % 65536)::INTEGER AS u FROM s)
+), r AS (SELECT vec_id, i, greatest(-32768, least(32767, floor(sum(v) OVER (PARTITION BY vec_id ORDER BY i) / {1 << RUNNING}.0)))::INTEGER AS v FROM s),
+u AS (SELECT vec_id, i, ((v + 65536) % 65536)::INTEGER AS u FROM r)
 SELECT vec_id AS media_id, (i // {BLOCK})::INTEGER AS block, min(i)::BIGINT AS first_sample, count(*)::INTEGER AS n_samples, {RATE}::INTEGER AS sample_rate, 1::INTEGER AS channels,
        {BITS}::INTEGER AS bits, true AS crc_ok, string_agg(printf('%02X%02X', u % 256, u // 256), '' ORDER BY i) AS pcm_hex
 FROM u GROUP BY vec_id, i // {BLOCK}

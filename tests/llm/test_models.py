@@ -173,6 +173,45 @@ def test_flac_special_subframes():
     assert flac.stream_info(data).md5 == hashlib.md5(x.astype("<i2").tobytes()).digest()
 
 
+def _rows_of(streams):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(streams)), pa.int64()), pa.array(streams, pa.binary())], names=["media_id", "flac"])
+    return sorted((r for b in flac._decode_batches(iter([batch])) for r in b.to_pylist()), key=lambda r: (r["media_id"], r["byte_offset"]))
+
+
+def test_flac_streams_in_lockstep_are_decoded_as_alone(monkeypatch):
+    from chunkwise.llm import flac_lanes
+
+    rng, streams = np.random.default_rng(12), [b"", b"no stream"]
+    for bits in (8, 16, 24):
+        for channels, stereo in ((1, 0), (2, 0), (2, 8), (2, 9), (2, 10), (3, 0)):
+            for n, block, order, parts in ((1, 16, 0, 0), (50, 16, 4, 1), (700, 192, 8, 3), (2600, 20, 2, 1)):
+                streams.append(flac.encode(_signal(rng, n, channels, bits), 44100, bits, block, order, parts, stereo))
+    for x in (np.full(100, -7), np.arange(100) * 8, rng.integers(-32768, 32768, 100), np.zeros(40), np.arange(300) % 2 * 60000 - 30000):
+        streams.append(flac.encode(np.asarray(x, np.int64)[:, None], block=64))
+    for k in range(60):
+        bad = bytearray(streams[int(rng.integers(2, 60))])
+        bad[int(rng.integers(len(bad)))] ^= 1 << int(rng.integers(8))
+        streams.append(bytes(bad[: int(rng.integers(len(bad)))] if k % 3 == 0 else bad))
+    together = _rows_of(streams)
+    alone = flac_lanes.Lanes.frames
+    monkeypatch.setattr(flac_lanes, "SHORT", -1)
+    assert together == _rows_of(streams) and len(together) > 1000
+    monkeypatch.setattr(flac_lanes, "SHORT", 1 << 15)
+    done = []
+    monkeypatch.setattr(flac_lanes.Lanes, "frames", lambda self: done.append(self) or alone(self))
+    _rows_of(streams[2:70])
+    assert sum(int((~x.bad).sum()) for x in done) > 60
+
+
+def test_flac_signals_written_together_come_back():
+    rng = np.random.default_rng(13)
+    signals = [_signal(rng, int(n), 1, 16)[:, 0] for n in rng.integers(0, 90, 200)] + [np.zeros(64, np.int64), np.arange(64) * 4, rng.integers(-32768, 32768, 64)]
+    for x, data in zip(signals, flac.encode_many(signals)):
+        assert (flac.decode(data)[1][:, 0] == x).all() if len(x) else flac.stream_info(data).total == 0
+
+
 def test_flac_damage_and_seeking(spark):
     x = _signal(np.random.default_rng(2), 1000, 1, 16)
     data = flac.encode(x, block=100, order=4)
