@@ -1,9 +1,10 @@
-"""Command line: compress, decompress, verify, info, and plan for launch artifacts."""
+"""Command line: compress, decompress, verify, finalize, info, plan for launch artifacts, and run for what the environment says."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from . import job
@@ -30,6 +31,8 @@ def main(arguments: list[str] | None = None) -> int:
             mode.add_argument("--order", type=int, default=job.codec.ORDER, choices=(0, 1, 2))
             mode.add_argument("--chunk", type=int, default=None, help="bytes of a chunk")
     modes.add_parser("info").add_argument("source")
+    modes.add_parser("finalize").add_argument("out")
+    modes.add_parser("run")
     plan = modes.add_parser("plan")
     plan.add_argument("target", choices=sorted(launch.TEMPLATES))
     plan.add_argument("values", nargs="*", metavar="NAME=VALUE")
@@ -40,6 +43,11 @@ def main(arguments: list[str] | None = None) -> int:
             return 0
         if a.mode == "info":
             said = job.info(a.source)
+        elif a.mode == "finalize":
+            job.finalize(a.out)
+            said = job.info(a.out)
+        elif a.mode == "run":
+            said = job.from_environment(_session(), os.environ)
         elif a.mode == "decompress":
             said = job.decompress(_session(), a.source, a.out)
         else:

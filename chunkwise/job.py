@@ -2,7 +2,8 @@
 
 Tasks read byte ranges of the input and write parts beside the output; then the driver joins the parts into one object, portion by portion. The
 checksum of the whole is put together from those of the chunks, so no one reads the input twice for it, and decompression compares both
-checksum and length. Parts that a lost task left are written again under the same name.
+checksum and length. Parts that a lost task left are written again under the same name; if the driver is lost while it joins them, finalize() alone does
+that again. A scheduler can say what to do in the environment, see from_environment().
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,17 @@ from .functions.checksum import crc32_joined
 from .functions.sizing import FLOOR, TARGET
 from .operators import chunking, codec
 from .operators.assembly import in_order
+from .operators.metrics import Phases
 from .sources import storage
 
 #: Bytes of input of a task, at least; bytes that are copied at once when parts are joined.
 PART, PORTION = 8 << 20, 32 << 20
 
 
+#: What finalize() has to know, in the folder of the parts.
+PLAN = "_plan"
+
+
 class Failed(RuntimeError):
     """What came out isn't what went in."""
 
@@ -92,28 +98,41 @@ def _whole_crc(rows: list[tuple]) -> int:
 
 def compress(spark: SparkSession, source: str, out: str, order: int = codec.ORDER, model: codec.Model | None = None, pin: int | None = None) -> dict:
     """Compress a file to a container at `out`, with the model at `out`.model. Returns what there is to say of the run."""
-    began = time.time()
+    began, phases = time.time(), Phases()
     chunks = read_chunks(spark, source, pin)
-    model = model or codec.fit(chunks, order)
-    codec.save_model(model, out + ".model")
+    with phases("fit"):
+        model = model or codec.fit(chunks, order)
+        codec.save_model(model, out + ".model")
     encoded = codec.encode(chunks, model, ["part"]).withColumn("entry", framing.entry(F.col("orig_len"), F.col("payload")))
-    rows = _written(encoded.groupBy("part").agg(in_order("entry", "byte_start").alias("body"), F.count("*").alias("n"), F.sum("orig_len").alias("length"), _crcs("crc32", "orig_len").alias("crcs")), out)
+    with phases("encode"):
+        rows = _written(encoded.groupBy("part").agg(in_order("entry", "byte_start").alias("body"), F.count("*").alias("n"), F.sum("orig_len").alias("length"), _crcs("crc32", "orig_len").alias("crcs")), out)
     head = framing.Header(sum(r[3] for r in rows), sum(r[2] for r in rows), _whole_crc(rows), model.model_id)
-    finalize(out, head.pack(), [r[0] for r in rows])
     places, at = [], framing.LAYOUT.size
     for part, size, n, length, _ in rows:
         places.append((at, size, n, length))
         at += size
-    storage.write(out + ".index", json.dumps(places).encode())
+    with phases("finalize"):
+        storage.write(out + ".index", json.dumps(places).encode())
+        _plan_parts(out, head.pack(), rows)
+        finalize(out)
     seconds = time.time() - began
-    return {"mode": "compress", "orig": head.original_len, "comp": at, "n_chunks": head.n_chunks, "crc32": head.crc32, "ratio": at / head.original_len if head.original_len else 0.0, "seconds": seconds, "kb_s": head.original_len / 1024 / seconds}
+    return {"mode": "compress", "orig": head.original_len, "comp": at, "n_chunks": head.n_chunks, "crc32": head.crc32, "ratio": at / head.original_len if head.original_len else 0.0, "seconds": seconds, "kb_s": head.original_len / 1024 / seconds, "phases": phases.seconds}
+
 
+def _plan_parts(out: str, head: bytes, rows: list[tuple]) -> None:
+    storage.write(f"{out}.parts/{PLAN}", json.dumps({"head": head.hex(), "parts": [[r[0], r[1]] for r in rows]}).encode())
 
-def finalize(out: str, head: bytes, parts: list[int]) -> None:
-    """Join the parts of `out` behind a header, and delete them."""
+
+def finalize(out: str) -> None:
+    """Join the parts of `out` behind their header, and delete them. Failed if a part isn't as large as it was when it was written."""
+    plan = json.loads(storage.read_all(f"{out}.parts/{PLAN}"))
+    parts = [part for part, _ in plan["parts"]]
+    for part, size in plan["parts"]:
+        if storage.size(storage.part_name(out, part)) != size:
+            raise Failed(f"part {part} of {out} isn't whole")
 
     def portions() -> Iterator[bytes]:
-        yield head
+        yield bytes.fromhex(plan["head"])
         for part in parts:
             name = storage.part_name(out, part)
             for at in range(0, storage.size(name), PORTION):
@@ -160,7 +179,7 @@ def read_container(spark: SparkSession, url: str) -> DataFrame:
 
 def decompress(spark: SparkSession, source: str, out: str, model: codec.ChunkCodec | None = None) -> dict:
     """Restore the file that a container was made of. Failed, and nothing at `out`, if length or checksum aren't those in its header."""
-    began = time.time()
+    began, phases = time.time(), Phases()
     head = framing.unpack_header(storage.read_range(source, 0, framing.LAYOUT.size))
     model = model or codec.saved_model(source + ".model", head.model_id)
     if model.model_id != head.model_id:
@@ -169,7 +188,8 @@ def decompress(spark: SparkSession, source: str, out: str, model: codec.ChunkCod
     if head.n_chunks:
         crc = F.crc32(F.coalesce("data", F.lit(b""))).alias("crc")
         parts = chunks.select("part", "byte_start", "data", F.octet_length("data").alias("size"), crc).groupBy("part").agg(in_order("data", "byte_start").alias("body"), F.count("data").alias("n"), F.sum("size").alias("length"), _crcs("crc", "coalesce(size, 0)").alias("crcs"))
-        rows = _written(parts, out)
+        with phases("decode"):
+            rows = _written(parts, out)
     else:
         rows = []
     length, crc = sum(r[3] or 0 for r in rows), _whole_crc(rows)
@@ -177,9 +197,11 @@ def decompress(spark: SparkSession, source: str, out: str, model: codec.ChunkCod
         for r in rows:
             storage.delete(storage.part_name(out, r[0]))
         raise Failed(f"{length} bytes with checksum {crc:08x}, and there should be {head.original_len} with {head.crc32:08x}")
-    finalize(out, b"", [r[0] for r in rows])
+    with phases("finalize"):
+        _plan_parts(out, b"", rows)
+        finalize(out)
     seconds = time.time() - began
-    return {"mode": "decompress", "orig": length, "n_chunks": head.n_chunks, "crc32": crc, "seconds": seconds, "kb_s": length / 1024 / seconds}
+    return {"mode": "decompress", "orig": length, "n_chunks": head.n_chunks, "crc32": crc, "seconds": seconds, "kb_s": length / 1024 / seconds, "phases": phases.seconds}
 
 
 def info(url: str) -> dict:
@@ -199,3 +221,22 @@ def verify(spark: SparkSession, source: str, work: str, most_ratio: float = 0.11
         crc = zlib.crc32(storage.read_range(source, at, min(at + PORTION, size)), crc)
     run = spark.createDataFrame([(source, up["comp"], up["orig"], up["seconds"], down["seconds"], size == storage.size(source) and crc == down["crc32"])], "name string, comp long, orig long, encode_s double, decode_s double, exact boolean")
     return metrics.gates(run, most_ratio, least_kb).first().asDict()
+
+
+def from_environment(spark: SparkSession, environment: Mapping[str, str]) -> dict:
+    """Run what CHUNKWISE_MODE says: compress, decompress, verify or finalize; CHUNKWISE_INPUT and CHUNKWISE_OUTPUT are addresses, CHUNKWISE_CHUNK and CHUNKWISE_ORDER
+    optional numbers. ValueError names what is missing."""
+    mode = environment.get("CHUNKWISE_MODE", "")
+    needed = {"finalize": ["OUTPUT"]}.get(mode, ["INPUT", "OUTPUT"])
+    missing = [f"CHUNKWISE_{n}" for n in needed if not environment.get(f"CHUNKWISE_{n}")]
+    if mode not in ("compress", "decompress", "verify", "finalize") or missing:
+        raise ValueError(f"no {', '.join(missing)}" if missing else f"unknown mode {mode!r}")
+    source, out = environment.get("CHUNKWISE_INPUT", ""), environment["CHUNKWISE_OUTPUT"]
+    if mode == "finalize":
+        finalize(out)
+        return {"mode": mode}
+    if mode == "decompress":
+        return decompress(spark, source, out)
+    chunk = environment.get("CHUNKWISE_CHUNK")
+    run = compress if mode == "compress" else verify
+    return run(spark, source, out, order=int(environment.get("CHUNKWISE_ORDER", codec.ORDER)), pin=int(chunk) if chunk else None)

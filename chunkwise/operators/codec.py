@@ -108,6 +108,28 @@ class StepModel:
         return out
 
 
+@dataclass(frozen=True)
+class FunctionCodec:
+    """Functions in place of a model: each(chunk) -> coded bytes and back(coded) -> chunk, or their forms for lists, which are preferred."""
+
+    model_id: int
+    each: Callable[[bytes], bytes] | None = None
+    back: Callable[[bytes], bytes] | None = None
+    each_of: Callable[[list[bytes]], list[bytes]] | None = None
+    back_of: Callable[[list[bytes]], list[bytes]] | None = None
+
+    def compress(self, data: list[bytes]) -> list[bytes]:
+        coded = self.each_of(data) if self.each_of else [self.each(x) for x in data]
+        return [framing.PAIR.pack(len(raw), len(raw)) + x for raw, x in zip(data, coded, strict=True)]
+
+    def restore(self, payloads: list[bytes]) -> list[bytes]:
+        coded = [p[framing.PAIR.size :] for p in payloads]
+        data = list(self.back_of(coded)) if self.back_of else [self.back(x) for x in coded]
+        if [len(x) for x in data] != [framing.PAIR.unpack_from(p)[0] for p in payloads]:
+            raise framing.Damaged("a chunk isn't as long as it was")
+        return data
+
+
 def save_model(model: Model, url: str) -> None:
     """Write a count model, so that what was encoded under it can be read by others."""
     out = io.BytesIO()

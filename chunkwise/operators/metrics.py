@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +36,18 @@ def gates(runs: DataFrame, most_ratio: float = 0.11, least_kb: float = 200.0) ->
     checked = runs.withColumns({"ratio": r, "encode_kb_s": throughput_kb(F.col("orig"), F.col("encode_s")), "decode_kb_s": throughput_kb(F.col("orig"), F.col("decode_s"))})
     checked = checked.withColumns({"ratio_ok": F.col("ratio") <= most_ratio, "encode_ok": F.coalesce(F.col("encode_kb_s") >= least_kb, F.lit(False)), "decode_ok": F.coalesce(F.col("decode_kb_s") >= least_kb, F.lit(False))})
     return checked.withColumn("passed", F.col("ratio_ok") & F.col("encode_ok") & F.col("decode_ok") & F.col("exact"))
+
+
+class Phases:
+    """Seconds that the phases of a run take on the clock: `with phases("encode"): ...`. A phase that comes again adds up."""
+
+    def __init__(self):
+        self.seconds: dict[str, float] = {}
+
+    @contextmanager
+    def __call__(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began

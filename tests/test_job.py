@@ -56,6 +56,28 @@ def test_damage_is_refused(spark, tmp_path):
         job.decompress(spark, f"{tmp_path}/out", f"{tmp_path}/back")
 
 
+def test_parts_are_joined_again_after_a_lost_driver(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").write_text("some words " * 4000)
+    join = job.finalize
+    monkeypatch.setattr(job, "finalize", lambda out: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        job.compress(spark, f"{tmp_path}/in", f"{tmp_path}/out", order=1)
+    monkeypatch.setattr(job, "finalize", join)
+    assert main(["finalize", f"{tmp_path}/out"]) == 0 and not (tmp_path / "out.parts").exists()
+    said = job.decompress(spark, f"{tmp_path}/out", f"{tmp_path}/back")
+    assert (tmp_path / "back").read_text() == "some words " * 4000 and set(said["phases"]) == {"decode", "finalize"}
+
+
+def test_what_the_environment_says(spark, tmp_path):
+    (tmp_path / "in").write_text("words " * 500)
+    said = job.from_environment(spark, {"CHUNKWISE_MODE": "compress", "CHUNKWISE_INPUT": f"{tmp_path}/in", "CHUNKWISE_OUTPUT": f"{tmp_path}/out", "CHUNKWISE_CHUNK": "700", "CHUNKWISE_ORDER": "0"})
+    assert said["orig"] == 3000 and said["n_chunks"] == 5 and set(said["phases"]) == {"fit", "encode", "finalize"}
+    assert job.from_environment(spark, {"CHUNKWISE_MODE": "decompress", "CHUNKWISE_INPUT": f"{tmp_path}/out", "CHUNKWISE_OUTPUT": f"{tmp_path}/back"})["orig"] == 3000
+    for wrong in ({}, {"CHUNKWISE_MODE": "compress", "CHUNKWISE_INPUT": "x"}, {"CHUNKWISE_MODE": "other", "CHUNKWISE_INPUT": "x", "CHUNKWISE_OUTPUT": "y"}):
+        with pytest.raises(ValueError):
+            job.from_environment(spark, wrong)
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in").write_text("words " * 3000)
     assert main(["compress", f"{tmp_path}/in", f"{tmp_path}/out", "--order", "1", "--chunk", "500"]) == 0

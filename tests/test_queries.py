@@ -137,6 +137,15 @@ def test_codec_with_a_model_that_is_a_function(spark):
     assert pairs.restore(pairs.compress([b"even", b""])) == [b"even", b""]
 
 
+def test_codec_of_functions(spark):
+    import zlib
+
+    df = spark.createDataFrame([(1, "abc " * 300), (2, "é")], "k long, text string")
+    for model in (codec.FunctionCodec(5, zlib.compress, zlib.decompress), codec.FunctionCodec(6, each_of=lambda x: [zlib.compress(c) for c in x], back_of=lambda x: [zlib.decompress(c) for c in x])):
+        encoded, _ = codec.compress(df, ["k"], "text", model, pin=100)
+        assert {r[0]: (bytes(r[1]).decode(), r[2]) for r in codec.decompress(encoded, model, ["k"]).collect()} == {1: ("abc " * 300, True), 2: ("é", True)}
+
+
 def test_incremental_stream_gives_the_bits_of_one_go(spark, tmp_path):
     counts, symbols = [8, 1, 3, 2], [int(x) for x in (0, 1, 2, 3, 0, 0, 2, 1) * 20]
     rows = [(k, i, s) for k in (1, 2) for i, s in enumerate(symbols[: 100 + 30 * k])]
