@@ -29,8 +29,10 @@ BYTE_MASS = 1e-4
 PRIOR = 100_000.0
 #: Distinct words that a worker remembers or counts before it starts afresh or hands them on; bounds memory only.
 REMEMBERED = 1 << 19
-#: Cells of a lattice that are computed together; bounds memory only.
-CELLS = 1 << 21
+#: Cells of a lattice that are computed together; bounds memory only, and keeps them near the processor.
+CELLS = 1 << 17
+#: Bits of the table in which pieces are looked up.
+SLOT_BITS = 20
 #: A word of so many characters is run by itself, WINDOW of them at a time.
 LONG, WINDOW = 2048, 1 << 14
 MARK, NONE = "▁", -1e30
@@ -58,8 +60,14 @@ class Vocabulary:
         self.keys, self.ids = keys[order], order.astype(np.int32)
         self.pieces, self.logp, self.byte_logp = pieces, np.asarray(logp, float), np.asarray(byte_logp, float)
         self.longest = max((len(p) for p in pieces), default=1)
-        self.maybe = np.zeros(1 << 21, bool)
-        self.maybe[(self.keys * _SPREAD) >> np.uint64(43)] = True
+        # of most slots there's one key; where there are more, they are searched for
+        slots = ((self.keys * _SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slot = np.full(1 << SLOT_BITS, len(self.keys), np.int32)
+        self.slot[slots] = np.arange(len(self.keys))
+        shared = np.bincount(slots, minlength=1 << SLOT_BITS) > 1
+        self.slot[shared] = -1
+        self.padded = np.append(self.keys, np.uint64(0))
+        self.named = np.append(self.ids, np.int32(-1))
 
     def with_scores(self, logp: np.ndarray, byte_logp: np.ndarray) -> Vocabulary:
         out = object.__new__(Vocabulary)
@@ -68,12 +76,13 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece of each hash, -1 for none."""
-        out = np.full(len(h), -1, np.int32)
-        if len(self.keys):
-            at = np.flatnonzero(self.maybe[(h * _SPREAD) >> np.uint64(43)])
-            k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-            good = self.keys[k] == h[at]
-            out[at[good]] = self.ids[k[good]]
+        at = self.slot[(h * _SPREAD) >> np.uint64(64 - SLOT_BITS)]
+        several = np.flatnonzero(at < 0)
+        if len(several):
+            k = np.minimum(np.searchsorted(self.keys, h[several]), len(self.keys) - 1)
+            at[several] = k
+        out = self.named[at]
+        out[self.padded[at] != h] = -1
         return out
 
 
@@ -97,61 +106,65 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 
 class _Lattice:
-    """Edges of words of similar lengths: ids[n, start, k] is the piece of k + 1 characters, score its log probability."""
+    """Edges of words of one length, which includes the mark: ids[k][start, n] is the piece of k + 1 characters, score its log probability."""
 
     def __init__(self, vocabulary: Vocabulary, words: list[str]):
-        self.vocabulary, self.words = vocabulary, words
-        strings = [MARK + w for w in words]
-        self.lengths = np.array([len(s) for s in strings])
-        n, wide, k = len(words), int(self.lengths.max()), vocabulary.longest
-        codes = np.zeros((n, wide + k), np.uint64)
-        flat = _codes("".join(strings)).astype(np.uint64)
-        inside = np.arange(wide) < self.lengths[:, None]
-        codes[:, :wide][inside] = flat
-        self.ids = np.full((n, wide, k), -1, np.int32)
-        h = np.zeros((n, wide), np.uint64)
-        for j in range(k):
-            h = (h + codes[:, j : j + wide] + np.uint64(1)) * _P
-            fits = np.arange(wide) + j < self.lengths[:, None]
-            if not fits.any():
-                break
-            self.ids[:, :, j][fits] = vocabulary.find(h[fits])
-        self.spelled = inside & (self.ids[:, :, 0] < 0)
-        self.letters = codes[:, :wide].astype(np.uint32)
+        self.vocabulary, self.n, self.length = vocabulary, len(words), len(words[0]) + 1
+        self.letters = np.ascontiguousarray(_codes("".join(MARK + w for w in words)).reshape(self.n, self.length).T)
+        codes, h = self.letters.astype(np.uint64) + np.uint64(1), np.zeros((self.length, self.n), np.uint64)
+        self.ids = []
+        for k in range(min(vocabulary.longest, self.length)):
+            h = (h[: self.length - k] + codes[k:]) * _P
+            self.ids.append(vocabulary.find(h.ravel()).reshape(h.shape))
+        self.spelled = np.nonzero(self.ids[0] < 0)
         self.scores(vocabulary)
 
     def scores(self, vocabulary: Vocabulary) -> None:
-        self.score = np.where(self.ids >= 0, vocabulary.logp[self.ids], NONE) if len(vocabulary.logp) else np.full(self.ids.shape, NONE)
-        if self.spelled.any():
+        logp = np.append(vocabulary.logp, NONE)  # at -1
+        self.score = [logp[i] for i in self.ids]
+        if len(self.spelled[0]):
             own, which = np.unique(self.letters[self.spelled], return_inverse=True)
             worth = np.array([vocabulary.byte_logp[list(chr(c).encode("utf-8", "surrogatepass"))].sum() for c in own])
-            self.score[:, :, 0][self.spelled] = worth[which]
+            self.score[0][self.spelled] = worth[which]
 
     def forward(self) -> np.ndarray:
-        """alpha[n, t]: log probability of the first t characters."""
-        n, wide, k = self.score.shape
-        alpha = np.full((n, wide + 1), NONE)
-        alpha[:, 0] = 0
-        for t in range(1, wide + 1):
-            back = np.arange(1, min(k, t) + 1)
-            x = alpha[:, t - back] + self.score[:, t - back, back - 1]
-            top = x.max(axis=1)
-            alpha[:, t] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+        """alpha[t, n]: log probability of the first t characters."""
+        alpha = np.zeros((self.length + 1, self.n))
+        x = np.empty((len(self.score), self.n))
+        for t in range(1, self.length + 1):
+            some = min(len(self.score), t)
+            for k in range(some):
+                np.add(alpha[t - 1 - k], self.score[k][t - 1 - k], out=x[k])
+            alpha[t] = _log_sum(x[:some])
         return alpha
 
     def backward(self) -> np.ndarray:
-        """beta[n, t]: log probability of the characters from t on."""
-        n, wide, k = self.score.shape
-        beta = np.full((n, wide + k + 1), NONE)
-        beta[np.arange(n), self.lengths] = 0
-        for t in range(wide - 1, -1, -1):
-            x = beta[:, t + 1 : t + 1 + k] + self.score[:, t, :]
-            top = x.max(axis=1)
-            beta[:, t] = np.where(t == self.lengths, 0.0, np.where(t > self.lengths, NONE, top + np.log(np.exp(x - top[:, None]).sum(axis=1))))
+        """beta[t, n]: log probability of the characters from t on."""
+        beta = np.zeros((self.length + 1, self.n))
+        x = np.empty((len(self.score), self.n))
+        for t in range(self.length - 1, -1, -1):
+            some = min(len(self.score), self.length - t)
+            for k in range(some):
+                np.add(beta[t + 1 + k], self.score[k][t], out=x[k])
+            beta[t] = _log_sum(x[:some])
         return beta
 
-    def marginal(self) -> np.ndarray:
-        return self.forward()[np.arange(len(self.words)), self.lengths]
+    def counts(self, n: np.ndarray, out: np.ndarray) -> None:
+        """Add the expected uses of pieces, and of bytes behind them, if the words occur n times."""
+        alpha, beta = self.forward(), self.backward()
+        for k, (ids, score) in enumerate(zip(self.ids, self.score)):
+            start, which = np.nonzero(score > NONE / 2)
+            share = np.exp(alpha[start, which] + score[start, which] + beta[start + k + 1, which] - alpha[-1, which]) * n[which]
+            _tally(out, ids[start, which], share, self.letters[start, which], len(self.vocabulary.pieces))
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    if len(x) == 1:
+        return x[0]
+    top = x.max(axis=0)
+    y = x - top
+    np.exp(y, out=y)
+    return top + np.log(y.sum(axis=0))
 
 
 class _Long:
@@ -218,58 +231,41 @@ def _tally(out: np.ndarray, ids: np.ndarray, share: np.ndarray, letters: np.ndar
             out[pieces + b] += v
 
 
-def _by_length(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of words that are run together, and of those that are run by themselves."""
+def _portions(words: list[str]) -> Iterator[list[int]]:
+    """Indices of words of one length, a bounded number of cells at a time; long words come alone."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.flatnonzero(lengths < LONG), np.flatnonzero(lengths >= LONG)
-
-
-def _portions(words: list[str], some: np.ndarray, longest: int) -> Iterator[np.ndarray]:
-    """Indices of words of similar lengths, a bounded number of cells at a time."""
-    lengths = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
-    order = some[np.argsort(lengths[some], kind="stable")]
-    at = 0
-    while at < len(order):
-        size = max(1, CELLS // (longest * int(lengths[order[min(at + 256, len(order) - 1)]])))
-        end = min(at + size, len(order))
-        while end - at > 1 and (end - at) * lengths[order[end - 1]] * longest > 2 * CELLS:
-            end = at + (end - at + 1) // 2
-        yield order[at:end]
-        at = end
+    order = np.argsort(lengths, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if words else ():
+        n = int(lengths[some[0]]) + 1
+        size = max(1, CELLS // (n * min(n, 16))) if n <= LONG else 1
+        for at in range(0, len(some), size):
+            yield some[at : at + size].tolist()
 
 
 def word_scores(words: list[str], *vocabularies: Vocabulary) -> np.ndarray:
     """A row of log marginals for each of the vocabularies, which differ in their scores alone."""
     out = np.zeros((len(vocabularies), len(words)))
-    short, long = _by_length(words)
-    for i in long:
-        lattice = _Long(vocabularies[0], words[i])
-        out[:, i] = [lattice.forward(v)[-1] for v in vocabularies]
-    for some in _portions(words, short, vocabularies[0].longest):
+    for some in _portions(words):
+        if len(words[some[0]]) >= LONG:
+            lattice = _Long(vocabularies[0], words[some[0]])
+            out[:, some[0]] = [lattice.forward(v)[-1] for v in vocabularies]
+            continue
         lattice = _Lattice(vocabularies[0], [words[i] for i in some])
         for k, vocabulary in enumerate(vocabularies):
             if k:
                 lattice.scores(vocabulary)
-            out[k, some] = lattice.marginal()
+            out[k, some] = lattice.forward()[-1]
     return out
 
 
 def expected_counts(words: list[str], counts: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Expected uses of each piece, then of each byte, over all segmentations of the words."""
     out = np.zeros(len(vocabulary.pieces) + 256)
-    short, long = _by_length(words)
-    for i in long:
-        _Long(vocabulary, words[i]).counts(float(counts[i]), out)
-    for some in _portions(words, short, vocabulary.longest):
-        x = _Lattice(vocabulary, [words[i] for i in some])
-        alpha, beta = x.forward(), x.backward()
-        n, wide, k = x.score.shape
-        whole, c = alpha[np.arange(n), x.lengths], counts[some]
-        for j in range(min(k, wide)):
-            used = x.score[:, :, j] > NONE / 2
-            rows, starts = np.nonzero(used)
-            share = np.exp(alpha[rows, starts] + x.score[rows, starts, j] + beta[rows, starts + j + 1] - whole[rows]) * c[rows]
-            _tally(out, x.ids[rows, starts, j], share, x.letters[rows, starts], len(vocabulary.pieces))
+    for some in _portions(words):
+        if len(words[some[0]]) >= LONG:
+            _Long(vocabulary, words[some[0]]).counts(float(counts[some[0]]), out)
+        else:
+            _Lattice(vocabulary, [words[i] for i in some]).counts(counts[some], out)
     return out
 
 
