@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import job
 from ..functions import framing, sizing, tokens
 from ..functions.cdf import TOTAL, integer_cdf
-from ..operators import assembly, chunking, codec, metrics, sequence
+from ..operators import assembly, chunking, codec, metrics, offsets, sequence
 from ..sources import blob, storage
 from ..sources.shared import new_folder, spread
 from ..streaming import encoder
@@ -65,8 +65,8 @@ def chunk_summary_by_lang(spark, d):
 
 def bitstream_offsets(spark, d):
     room = F.octet_length("text").cast("long") + sizing.SLACK
-    by = Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "documents", "doc_id", "lang", "text").select("lang", "doc_id", room.alias("room")).select("lang", "doc_id", "room", (F.sum("room").over(by) - F.col("room")).alias("bit_offset"))
+    rows = table(spark, d, "documents", "doc_id", "lang", "text").select("lang", "doc_id", room.alias("room"))
+    return offsets.running_total(rows, ["lang"], "doc_id", "room", "bit_offset").select("lang", "doc_id", "room", "bit_offset")
 
 
 def token_frequency(spark, d):

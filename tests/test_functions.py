@@ -178,3 +178,12 @@ def test_symbol_counts_on_odd_rows(spark):
     assert {tuple(r) for r in tokens.symbol_counts(df, ["g"], "t").collect()} == {("a", 120, 2), ("a", 121, 1), ("a", 0x1F600, 1), (None, 120, 1)}
     assert {tuple(r) for r in tokens.symbol_counts(df, ["g"], "t", pairs=True).collect()} == {("a", 0, 120, 1), ("a", 120, 121, 1), ("a", 121, 0x1F600, 1), ("a", 0x1F600, 120, 1), (None, 0, 120, 1)}
     assert tokens.symbol_counts(df.limit(0), ["g"], "t").count() == 0
+
+
+def test_running_totals_over_stretches(spark):
+    from chunkwise.operators import offsets
+
+    rng = np.random.default_rng(3)
+    rows = [(None if k % 9 == 0 else f"g{k % 3}", int(o), int(v)) for k, (o, v) in enumerate(zip(rng.permutation(400) - 50, rng.integers(0, 99, 400)))]
+    got = {(r["g"], r["o"]): r["t"] for r in offsets.running_total(spark.createDataFrame(rows, "g string, o long, v long"), ["g"], "o", "v", "t", 32).collect()}
+    assert got == {(g, o): sum(v for h, p, v in rows if h == g and p < o) for g, o, _ in rows}
