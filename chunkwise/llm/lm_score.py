@@ -31,6 +31,8 @@ PRIOR = 100_000.0
 REMEMBERED = 1 << 19
 #: Cells of a lattice that are computed together; bounds memory only, and keeps them near the processor.
 CELLS = 1 << 17
+#: Words whose lattices are run together, so that there are many of each length.
+AT_ONCE = 1 << 16
 #: Bits of the table in which pieces are looked up.
 SLOT_BITS = 20
 #: A word of so many characters is run by itself, WINDOW of them at a time.
@@ -287,11 +289,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _expecter(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, words, counts = np.zeros(len(sent.value.pieces) + 256), [], []
+
+        def add() -> None:
+            total[:] += expected_counts(words, np.array(counts, float), sent.value)
+            words.clear(), counts.clear()
+
         for batch in batches:
-            part = expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float), sent.value)
-            total = part if total is None else total + part
-        if total is not None:
+            words += batch.column(0).to_pylist()
+            counts += batch.column(1).to_pylist()
+            if len(words) >= AT_ONCE or sum(map(len, words[-batch.num_rows :])) > LONG * AT_ONCE:
+                add()
+        add()
+        if total.any():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["piece", "uses"])
 
@@ -322,7 +332,14 @@ class _Ids(dict):
 
 
 #: What this worker knows of words under the scores in use, kept from task to task.
-_known: dict[str, tuple[_Ids, np.ndarray]] = {}
+_known: dict[str, tuple[_Ids, np.ndarray, np.ndarray]] = {}
+
+
+def _frequent(ids: _Ids, known: np.ndarray, uses: np.ndarray) -> tuple[_Ids, np.ndarray, np.ndarray]:
+    """The more frequent words, half of what may be remembered at most; their uses count half from now on."""
+    kept = np.sort(np.argsort(-uses, kind="stable")[: REMEMBERED // 2])
+    words = list(ids)
+    return _Ids((words[i], k) for k, i in enumerate(kept.tolist())), known[:, kept], uses[kept] // 2
 
 
 def _scorer(sent):
@@ -330,11 +347,11 @@ def _scorer(sent):
         key, *vocabularies = sent.value
         if key not in _known:
             _known.clear()
-        ids, known = _known.get(key, (_Ids(), np.zeros((2, 0))))
+        ids, known, uses = _known.get(key, (_Ids(), np.zeros((2, 0)), np.zeros(0, np.int64)))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if len(ids) > REMEMBERED:
-                ids, known = _Ids(), np.zeros((2, 0))
+                ids, known, uses = _frequent(ids, known, uses)
             sums, n = np.zeros((2, len(texts))), np.zeros(len(texts), np.int64)
             coded = []
             for k, text in enumerate(texts):
@@ -344,7 +361,9 @@ def _scorer(sent):
             if len(ids) > known.shape[1]:
                 fresh = list(ids)[known.shape[1] :]
                 known = np.concatenate((known, word_scores(fresh, *vocabularies)), axis=1)
-            _known[key] = ids, known
+                uses = np.concatenate((uses, np.zeros(len(fresh), np.int64)))
+            uses += np.bincount(np.concatenate(coded), minlength=len(uses)) if coded else 0
+            _known[key] = ids, known, uses
             for k, c in enumerate(coded):
                 sums[:, k] = known[:, c].sum(axis=1)
             null = np.array([t is None for t in texts], bool)

@@ -71,6 +71,21 @@ def test_long_words_are_scored_like_others(monkeypatch):
     assert np.allclose(lm_score.word_scores(words, v), want) and np.allclose(lm_score.expected_counts(words, counts, v), uses)
 
 
+def test_forgetting_rare_words_changes_no_score(monkeypatch):
+    import pyarrow as pa
+
+    class Sent:
+        value = ("some key", _small(), _small())
+
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("ab"), rng.integers(1, 9))) for _ in range(12)) for _ in range(60)] + [None, ""]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(len(t)), pa.int64()), pa.array(t, pa.string())], names=["doc_id", "text"]) for t in (texts[i : i + 5] for i in range(0, len(texts), 5))]
+    want = [b.to_pylist() for b in lm_score._scorer(Sent)(iter(batches))]
+    lm_score._known.clear()
+    monkeypatch.setattr(lm_score, "REMEMBERED", 20)
+    assert [b.to_pylist() for b in lm_score._scorer(Sent)(iter(batches))] == want
+
+
 def test_a_text_without_blanks_takes_bounded_memory():
     import tracemalloc
 
