@@ -10,6 +10,11 @@ have one of their first FIRST tokens in common, in an order that all share: by h
 frequent last. Each block has its R-tree; pairs that pass its bound link documents to clusters, and within a
 cluster all pairs are searched by another R-tree and verified on the token sets.
 
+Two near sets need not have any of those first tokens in common, so a second step goes over all tokens. Tokens that no other set has can't be
+shared, and a set of n tokens of which fewer than threshold * n are found elsewhere has no partner. The others are ordered, rarest first; sets that
+reach the threshold have one of the first k - threshold * n + 1 of their k tokens found elsewhere in common, wherever the rest lies. Sets that
+such a token brings together, and that aren't in one cluster yet, meet in blocks as before. Nothing is left to chance but equal hashes.
+
 Equal token sets go in once. Blocks and clusters of any size are split into tiles by hash, and each pair of tiles is a task's
 work of bounded size. Neither step writes out pairs: a task returns a forest of its links and the number of links of each set.
 """
@@ -33,6 +38,8 @@ GROUPS, FANOUT, FIRST = 64, 16, 10
 COUNTED, OFTEN, FREQUENT = 32, 96, 200_000
 #: Sets in a tile of a block, tokens in a tile of a cluster; larger ones are split, and every pair of tiles compared.
 TILE_SETS, TILE_TOKENS = 2048, 1 << 20
+#: Tokens that a task sends on at a time, parted by range; bounds memory, and how finely they are parted.
+SENT_TOKENS = 1 << 21
 #: Tokens of partners that are looked up together; bounds the memory of a verification, not what it covers.
 AT_ONCE = 1 << 18
 
@@ -70,8 +77,28 @@ def _first(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return rare[:FIRST] if 2 * len(rare) > len(some) else np.union1d(rare[:FIRST], s[:FIRST])
 
 
-def _met(ngram: int, sent):
-    """doc_id and word hashes -> a row for each, with hashes and size of its token set, 0 where it has none."""
+def _range(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of equal ranges of the space of hashes each is in: the upper half of h * ranges."""
+    low = (h & np.uint64(0xFFFFFFFF)) * np.uint64(ranges) >> np.uint64(32)
+    return ((h >> np.uint64(32)) * np.uint64(ranges) + low >> np.uint64(32)).astype(np.int64)
+
+
+def _within(h: np.ndarray, ranges: int) -> np.ndarray:
+    """Where in its range each is, in 32 bits."""
+    return (h * np.uint64(ranges) >> np.uint64(32)).astype(np.uint32)
+
+
+def _alike(sets: np.ndarray, at: np.ndarray, ranges: int) -> np.ndarray:
+    """For each sorted set, how many of its tokens are like the one before in range and place."""
+    where = _range(sets, ranges) << 32 | _within(sets, ranges).astype(np.int64)
+    same = np.concatenate(([0], np.cumsum(where[1:] == where[:-1]), [0]))[: len(sets)] if len(sets) else np.zeros(0, np.int64)
+    rows, out = np.flatnonzero(np.diff(at)), np.zeros(len(at) - 1, np.int32)
+    out[rows] = same[at[rows + 1] - 1] - same[at[rows]]
+    return out
+
+
+def _met(ngram: int, sent, ranges: int):
+    """doc_id and word hashes -> a row for each, with hashes and size of its token set, 0 where it has none, and how many of its tokens are alike to _spread()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.frombuffer(sent.value, np.uint64)
@@ -82,8 +109,8 @@ def _met(ngram: int, sent):
             firsts = [_first(own_set, hot).view(np.int64) for own_set in own]
             points = [_point(own_set) if len(own_set) else b"" for own_set in own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(h1), pa.array(h2), pa.array(np.diff(at).astype(np.int32)), pa.array(firsts, pa.list_(pa.int64())), pa.array(points, pa.binary())],
-                names=["doc_id", "h1", "h2", "n", "firsts", "point"],
+                [batch.column(0), pa.array(h1), pa.array(h2), pa.array(np.diff(at).astype(np.int32)), pa.array(firsts, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(_alike(sets, at, ranges))],
+                names=["doc_id", "h1", "h2", "n", "firsts", "point", "alike"],
             )
 
     return run
@@ -135,12 +162,12 @@ class Forest:
 def _block(sizes: np.ndarray, points: list[bytes], tile: np.ndarray, crossing: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the pairs within a block, or between two tiles of one if `crossing`, that pass the bound.
 
-    A set meets those of its own number of coordinates, and of twice as many, folded to its own; others differ too much in size.
+    A set meets those of its own number of coordinates, and of up to 1 / threshold times as many, folded to its own; others differ too much in size.
     """
     dims, forest = _dims(sizes), Forest(len(sizes))
     for d in np.unique(dims):
-        own, double = np.flatnonzero(dims == d), np.flatnonzero(dims == 2 * d)
-        both = np.concatenate((own, double))
+        own, larger = np.flatnonzero(dims == d), np.flatnonzero((dims > d) & (dims * threshold < 2 * d))
+        both = np.concatenate((own, larger))
         if len(both) < 2:
             continue
         at = np.stack([_unfold(points[i], int(dims[i])).reshape(-1, d).sum(axis=0) for i in both])
@@ -173,6 +200,159 @@ def _block_links(threshold: float):
     return grouped(["token", "i", "j"], work)
 
 
+CELL = "part int, origin int, ids binary, more binary, counts binary, tokens binary, marks binary"
+
+
+def _cells(part: np.ndarray, origin: int | None, ids: np.ndarray, more: np.ndarray | None, tokens: np.ndarray, marks: np.ndarray | None) -> pa.RecordBatch:
+    """A row for each part: its tokens and marks, and the ids that they are of, with a count for each run of one."""
+    order = np.argsort(part, kind="stable")
+    part, ids, tokens = part[order], ids[order], tokens[order]
+    starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])))[: len(part)])
+    counts, own, also = np.diff(np.append(starts, len(part))).astype(np.int32), ids[starts], None if more is None else more[order][starts]
+    parts, first = np.unique(part, return_index=True)
+    ends, runs = np.append(first, len(part)), np.searchsorted(starts, np.append(first, len(part)))
+    marks = None if marks is None else marks[order]
+
+    def blobs(x: np.ndarray | None, at: np.ndarray) -> pa.Array:
+        return pa.array([b"" if x is None else x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+
+    origins = np.full(len(parts), -1 if origin is None else origin, np.int32)
+    columns = [pa.array(parts.astype(np.int32)), pa.array(origins), blobs(own, runs), blobs(also, runs), blobs(counts, runs), blobs(tokens, ends), blobs(marks, ends)]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "origin", "ids", "more", "counts", "tokens", "marks"])
+
+
+def _joined(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _spread(ngram: int, ranges: int):
+    """Word hashes -> cells of all tokens by their range, with their sets' first hashes as ids; 32 bits stand for a token in its range."""
+
+    def send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        tokens, ids = (np.concatenate(x) for x in zip(*held))
+        return _cells(_range(tokens, ranges), None, ids, None, _within(tokens, ranges), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            sets, at = shingle_hashes(*flat(batch.column(0)), ngram)
+            held.append((sets, np.repeat(_set_hashes(sets, at)[0], np.diff(at))))
+            many += len(sets)
+            if many >= SENT_TOKENS:
+                yield send(held)
+                held, many = [], 0
+        if many:
+            yield send(held)
+
+    return run
+
+
+def _shared(ranges: int):
+    """The cells of a range of tokens -> cells of the tokens that two sets or more have, by range of their sets' hashes; marks are the numbers of sets, up to 255.
+
+    Two tokens that are alike in 32 bits count as one, so sets may meet that have no token in common; what a set has too few for that, _prefixes() adds.
+    """
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        tokens = _joined(rows.column("tokens"), np.uint32)
+        ids = np.repeat(_joined(rows.column("ids"), np.int64), _joined(rows.column("counts"), np.int32))
+        order = np.argsort(tokens)
+        same = tokens[order[1:]] == tokens[order[:-1]]
+        order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+        tokens, ids = tokens[order], ids[order]
+        order = np.lexsort((ids, tokens))
+        tokens, ids = tokens[order], ids[order]
+        if len(tokens):  # a set of several documents comes more than once
+            once = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])))
+            tokens, ids = tokens[once], ids[once]
+        _, which, many = np.unique(tokens, return_inverse=True, return_counts=True)
+        many = many[which]
+        tokens, ids, many = (x[many > 1] for x in (tokens, ids, many))
+        if not len(tokens):
+            return None
+        order = np.argsort(ids, kind="stable")
+        marks = np.minimum(many, 255).astype(np.uint8)[order]
+        return _cells(_range(ids[order].view(np.uint64), ranges), rows.column("part")[0].as_py(), ids[order], None, tokens[order], marks)
+
+    return grouped(["part"], work)
+
+
+def _known(ranges: int):
+    """h1, sid, n, alike and comp of sets -> cells of them by range of h1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            fields = np.stack([c.to_numpy().astype(np.int64) for c in pa.Table.from_batches(held).columns], axis=1)
+            yield _cells(_range(np.ascontiguousarray(fields[:, 0]).view(np.uint64), ranges), None, fields[:, 0], None, fields, None)
+
+    return run
+
+
+def _prefixes(threshold: float):
+    """The cells of a range of sets -> cells of the tokens of which two near sets share one, by range of tokens; ids are sids, more their clusters.
+
+    Marked are those of which one is shared with a set that is as large or larger. Where `alike` tokens of a set count as others, it may share that many less.
+    """
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        origin = rows.column("origin").to_numpy()
+        known, found = rows.filter(pa.array(origin < 0)), rows.filter(pa.array(origin >= 0))
+        if not len(found):
+            return None
+        h1, sid, n, alike, comp = _joined(known.column("tokens"), np.int64).reshape(-1, 5).T
+        tokens, many = _joined(found.column("tokens"), np.uint32), _joined(found.column("marks"), np.uint8)
+        counts = [np.frombuffer(c, np.int32) for c in found.column("counts").to_pylist()]
+        ranges = np.repeat(origin[origin >= 0], [c.sum() for c in counts])
+        ids = np.repeat(_joined(found.column("ids"), np.int64), np.concatenate(counts))
+        order = np.lexsort((tokens, ranges, many, ids))
+        ids, tokens, ranges = ids[order], tokens[order], ranges[order]
+        own, first, k = np.unique(ids, return_index=True, return_counts=True)
+        order = np.argsort(h1, kind="stable")
+        at = order[np.searchsorted(h1[order], own)]
+        place = np.arange(len(ids)) - np.repeat(first, k)
+        least, mutual = (np.ceil(share * n[at] - 1e-6).astype(np.int64) - alike[at] for share in (threshold, 2 * threshold / (1 + threshold)))
+        taken = place < np.repeat(k - least + 1, k)
+        if not taken.any():
+            return None
+        marks = (place < np.repeat(k - mutual + 1, k))[taken].astype(np.uint8)
+        return _cells(ranges[taken], None, np.repeat(sid[at], k)[taken], np.repeat(comp[at], k)[taken], tokens[taken], marks)
+
+    return grouped(["part"], work)
+
+
+def _crossing(rows: pa.Table) -> pa.RecordBatch | None:
+    """The cells of a range of tokens -> (token, sid) of the tokens that are in sets of several clusters, one of them marked."""
+    tokens, marks = _joined(rows.column("tokens"), np.uint32), _joined(rows.column("marks"), np.uint8)
+    counts = _joined(rows.column("counts"), np.int32)
+    sids, comps = (np.repeat(_joined(rows.column(c), np.int64), counts) for c in ("ids", "more"))
+    order = np.argsort(tokens, kind="stable")
+    tokens, marks, sids, comps = tokens[order], marks[order], sids[order], comps[order]
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    cross = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & (np.maximum.reduceat(marks, starts) > 0)
+    cross = np.repeat(cross, np.diff(np.append(starts, len(tokens))))
+    token = rows.column("part")[0].as_py() << 32 | tokens[cross].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sids[cross])], names=["token", "sid"])
+
+
+def _others(hashed: DataFrame, sets: DataFrame, clusters: DataFrame, ngram: int, threshold: float, ranges: int) -> DataFrame:
+    """(token, sid) by which sets meet that aren't in one cluster: among them a token of every pair at the threshold, without exception."""
+    tokens = hashed.select("w").mapInArrow(_spread(ngram, ranges), CELL).repartitionById(ranges, "part")
+    known = sets.join(clusters, F.col("node") == F.col("sid"), "left").select("h1", "sid", "n", "alike", F.coalesce("comp", "sid").alias("comp"))
+    shared = tokens.mapInArrow(_shared(ranges), CELL).unionByName(known.mapInArrow(_known(ranges), CELL)).repartitionById(ranges, "part")
+    prefixes = shared.mapInArrow(_prefixes(threshold), CELL).repartitionById(ranges, "part")
+    return cut(prefixes.mapInArrow(grouped(["part"], _crossing), "token long, sid long").distinct())
+
+
+def _links(meeting: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(token, sid) by which sets meet -> links (u, v) that join what may be near."""
+    counts = meeting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    blocks = meeting.join(counts, "token").join(sets.select("sid", "n", "point"), "sid")
+    blocks = _tiled(blocks, F.ceil(F.col("m") / TILE_SETS)).select("token", "i", "j", "tile", "sid", "n", "point")
+    blocks = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "sid")
+    return blocks.mapInArrow(_block_links(threshold), "u long, v long")
+
+
 def _tiled(df: DataFrame, tiles: Column) -> DataFrame:
     """Each row with its tile, once for each pair of tiles (i, j) that it takes part in."""
     tile = df.withColumn("tiles", tiles.cast("int")).withColumn("tile", F.pmod(F.xxhash64("sid"), "tiles").cast("int"))
@@ -287,8 +467,7 @@ def _verified(threshold: float):
 def _frequent(hashed: DataFrame, ngram: int) -> bytes:
     """Sorted tokens that are among the first of OFTEN documents or more, over all documents; the FREQUENT most frequent ones.
 
-    They set by which tokens documents meet, and so how large blocks get. How likely a near pair is to share none of
-    its tokens hangs on them a little; how often that happens is measured in the tests.
+    They set by which tokens documents meet first, and so how large blocks get and how many pairs are left to the second step.
     """
     counts = hashed.select("w").mapInArrow(_lowest(ngram), "token long").groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(FREQUENT)
     return np.sort(counts.select("token").toArrow()["token"].to_numpy().view(np.uint64)).tobytes()
@@ -302,8 +481,8 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
 
     Documents are linked where the Jaccard coefficient of their sets of word n-grams reaches the threshold. A class is what links join, directly
     or through others; class_id is its least doc_id. n_links is the number of documents linked to this one directly, exact
-    copies among them. Every document is a query, all its tokens count, nothing is capped. A pair at the threshold is overlooked with a
-    chance of about 1 in 10,000 if no others link its documents, a nearer one less often.
+    copies among them. Every document is a query, all its tokens count, nothing is capped, and every pair at the threshold is found; words, n-grams and
+    sets are told apart by hashes of 64 bits or more.
 
     Texts are compared by their lower-cased runs of letters and digits; a text of fewer than `ngram` words is one n-gram. Null and empty
     texts and texts without a word are classes of their own, without links. Null ids have no row. Rows that repeat an id are one document
@@ -311,23 +490,22 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     """
     spark = docs.sparkSession
     small_batches(spark)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     hashed = docs.select("doc_id", word_hashes(F.coalesce("text", F.lit(""))).alias("w"))
     sent = spark.sparkContext.broadcast(_frequent(hashed, ngram))
-    met = cut(hashed.mapInArrow(_met(ngram, sent), "doc_id long, h1 long, h2 long, n int, firsts array<long>, point binary"))
+    met = cut(hashed.mapInArrow(_met(ngram, sent, ranges), "doc_id long, h1 long, h2 long, n int, firsts array<long>, point binary, alike int"))
     owners = met.groupBy("doc_id", *SET).agg(F.count("*").alias("times"))
-    sets = met.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("firsts").alias("firsts"), F.first("point").alias("point"))
+    sets = met.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("firsts").alias("firsts"), F.first("point").alias("point"), F.first("alike").alias("alike"))
     sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()))
     repeated = owners.where("times > 1").groupBy(*SET).agg(F.sum(F.col("times") - 1).alias("again"))
     if repeated.limit(1).count():
         sets = sets.join(repeated, SET, "left").withColumn("copies", F.col("copies") - F.coalesce("again", F.lit(0))).drop("again")
 
-    meeting = sets.select("sid", F.explode("firsts").alias("token"))
-    counts = meeting.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = meeting.join(counts, "token").join(sets.select("sid", "n", "point"), "sid")
-    blocks = _tiled(blocks, F.ceil(F.col("m") / TILE_SETS)).select("token", "i", "j", "tile", "sid", "n", "point")
-    blocks = blocks.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "sid")
-    clusters = components(blocks.mapInArrow(_block_links(threshold), "u long, v long"))
+    clusters = components(_links(sets.select("sid", F.explode("firsts").alias("token")), sets, threshold))
+    further = cut(_links(_others(hashed, sets, clusters, ngram, threshold, ranges), sets, threshold))
+    if further.limit(1).count():
+        clusters = components(further.unionByName(clusters.select(F.col("node").alias("u"), F.col("comp").alias("v"))))
 
     members = clusters.join(sets.select("sid", "rep", "copies", *SET), F.col("node") == F.col("sid"))
     extent = members.groupBy("comp").agg(F.sum("n").alias("tokens"))

@@ -8,6 +8,7 @@ import pytest
 
 
 from chunkwise.llm import decontam, licenses, line_dedup, ngram_join, pii, suffix_dedup
+from chunkwise.llm.common import shingle_hashes
 from chunkwise.llm.components import components
 
 from .. import oracle
@@ -152,6 +153,77 @@ def test_join_of_copies_of_all_degrees_against_brute_force(spark):
     assert cases.tuples(got, "doc_id", "class_id", "n_links") == sorted(((x[0], least[x], len(own)) for x, own in links.items()), key=str)
 
 
+def _apart(spark, n, shared, seed=0):
+    """Two texts of n n-grams each, `shared` of them in common: those have high hashes, all others low ones, so that the first n-grams of both differ."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(seed)
+    hashes = spark.range(4000).select(F.concat(F.lit("x"), "id").alias("w")).select("w", F.xxhash64("w").alias("h")).collect()
+
+    def longer(words, high, many):
+        while many:
+            word = hashes[rng.integers(len(hashes))]
+            last = [*words[-2:], word]
+            token, _ = shingle_hashes(np.array([w["h"] for w in last]), np.array([0, len(last)]), 3)
+            if len(last) < 3 or (token[0] >> np.uint64(63) == 1) == high:
+                many -= len(last) == 3
+                words = [*words, word]
+        return words
+
+    common = longer([], True, shared)
+    return [" ".join(w["w"] for w in longer(common, False, n - shared)) for _ in range(2)]
+
+
+def test_join_finds_pairs_that_have_none_of_their_first_tokens_in_common(spark):
+    rows, want = [], []
+    for k, (n, shared) in enumerate([(30, 20), (120, 80), (300, 200), (90, 59)]):  # the last is just below the threshold
+        a, b = _apart(spark, n, shared, k)
+        rows += [(10 * k, a), (10 * k + 1, b), (10 * k + 2, b)]
+        near = 2 * shared >= 2 * n - shared
+        want += [(10 * k, 10 * k, 2 * near), (10 * k + 1, 10 * k + (not near), 1 + near), (10 * k + 2, 10 * k + (not near), 1 + near)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert cases.tuples(got, "doc_id", "class_id", "n_links") == sorted(want, key=str)
+
+
+def test_join_at_low_thresholds_meets_sets_of_unlike_size(spark):
+    words = [f"w{i}" for i in range(302)]
+    rows = [(1, " ".join(words[:92])), (2, " ".join(words))]  # 90 of 300 n-grams
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert cases.tuples(ngram_join.jaccard_classes(df, threshold=0.3), "doc_id", "class_id", "n_links") == [(1, 1, 1), (2, 1, 1)]
+    assert ngram_join.jaccard_classes(df, threshold=0.31).where("n_links > 0").count() == 0
+
+
+def test_join_loses_no_pair_where_tokens_are_alike(monkeypatch):
+    """The second step by itself, with places of so few bits that sets have tokens that count as one."""
+    import pyarrow as pa
+
+    ranges, within, rng = 3, ngram_join._within, np.random.default_rng(3)
+    monkeypatch.setattr(ngram_join, "_within", lambda h, ranges: within(h, ranges) >> np.uint32(16))
+    pool = np.unique(rng.integers(0, 1 << 62, 3000))
+    tokens = shingle_hashes(pool, np.arange(len(pool) + 1), 1)[0]
+    place = ngram_join._range(tokens, ranges) << 32 | ngram_join._within(tokens, ranges).astype(np.int64)
+    values, which, many = np.unique(place, return_inverse=True, return_counts=True)
+    pair, rest = pool[place == values[many == 2][0]], pool[many[which] == 1]
+    own, others, further = np.append(pair, rest[:13]), rest[13:28], rest[28:43]
+    # the second holds all of the first, at the threshold; what else it has is rarer
+    words = [own, np.append(own, others), np.append(own, further), np.append(others, rest[43:58])]
+    batch = pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int64()))], names=["w"])
+    sets, at = shingle_hashes(np.concatenate(words), np.concatenate(([0], np.cumsum([*map(len, words)]))), 1)
+    h1, alike, sids = ngram_join._set_hashes(sets, at)[0], ngram_join._alike(sets, at, ranges), np.arange(4)
+    assert alike.tolist() == [1, 1, 1, 0]
+    known = pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, sids, np.diff(at), alike, sids)], names=["h1", "sid", "n", "alike", "comp"])
+
+    def by_part(batches):
+        return pa.Table.from_batches(list(batches)).sort_by("part").to_batches()
+
+    shared = [*ngram_join._shared(ranges)(by_part(ngram_join._spread(1, ranges)(iter([batch])))), *ngram_join._known(ranges)(iter([known]))]
+    out = pa.Table.from_batches(list(ngram_join.grouped(["part"], ngram_join._crossing)(by_part(ngram_join._prefixes(0.5)(by_part(shared))))))
+    by = {}
+    for token, sid in zip(out["token"].to_pylist(), out["sid"].to_pylist()):
+        by.setdefault(sid, set()).add(token)
+    assert by[0] & by[1] and by[0] & by[2] and by[1] & by[3]
+
+
 def test_components_of_paths_stars_and_repeats(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3), (100, 101), (300, 200)]
     got = dict(cases.tuples(components(spark.createDataFrame(edges, "u long, v long")), "node", "comp"))
