@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-
+import corpus_pipeline
 from chunkwise.llm import decontam, licenses, line_dedup, ngram_join, pii, suffix_dedup
 from chunkwise.llm.common import shingle_hashes
 from chunkwise.llm.components import components
@@ -185,6 +185,13 @@ def test_join_finds_pairs_that_have_none_of_their_first_tokens_in_common(spark):
     assert cases.tuples(got, "doc_id", "class_id", "n_links") == sorted(want, key=str)
 
 
+def test_pipeline_leaves_one_of_documents_without_first_tokens_in_common(spark):
+    a, b = _apart(spark, 120, 80)
+    df = cases.odd(spark, [(20, a, "en", "s"), (21, b, "en", "s"), (22, b, "de", "s")])
+    left = corpus_pipeline.distinct_documents(spark, df, SF)
+    assert left.columns == df.columns and cases.tuples(left, "doc_id") == cases.tuples(df.where("doc_id is null or doc_id not in (21, 22)"), "doc_id")
+
+
 def test_join_at_low_thresholds_meets_sets_of_unlike_size(spark):
     words = [f"w{i}" for i in range(302)]
     rows = [(1, " ".join(words[:92])), (2, " ".join(words))]  # 90 of 300 n-grams
