@@ -374,6 +374,17 @@ def _sets(ngram: int):
     return run
 
 
+def _hashed(ngram: int):
+    """doc_id, text and words -> doc_id and text with the hashes of the token set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h1, h2, _ = _set_hashes(*shingle_hashes(*flat(batch.column(2)), ngram))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1), pa.array(h2)], names=["doc_id", "text", "h1", "h2"])
+
+    return run
+
+
 class CountTree:
     """A bulk-loaded R-tree over count vectors; leaves and inner nodes are boxes of FANOUT entries."""
 
@@ -476,18 +487,8 @@ def _frequent(hashed: DataFrame, ngram: int) -> bytes:
 SET = ["h1", "h2", "n"]
 
 
-def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Near-duplicate classes: (doc_id, class_id, n_links), a row for each document.
-
-    Documents are linked where the Jaccard coefficient of their sets of word n-grams reaches the threshold. A class is what links join, directly
-    or through others; class_id is its least doc_id. n_links is the number of documents linked to this one directly, exact
-    copies among them. Every document is a query, all its tokens count, nothing is capped, and every pair at the threshold is found; words, n-grams and
-    sets are told apart by hashes of 64 bits or more.
-
-    Texts are compared by their lower-cased runs of letters and digits; a text of fewer than `ngram` words is one n-gram. Null and empty
-    texts and texts without a word are classes of their own, without links. Null ids have no row. Rows that repeat an id are one document
-    for each distinct set of n-grams, with a row each. Ids have to be integers. Other columns are ignored. An empty table gives no rows.
-    """
+def _near(docs: DataFrame, ngram: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Documents by id and token set; and the sets that aren't empty, each with its least id, its copies, and its links to other sets and class, null if it has none."""
     spark = docs.sparkSession
     small_batches(spark)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -518,6 +519,22 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
     links = near.where("v < 0").groupBy(F.col("u").alias("sid")).agg(F.sum("links").alias("links"))
     comps = components(near.where("v >= 0").select("u", "v")).select(F.col("node").alias("sid"), "comp")
     named = sets.select("sid", "rep", "copies", *SET).join(links, "sid", "left").join(comps, "sid", "left")
+    return owners, named
+
+
+def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """Near-duplicate classes: (doc_id, class_id, n_links), a row for each document.
+
+    Documents are linked where the Jaccard coefficient of their sets of word n-grams reaches the threshold. A class is what links join, directly
+    or through others; class_id is its least doc_id. n_links is the number of documents linked to this one directly, exact
+    copies among them. Every document is a query, all its tokens count, nothing is capped, and every pair at the threshold is found; words, n-grams and
+    sets are told apart by hashes of 64 bits or more.
+
+    Texts are compared by their lower-cased runs of letters and digits; a text of fewer than `ngram` words is one n-gram. Null and empty
+    texts and texts without a word are classes of their own, without links. Null ids have no row. Rows that repeat an id are one document
+    for each distinct set of n-grams, with a row each. Ids have to be integers. Other columns are ignored. An empty table gives no rows.
+    """
+    owners, named = _near(docs, ngram, threshold)
     least = named.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("least"))
     named = named.join(least, "comp", "left").select(*SET, F.coalesce("least", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     known = owners.select("doc_id", *SET).join(named, SET, "left")
@@ -525,15 +542,27 @@ def jaccard_classes(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRE
 
 
 def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are the least id of their class of near duplicates.
+    """The documents that are the least id of their class of near duplicates; no two that stay are linked.
 
-    Null ids stay, and so do empty texts, each a class of its own. An id that repeats goes only if none of its documents is the least of its class;
-    its rows stay or go together. An empty table stays empty; all columns are kept, whatever their names.
+    Null ids stay, and so do empty texts, each a class of its own. Rows that repeat an id go or stay each by its own text; where texts of one id are
+    the least of their class together, those of one set of n-grams stay. An empty table stays empty; all columns are kept, whatever their names.
     """
-    (key,) = unused(docs, "__gone")
-    classes = jaccard_classes(docs, ngram, threshold)
-    gone = classes.groupBy("doc_id").agg(F.max(F.col("class_id") == F.col("doc_id")).alias("stays")).where("not stays").select(F.col("doc_id").alias(key))
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    key, known = unused(docs, "__gone", "__text")
+    owners, named = _near(docs, ngram, threshold)
+    least = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct("rep", "h1", "h2")).alias("least"))
+    alone, first = F.col("comp").isNull(), F.struct("rep", "h1", "h2") == F.col("least")
+    named = named.join(least, "comp", "left").where(alone | first).select(*SET, "rep")
+    stays = (F.col("n") == 0) | F.coalesce(F.col("rep") == F.col("doc_id"), F.lit(False))
+    marked = owners.select("doc_id", *SET).join(named, SET, "left").select("doc_id", "h1", "h2", stays.alias("stays"))
+    ids = cut(marked.groupBy("doc_id").agg(F.max("stays").alias("some"), F.min("stays").alias("all")).where("not all").select("doc_id", "some"))
+    left = docs.join(ids.where("not some").select(F.col("doc_id").alias(key)), F.col("doc_id") == F.col(key), "left_anti")
+    several = ids.where("some").select("doc_id")
+    if several.limit(1).count():  # ids of which some texts go and others stay
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(several, "doc_id", "left_semi").distinct()
+        texts = texts.select("doc_id", "text", word_hashes(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(_hashed(ngram), "doc_id long, text string, h1 long, h2 long")
+        gone = texts.join(marked.where("not stays"), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias(key), F.col("text").alias(known))
+        left = left.join(gone, (F.col("doc_id") == F.col(key)) & (F.col("text").cast("string") == F.col(known)), "left_anti")
+    return left
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,20 @@ def test_pipeline_leaves_one_of_documents_without_first_tokens_in_common(spark):
     assert left.columns == df.columns and cases.tuples(left, "doc_id") == cases.tuples(df.where("doc_id is null or doc_id not in (21, 22)"), "doc_id")
 
 
+def test_pipeline_leaves_no_near_documents_under_ids_that_repeat(spark):
+    near = " ".join(f"word{i}" for i in range(100))
+    rows = [(20, near, "en", "s"), (21, near + " more", "en", "s"), (21, "another text of that id", "en", "s"), (21, None, "en", "s"), (22, "its own text here", "de", "s"), (22, near, "en", "s")]
+    rows += [(23, "first " + near.replace("word", "w"), "en", "s"), (23, near.replace("word", "w"), "en", "s"), (24, near, "en", "s"), (24, near + " more", "en", "s")]
+    df = cases.odd(spark, rows)
+    left = corpus_pipeline.distinct_documents(spark, df, SF)
+    assert left.columns == df.columns and ngram_join.jaccard_classes(left).where("n_links > 0").count() == 0
+    got = Counter((r["doc_id"], r["text"]) for r in left.collect() if (r["doc_id"] or 0) >= 20)
+    texts = [text for d, text in got if d == 23]
+    assert len(texts) == 1 and (23, texts[0]) in [r[:2] for r in rows]
+    assert got == Counter([rows[0][:2], *(r[:2] for r in rows[2:5]), (23, texts[0])])
+    assert left.count() - got.total() == cases.odd(spark).count()
+
+
 def test_join_at_low_thresholds_meets_sets_of_unlike_size(spark):
     words = [f"w{i}" for i in range(302)]
     rows = [(1, " ".join(words[:92])), (2, " ".join(words))]  # 90 of 300 n-grams
