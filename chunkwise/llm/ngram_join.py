@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, flat, grouped, mix, shingle_hashes, small_batches, table, unused, word_hashes
+from .common import cut, flat, grouped, hashed_words, mix, shingle_hashes, small_batches, table, unused
 from .components import components
 
 NGRAM, THRESHOLD = 3, 0.5
@@ -97,25 +97,41 @@ def _alike(sets: np.ndarray, at: np.ndarray, ranges: int) -> np.ndarray:
     return out
 
 
-def _met(ngram: int, sent, ranges: int):
-    """doc_id and word hashes -> a row for each, with hashes and size of its token set, 0 where it has none, and how many of its tokens are alike to _spread()."""
+def _tokens(column, ngram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token sets of a column of texts, or of word hashes, and offsets."""
+    return shingle_hashes(*(flat if pa.types.is_list(column.type) else hashed_words)(column), ngram)
+
+
+def _met(ngram: int, ranges: int):
+    """doc_id and text -> a row for each, with hashes and size of its token set, 0 where it has none, its first COUNTED tokens, and how many of its tokens are alike to _spread()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.frombuffer(sent.value, np.uint64)
         for batch in batches:
-            words, offsets = flat(batch.column(1))
-            sets, at = shingle_hashes(words, offsets, ngram)
+            sets, at = _tokens(batch.column(1), ngram)
             h1, h2, own = _set_hashes(sets, at)
-            firsts = [_first(own_set, hot).view(np.int64) for own_set in own]
+            lowest = [own_set[:COUNTED].view(np.int64) for own_set in own]
             points = [_point(own_set) if len(own_set) else b"" for own_set in own]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(h1), pa.array(h2), pa.array(np.diff(at).astype(np.int32)), pa.array(firsts, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(_alike(sets, at, ranges))],
-                names=["doc_id", "h1", "h2", "n", "firsts", "point", "alike"],
+                [batch.column(0), pa.array(h1), pa.array(h2), pa.array(np.diff(at).astype(np.int32)), pa.array(lowest, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(_alike(sets, at, ranges))],
+                names=["doc_id", "h1", "h2", "n", "lowest", "point", "alike"],
             )
 
     return run
 
 
+def _firsts(sent):
+    """Rows with the tokens by which they meet others in place of their first COUNTED ones, in the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(sent.value, np.uint64)
+        for batch in batches:
+            tokens, at = flat(batch.column(0))
+            firsts = [_first(tokens[a:b].view(np.uint64), hot).view(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.list_(pa.int64())), *batch.columns[1:]], names=["firsts", *batch.schema.names[1:]])
+
+    return run
+
+
 def _set_hashes(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Two hashes of each token set, and the sets."""
     rows, out = np.flatnonzero(np.diff(at)), np.zeros((2, len(at) - 1), np.uint64)
@@ -125,19 +141,6 @@ def _set_hashes(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0].view(np.int64), out[1].view(np.int64), [sets[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _lowest(ngram: int):
-    """The first COUNTED tokens of each document, in the order of hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words, offsets = flat(batch.column(0))
-            sets, at = shingle_hashes(words, offsets, ngram)
-            place = np.arange(len(sets)) - np.repeat(at[:-1], np.diff(at))
-            yield pa.RecordBatch.from_arrays([pa.array(sets[place < COUNTED].view(np.int64))], names=["token"])
-
-    return run
-
-
 class Forest:
     """Groups of numbers that links join."""
 
@@ -205,7 +208,7 @@ CELL = "part int, origin int, ids binary, more binary, counts binary, tokens bin
 
 def _cells(part: np.ndarray, origin: int | None, ids: np.ndarray, more: np.ndarray | None, tokens: np.ndarray, marks: np.ndarray | None) -> pa.RecordBatch:
     """A row for each part: its tokens and marks, and the ids that they are of, with a count for each run of one."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # short numbers are sorted by their digits
     part, ids, tokens = part[order], ids[order], tokens[order]
     starts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (ids[1:] != ids[:-1])))[: len(part)])
     counts, own, also = np.diff(np.append(starts, len(part))).astype(np.int32), ids[starts], None if more is None else more[order][starts]
@@ -221,12 +224,18 @@ def _cells(part: np.ndarray, origin: int | None, ids: np.ndarray, more: np.ndarr
     return pa.RecordBatch.from_arrays(columns, names=["part", "origin", "ids", "more", "counts", "tokens", "marks"])
 
 
+def _by_token(tokens: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places in the order of tokens of 32 bits, and of ids where those are alike; as np.lexsort() has it, by sorts of single numbers."""
+    order = np.argsort(ids)
+    return order[np.sort(tokens[order].astype(np.uint64) << np.uint64(32) | np.arange(len(ids), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)]
+
+
 def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
 def _spread(ngram: int, ranges: int):
-    """Word hashes -> cells of all tokens by their range, with their sets' first hashes as ids; 32 bits stand for a token in its range."""
+    """Texts -> cells of all tokens by their range, with their sets' first hashes as ids; 32 bits stand for a token in its range."""
 
     def send(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         tokens, ids = (np.concatenate(x) for x in zip(*held))
@@ -235,7 +244,7 @@ def _spread(ngram: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
         for batch in batches:
-            sets, at = shingle_hashes(*flat(batch.column(0)), ngram)
+            sets, at = _tokens(batch.column(0), ngram)
             held.append((sets, np.repeat(_set_hashes(sets, at)[0], np.diff(at))))
             many += len(sets)
             if many >= SENT_TOKENS:
@@ -260,17 +269,17 @@ def _shared(ranges: int):
         same = tokens[order[1:]] == tokens[order[:-1]]
         order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
         tokens, ids = tokens[order], ids[order]
-        order = np.lexsort((ids, tokens))
+        order = _by_token(tokens, ids)
         tokens, ids = tokens[order], ids[order]
         if len(tokens):  # a set of several documents comes more than once
             once = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (ids[1:] != ids[:-1])))
             tokens, ids = tokens[once], ids[once]
-        _, which, many = np.unique(tokens, return_inverse=True, return_counts=True)
-        many = many[which]
+        many = np.diff(np.append(np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))[: len(tokens)], len(tokens)))
+        many = np.repeat(many, many)
         tokens, ids, many = (x[many > 1] for x in (tokens, ids, many))
         if not len(tokens):
             return None
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids)
         marks = np.minimum(many, 255).astype(np.uint8)[order]
         return _cells(_range(ids[order].view(np.uint64), ranges), rows.column("part")[0].as_py(), ids[order], None, tokens[order], marks)
 
@@ -304,13 +313,14 @@ def _prefixes(threshold: float):
         tokens, many = _joined(found.column("tokens"), np.uint32), _joined(found.column("marks"), np.uint8)
         counts = [np.frombuffer(c, np.int32) for c in found.column("counts").to_pylist()]
         ranges = np.repeat(origin[origin >= 0], [c.sum() for c in counts])
-        ids = np.repeat(_joined(found.column("ids"), np.int64), np.concatenate(counts))
-        order = np.lexsort((tokens, ranges, many, ids))
-        ids, tokens, ranges = ids[order], tokens[order], ranges[order]
-        own, first, k = np.unique(ids, return_index=True, return_counts=True)
-        order = np.argsort(h1, kind="stable")
-        at = order[np.searchsorted(h1[order], own)]
-        place = np.arange(len(ids)) - np.repeat(first, k)
+        sets = np.argsort(h1, kind="stable")
+        which = np.repeat(np.searchsorted(h1[sets], _joined(found.column("ids"), np.int64)), np.concatenate(counts)).astype(np.uint16 if len(h1) < 1 << 16 else np.int64)
+        order = np.argsort(many.astype(np.uint64) << np.uint64(56) | ranges.astype(np.uint64) << np.uint64(32) | tokens)
+        order = order[np.argsort(which[order], kind="stable")]
+        which, tokens, ranges = which[order], tokens[order], ranges[order]
+        first = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+        k, at = np.diff(np.append(first, len(which))), sets[which[first]]
+        place = np.arange(len(which)) - np.repeat(first, k)
         least, mutual = (np.ceil(share * n[at] - 1e-6).astype(np.int64) - alike[at] for share in (threshold, 2 * threshold / (1 + threshold)))
         taken = place < np.repeat(k - least + 1, k)
         if not taken.any():
@@ -326,7 +336,7 @@ def _crossing(rows: pa.Table) -> pa.RecordBatch | None:
     tokens, marks = _joined(rows.column("tokens"), np.uint32), _joined(rows.column("marks"), np.uint8)
     counts = _joined(rows.column("counts"), np.int32)
     sids, comps = (np.repeat(_joined(rows.column(c), np.int64), counts) for c in ("ids", "more"))
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens)
     tokens, marks, sids, comps = tokens[order], marks[order], sids[order], comps[order]
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     cross = (np.minimum.reduceat(comps, starts) != np.maximum.reduceat(comps, starts)) & (np.maximum.reduceat(marks, starts) > 0)
@@ -335,9 +345,9 @@ def _crossing(rows: pa.Table) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(token), pa.array(sids[cross])], names=["token", "sid"])
 
 
-def _others(hashed: DataFrame, sets: DataFrame, clusters: DataFrame, ngram: int, threshold: float, ranges: int) -> DataFrame:
+def _others(docs: DataFrame, sets: DataFrame, clusters: DataFrame, ngram: int, threshold: float, ranges: int) -> DataFrame:
     """(token, sid) by which sets meet that aren't in one cluster: among them a token of every pair at the threshold, without exception."""
-    tokens = hashed.select("w").mapInArrow(_spread(ngram, ranges), CELL).repartitionById(ranges, "part")
+    tokens = docs.select("text").mapInArrow(_spread(ngram, ranges), CELL).repartitionById(ranges, "part")
     known = sets.join(clusters, F.col("node") == F.col("sid"), "left").select("h1", "sid", "n", "alike", F.coalesce("comp", "sid").alias("comp"))
     shared = tokens.mapInArrow(_shared(ranges), CELL).unionByName(known.mapInArrow(_known(ranges), CELL)).repartitionById(ranges, "part")
     prefixes = shared.mapInArrow(_prefixes(threshold), CELL).repartitionById(ranges, "part")
@@ -361,12 +371,11 @@ def _tiled(df: DataFrame, tiles: Column) -> DataFrame:
 
 
 def _sets(ngram: int):
-    """cluster columns, hashes and words -> the columns and the token set, for rows whose set has those hashes."""
+    """cluster columns, hashes and text -> the columns and the token set, for rows whose set has those hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, offsets = flat(batch.columns[-1])
-            h1, h2, own = _set_hashes(*shingle_hashes(words, offsets, ngram))
+            h1, h2, own = _set_hashes(*_tokens(batch.columns[-1], ngram))
             right = np.flatnonzero((h1 == batch.column(0).to_numpy()) & (h2 == batch.column(1).to_numpy()))
             kept = [c.take(pa.array(right)) for c in batch.columns[2:-1]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([own[i].tobytes() for i in right], pa.binary())], names=[*batch.schema.names[2:-1], "tokens"])
@@ -375,11 +384,11 @@ def _sets(ngram: int):
 
 
 def _hashed(ngram: int):
-    """doc_id, text and words -> doc_id and text with the hashes of the token set."""
+    """doc_id and text -> the same with the hashes of the token set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h1, h2, _ = _set_hashes(*shingle_hashes(*flat(batch.column(2)), ngram))
+            h1, h2, _ = _set_hashes(*_tokens(batch.column(1), ngram))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h1), pa.array(h2)], names=["doc_id", "text", "h1", "h2"])
 
     return run
@@ -475,12 +484,12 @@ def _verified(threshold: float):
     return grouped(["comp", "i", "j"], work)
 
 
-def _frequent(hashed: DataFrame, ngram: int) -> bytes:
+def _frequent(met: DataFrame) -> bytes:
     """Sorted tokens that are among the first of OFTEN documents or more, over all documents; the FREQUENT most frequent ones.
 
     They set by which tokens documents meet first, and so how large blocks get and how many pairs are left to the second step.
     """
-    counts = hashed.select("w").mapInArrow(_lowest(ngram), "token long").groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(FREQUENT)
+    counts = met.select(F.explode("lowest").alias("token")).groupBy("token").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "token").limit(FREQUENT)
     return np.sort(counts.select("token").toArrow()["token"].to_numpy().view(np.uint64)).tobytes()
 
 
@@ -493,25 +502,26 @@ def _near(docs: DataFrame, ngram: int, threshold: float) -> tuple[DataFrame, Dat
     small_batches(spark)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    hashed = docs.select("doc_id", word_hashes(F.coalesce("text", F.lit(""))).alias("w"))
-    sent = spark.sparkContext.broadcast(_frequent(hashed, ngram))
-    met = cut(hashed.mapInArrow(_met(ngram, sent, ranges), "doc_id long, h1 long, h2 long, n int, firsts array<long>, point binary, alike int"))
+    met = cut(docs.mapInArrow(_met(ngram, ranges), "doc_id long, h1 long, h2 long, n int, lowest array<long>, point binary, alike int"))
+    sent = spark.sparkContext.broadcast(_frequent(met))
     owners = met.groupBy("doc_id", *SET).agg(F.count("*").alias("times"))
-    sets = met.where("n > 0").groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("firsts").alias("firsts"), F.first("point").alias("point"), F.first("alike").alias("alike"))
+    full = met.where("n > 0").select("lowest", "doc_id", *SET, "point", "alike")
+    full = full.mapInArrow(_firsts(sent), "firsts array<long>, doc_id long, h1 long, h2 long, n int, point binary, alike int")
+    sets = full.groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("firsts").alias("firsts"), F.first("point").alias("point"), F.first("alike").alias("alike"))
     sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()))
     repeated = owners.where("times > 1").groupBy(*SET).agg(F.sum(F.col("times") - 1).alias("again"))
     if repeated.limit(1).count():
         sets = sets.join(repeated, SET, "left").withColumn("copies", F.col("copies") - F.coalesce("again", F.lit(0))).drop("again")
 
     clusters = components(_links(sets.select("sid", F.explode("firsts").alias("token")), sets, threshold))
-    further = cut(_links(_others(hashed, sets, clusters, ngram, threshold, ranges), sets, threshold))
+    further = cut(_links(_others(docs, sets, clusters, ngram, threshold, ranges), sets, threshold))
     if further.limit(1).count():
         clusters = components(further.unionByName(clusters.select(F.col("node").alias("u"), F.col("comp").alias("v"))))
 
     members = clusters.join(sets.select("sid", "rep", "copies", *SET), F.col("node") == F.col("sid"))
     extent = members.groupBy("comp").agg(F.sum("n").alias("tokens"))
     tokens = members.join(extent, "comp").select("h1", "h2", "comp", F.ceil(F.col("tokens") / TILE_TOKENS).alias("tiles"), "sid", "copies", F.col("rep").alias("doc_id"))
-    tokens = tokens.join(docs, "doc_id").select("h1", "h2", "comp", "tiles", "sid", "copies", word_hashes(F.coalesce("text", F.lit(""))).alias("w"))
+    tokens = tokens.join(docs, "doc_id").select("h1", "h2", "comp", "tiles", "sid", "copies", "text")
     tokens = _tiled(tokens.mapInArrow(_sets(ngram), "comp long, tiles long, sid long, copies long, tokens binary"), F.col("tiles"))
     tokens = tokens.select("comp", "i", "j", "tile", "sid", "copies", "tokens").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "sid")
     near = cut(tokens.mapInArrow(_verified(threshold), "u long, v long, links long"))
@@ -559,7 +569,7 @@ def one_of_each_group(docs: DataFrame, ngram: int = NGRAM, threshold: float = TH
     several = ids.where("some").select("doc_id")
     if several.limit(1).count():  # ids of which some texts go and others stay
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(several, "doc_id", "left_semi").distinct()
-        texts = texts.select("doc_id", "text", word_hashes(F.coalesce("text", F.lit(""))).alias("w")).mapInArrow(_hashed(ngram), "doc_id long, text string, h1 long, h2 long")
+        texts = texts.mapInArrow(_hashed(ngram), "doc_id long, text string, h1 long, h2 long")
         gone = texts.join(marked.where("not stays"), ["doc_id", "h1", "h2"]).select(F.col("doc_id").alias(key), F.col("text").alias(known))
         left = left.join(gone, (F.col("doc_id") == F.col(key)) & (F.col("text").cast("string") == F.col(known)), "left_anti")
     return left

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from chunkwise.llm import decontam, licenses, line_dedup, ngram_join, pii, suffix_dedup
-from chunkwise.llm.common import shingle_hashes
+from chunkwise.llm.common import hashed_words, shingle_hashes, word_hashes
 from chunkwise.llm.components import components
 
 from .. import oracle
@@ -528,3 +528,25 @@ def test_licenses_on_odd_tables(spark):
     got = cases.tuples(licenses.license_scan(cases.odd(spark, [(8, text, "en", "s"), (9, "no license at all here", "en", "s")])), "doc_id", "license", "coverage", "start_char", "end_char")
     assert got == [(8, "MIT", 1.0, 13, 43), (8, "MIT", 1.0, 52, 82)]
     assert licenses.license_scan(cases.empty(spark)).count() == 0 and licenses.license_scan(cases.odd(spark), []).count() == 0
+
+
+def test_words_hashed_in_arrays_are_those_of_the_pattern(spark, monkeypatch):
+    """Lengths about the hash's strides of 32, 8 and 4 bytes, letters of one to four bytes, texts that touch, and context in lower case."""
+    import pyarrow as pa
+
+    texts = [None, "", "one", "two", ".", "x1 " + " ".join(c * k for k in range(1, 70) for c in "aé")]
+    texts += ["ΟΔΟΣ ΑΣ. ΑΣΑ Σ", "İstanbul ẞ ǅ Ⅷ½ straße", "😀𝔘𐐀 中文、字 \0 nul", "end", "and more"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    want = [r[0] or [] for r in rows.orderBy("k").select(word_hashes(rows["t"])).collect()]
+    for at_once in (1, 40, 1 << 18):
+        monkeypatch.setattr("chunkwise.llm.common.AT_ONCE", at_once)
+        words, at = hashed_words(pa.array(texts))
+        assert [words[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == want
+
+
+def test_join_reads_the_texts_once_before_its_second_step(spark, monkeypatch):
+    """Frequent tokens are counted over what the first pass has written, not over texts that are hashed again."""
+    seen = []
+    monkeypatch.setattr(ngram_join, "_frequent", lambda met, *rest, own=ngram_join._frequent: seen.append(met) or own(met, *rest))
+    ngram_join.jaccard_classes(cases.odd(spark))
+    assert [any("/cut-" in f for f in df.inputFiles()) for df in seen] == [True]
