@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,27 @@ def _plan_parts(out: str, head: bytes, rows: list[tuple]) -> None:
     storage.write(f"{out}.parts/{PLAN}", json.dumps({"head": head.hex(), "parts": [[r[0], r[1]] for r in rows]}).encode())
 
 
+def write_rows(rows: DataFrame, column: str, out: str) -> None:
+    """The binary values of a sorted table, one behind the other, as one object. Tasks write parts; to the driver come their numbers and sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sizes = TaskContext.get().partitionId(), [0]
+
+        def values() -> Iterator[bytes]:
+            for batch in batches:
+                for value in batch.column(0):
+                    raw = value.as_py() or b""
+                    sizes.append(len(raw))
+                    yield raw
+
+        storage.write_parts(storage.part_name(out, part), values())
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sum(sizes)], pa.int64())], names=["part", "bytes"])
+
+    codec.small_batches(rows.sparkSession)
+    _plan_parts(out, b"", sorted(tuple(r) for r in rows.select(column).mapInArrow(run, "part int, bytes long").collect()))
+    finalize(out)
+
+
 def finalize(out: str) -> None:
     """Join the parts of `out` behind their header, and delete them. Failed if a part isn't as large as it was when it was written."""
     plan = json.loads(storage.read_all(f"{out}.parts/{PLAN}"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import urllib.request
 
 from pyarrow import fs
@@ -50,6 +51,14 @@ def read_all(url: str) -> bytes:
         return f.read()
 
 
+def md5(url: str, portion: int = 32 << 20) -> str:
+    """In hexadecimal digits; read portion by portion."""
+    out, total = hashlib.md5(usedforsecurity=False), size(url)
+    for at in range(0, total, portion):
+        out.update(read_range(url, at, min(at + portion, total)))
+    return out.hexdigest()
+
+
 def write(url: str, data: bytes) -> None:
     if _web(url):
         raise ValueError("http addresses can't be written to")

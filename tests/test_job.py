@@ -8,7 +8,9 @@ from chunkwise import job
 from chunkwise.__main__ import main
 from chunkwise.functions import framing
 from chunkwise.functions.checksum import crc32_joined
-from chunkwise.plans import launch
+from chunkwise.plans import launch, registry
+
+from . import oracle
 
 
 def test_checksums_of_joined_pieces():
@@ -100,3 +102,16 @@ def test_launch_artifacts_run_the_script(target, capsys):
     assert main(["plan", target]) == 1
     with pytest.raises(ValueError):
         launch.check("yaml", "apiVersion: batch/v1\nkind Job\n")
+
+
+def test_sorted_rows_become_one_file_without_passing_the_driver(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, rng.randbytes(rng.randrange(0, 400))) for k in range(3000)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)) + [(-1, None)], "k long, raw binary").repartition(5)
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    job.write_rows(df.orderBy("k"), "raw", f"{tmp_path}/all")
+    assert (tmp_path / "all").read_bytes() == b"".join(r[1] for r in rows)
+    job.write_rows(df.limit(0).orderBy("k"), "raw", f"{tmp_path}/none")
+    assert (tmp_path / "none").read_bytes() == b"" and not (tmp_path / "all.parts").exists()
+    got = registry.QUERIES["job_roundtrip"](spark, oracle.SF)
+    assert oracle.from_spark(got) == oracle.from_sql(registry.SQL["job_roundtrip"])
