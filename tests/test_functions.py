@@ -187,3 +187,26 @@ def test_running_totals_over_stretches(spark):
     rows = [(None if k % 9 == 0 else f"g{k % 3}", int(o), int(v)) for k, (o, v) in enumerate(zip(rng.permutation(400) - 50, rng.integers(0, 99, 400)))]
     got = {(r["g"], r["o"]): r["t"] for r in offsets.running_total(spark.createDataFrame(rows, "g string, o long, v long"), ["g"], "o", "v", "t", 32).collect()}
     assert got == {(g, o): sum(v for h, p, v in rows if h == g and p < o) for g, o, _ in rows}
+
+
+def test_symbols_are_counted_in_bounded_memory(spark, monkeypatch):
+    """A batch of 4 M symbols, and a text that is longer than what is counted together."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng, seen = np.random.default_rng(4), []
+    texts = ["".join(map(chr, rng.choice([97, 98, 0xE9, 0x4E2D, 0x1F600], n))) for n in [700_000, *[30_000] * 110, 0, 1]]
+    df = spark.createDataFrame([("a", texts[0]), ("b", texts[1]), ("a", ""), ("b", None)], "g string, t string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *rest, own=type(df).mapInArrow: seen.append(f) or own(self, f, *rest))
+    want = Counter((g, a, b) for g, t in (("a", texts[0]), ("b", texts[1])) for a, b in zip([0, *map(ord, t)], map(ord, t)))
+    assert {tuple(r[:3]): r[3] for r in tokens.symbol_counts(df, ["g"], "t", pairs=True).collect()} == want
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * len(texts)), pa.array(texts)], names=["g", "t"])
+    tracemalloc.start()
+    got = sum(sum(b.column(3).to_pylist()) for b in seen[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == sum(map(len, texts)) and peak < 100e6
+    raw = spark.createDataFrame([(1, b"\x00\x01\x01\xff"), (2, b"")], "k long, t binary")
+    assert {tuple(r) for r in tokens.symbol_counts(raw, ["k"], "t").collect()} == {(1, 0, 1), (1, 1, 2), (1, 255, 1)}
