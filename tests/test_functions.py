@@ -210,3 +210,35 @@ def test_symbols_are_counted_in_bounded_memory(spark, monkeypatch):
     assert got == sum(map(len, texts)) and peak < 100e6
     raw = spark.createDataFrame([(1, b"\x00\x01\x01\xff"), (2, b"")], "k long, t binary")
     assert {tuple(r) for r in tokens.symbol_counts(raw, ["k"], "t").collect()} == {(1, 0, 1), (1, 1, 2), (1, 255, 1)}
+
+
+def test_streams_summed_up_carry_as_those_of_one_coder(monkeypatch):
+    """Shares about the middle, where bits stay open for long, likely symbols that settle none, and streams put together in several goes."""
+    from chunkwise.functions.cdf import TOTAL
+
+    monkeypatch.setattr(coder, "SUMMED", 50)
+    rng, half = np.random.default_rng(8), TOTAL // 2
+    rows = {"middle": [0, half - 1, half + 1, TOTAL], "ends": [0, 1, TOTAL - 1, TOTAL], "even": [0, TOTAL // 3, 2 * TOTAL // 3, TOTAL]}
+    for bounds in map(np.array, rows.values()):
+        for p in ([0, 1, 0], [0.01, 0.98, 0.01], [0.3, 0.3, 0.4]):
+            streams = [rng.choice(3, n, p=p) for n in (0, 1, 300, 7, 0, 64)]
+            data = coder.encode_many([bounds[s] for s in streams], [bounds[s + 1] for s in streams])
+            assert data == [coder.encode(bounds, s) for s in streams]
+            back = coder.decode_many(data, [len(s) for s in streams], bounds[None], lambda state, s: state)
+            assert [s.tolist() for s in back] == [s.tolist() for s in streams]
+
+
+def test_chunks_go_through_the_coder_in_bounded_memory():
+    """16 MB in chunks of 2 KB, a longer one among them, and noise, which settles most bits."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    text = bytes(rng.choice(np.frombuffer(b"aaabbc de fgh\n", np.uint8), 1 << 20))
+    data = [text[k * 100 : k * 100 + 2000] for k in range(8000)] + [text[:9000], *[rng.bytes(1000)] * 8, b""]
+    model = codec.build_model(1, *chunking.byte_counts(data[:4], 1))
+    tracemalloc.start()
+    packed = codec.encode_chunks(data, model)
+    back = codec.decode_chunks(packed, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert back == data and peak < 400e6
