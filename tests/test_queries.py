@@ -168,3 +168,10 @@ def test_windowed_sizes(spark, tmp_path):
     q = encoder.windowed_sizes(source, "ts", "size").writeStream.format("memory").queryName("sizes").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("sizes").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{tmp_path}/in").count()
+
+
+def test_chunks_of_a_query_are_encoded_once(spark):
+    """Neither the checksums of intact and damaged chunks nor the master blobs ask for their chunks twice."""
+    for name, maps in (("crc_check", 2), ("assemble_master", 2)):  # to encode, and to decode or scan
+        plan = registry.QUERIES[name](spark, oracle.SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == maps
