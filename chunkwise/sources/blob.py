@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceArrowWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -102,7 +102,7 @@ class _Reader(DataSourceReader):
         return pa.Table.from_pylist(rows, pa.schema([("chunk_idx", pa.int32()), ("byte_start", pa.int64()), ("orig_len", pa.int32()), ("comp_len", pa.int32()), ("place", pa.int64())]))
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, schema: StructType, model_id: int, size: int, overwrite: bool):
         self.path, self.schema, self.model_id, self.size, self.overwrite = path.rstrip("/"), schema, model_id, size, overwrite
         names = schema.fieldNames()
@@ -110,29 +110,36 @@ class _Writer(DataSourceWriter):
             raise ValueError(f"the columns have to be keys and then {CHUNKS}")
         self.keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[:-6])
 
-    def write(self, rows: Iterator) -> _Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         kinds = to_arrow_schema(StructType(self.schema.fields[:-1])).append(pa.field("place", pa.int64()))
         done, body, index, at = [], [], [], framing.LAYOUT.size
 
         def flush() -> None:
-            name = f"part-{uuid.uuid4().hex}"
-            head = framing.Header(sum(r["orig_len"] for r in index), len(index), 0, self.model_id, framing.NO_CRC).pack()
+            name, rows = f"part-{uuid.uuid4().hex}", pa.Table.from_batches(index)
+            head = framing.Header(sum(rows.column("orig_len").to_pylist()), len(rows), 0, self.model_id, framing.NO_CRC).pack()
             storage.write_parts(f"{self.path}/{name}", [head, *body])
             out = pa.BufferOutputStream()
             with pa.ipc.new_file(out, kinds) as to:
-                to.write_table(pa.Table.from_pylist(index, kinds))
+                to.write_table(rows)
             storage.write(f"{self.path}/{name}.index", out.getvalue().to_pybytes())
-            done.append((name, len(index), at))
-
-        for r in rows:
-            payload, own = bytes(r["payload"]), r.asDict()
-            own.pop("payload")
-            index.append(own | {"comp_len": len(payload), "place": at})
-            body.append(framing.PAIR.pack(r["orig_len"], len(payload)) + payload)
-            at += len(body[-1])
-            if at >= self.size:
-                flush()
-                body, index, at = [], [], framing.LAYOUT.size
+            done.append((name, len(rows), at))
+
+        for batch in batches:
+            payloads, lengths = batch.column("payload"), batch.column("orig_len").to_pylist()
+            fields = {f.name: batch.column(i).cast(f.type) for i, f in enumerate(list(kinds)[:-1])}
+            first, places, sizes = 0, [], []
+            for i, (n, payload) in enumerate(zip(lengths, payloads)):
+                payload = payload.as_py()
+                places.append(at), sizes.append(len(payload))
+                body.append(framing.PAIR.pack(n, len(payload)) + payload)
+                at += len(body[-1])
+                if at >= self.size or i + 1 == len(lengths):
+                    own = {c: x.slice(first, len(places)) for c, x in fields.items()} | {"comp_len": pa.array(sizes, kinds.field("comp_len").type), "place": pa.array(places, pa.int64())}
+                    index.append(pa.RecordBatch.from_arrays([own[f.name] for f in kinds], schema=kinds))
+                    first, places, sizes = i + 1, [], []
+                if at >= self.size:
+                    flush()
+                    body, index, at = [], [], framing.LAYOUT.size
         if index:
             flush()
         return _Written(done)
@@ -174,7 +181,7 @@ class ChunkwiseSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], schema, int(self.options.get("bytes", PARTITION)))
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(self.options["path"], schema, int(self.options.get("model_id", 0)), int(self.options.get("bytes", BLOB)), overwrite)
 
 

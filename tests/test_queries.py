@@ -175,3 +175,22 @@ def test_chunks_of_a_query_are_encoded_once(spark):
     for name, maps in (("crc_check", 2), ("assemble_master", 2)):  # to encode, and to decode or scan
         plan = registry.QUERIES[name](spark, oracle.SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == maps
+
+
+def test_writer_takes_batches_across_which_blobs_go(tmp_path):
+    """Batches of Arrow, not rows; blobs end within a batch and go on over several."""
+    import pyarrow as pa
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = _parse_datatype_string(f"{blob.KEYS}, {blob.CHUNKS}")
+    names = schema.fieldNames()
+    rows = [(k, 0, 0, 5, 10 + k, k, bytes([k]) * (10 + k)) for k in range(90)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some) if some else [()] * 7, kinds)], names=names) for some in (rows[:3], [], rows[3:50], rows[50:])]
+    for size in (64, 700, 1 << 20):
+        path = f"{tmp_path}/{size}"
+        writer = blob._Writer(path, schema, 7, size, False)
+        writer.commit([writer.write(iter(batches))])
+        reader = blob._Reader(path, schema, 500)
+        got = sorted(tuple(r[c] for c in names) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist())
+        assert got == rows and blob.described(path)["model_id"] == 7
