@@ -194,3 +194,10 @@ def test_writer_takes_batches_across_which_blobs_go(tmp_path):
         reader = blob._Reader(path, schema, 500)
         got = sorted(tuple(r[c] for c in names) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist())
         assert got == rows and blob.described(path)["model_id"] == 7
+
+
+def test_rows_of_chunks_do_not_carry_their_texts(spark):
+    df = spark.createDataFrame([(1, "x" * 5000)], "k long, text string")
+    plan = chunking.split(df, ["k"], "text", 16)._jdf.queryExecution().optimizedPlan()
+    generate = next(line for line in plan.toString().split("\n") if "Generate" in line)
+    assert "__raw" not in generate.split("), [")[1].split("]")[0] and plan.toString().split("Generate")[0].count("__raw") == 0
